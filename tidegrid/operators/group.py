@@ -13,8 +13,10 @@ BRACKET = 5e-5
 def with_stats(df: DataFrame, keys: list[str], stats: dict[str, Column]) -> DataFrame:
     """Add group aggregates to every row. The aggregate combines map-side and
     the join is left to the planner: broadcast below its size limit, otherwise
-    a sort-merge join whose skewed side adaptive execution splits."""
-    return df.join(df.groupBy(*keys).agg(*[v.alias(n) for n, v in stats.items()]), keys, "left")
+    a sort-merge join whose skewed side adaptive execution splits. Without keys
+    there is one row to add."""
+    one = df.groupBy(*keys).agg(*[v.alias(n) for n, v in stats.items()])
+    return df.join(one, keys, "left") if keys else df.crossJoin(F.broadcast(one))
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -189,7 +189,7 @@ def psd_outliers(psd: DataFrame, channel: list[str], by: list[str], thr: float =
     return d.groupBy(*channel).agg(F.max(z).alias("max_z")).withColumn("outlier", F.coalesce(F.col("max_z") > thr, F.lit(False)))
 
 
-def aperiodic_fit(psd: DataFrame, keys: list[str], lo: float, hi: float, refit: bool = True, keep: float = 0.025) -> DataFrame:
+def aperiodic_fit(psd: DataFrame, keys: list[str], lo: float, hi: float, refit: bool = True, keep: float = 0.00025) -> DataFrame:
     """Line through log power over log frequency: offset, exponent, R2, mean
     absolute error. refit: fit again on the points whose residual above the
     first line is within the lowest `keep` share plus all below it, so peaks

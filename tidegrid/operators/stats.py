@@ -91,10 +91,7 @@ def _between(df: DataFrame, group: list[str], col: str, by: list[str]) -> DataFr
     g = df.filter(F.col(col).isNotNull()).groupBy(*by, *group).agg(
         F.count(col).alias("__n"), F.avg(col).alias("__m"), F.coalesce(F.var_pop(col), F.lit(0.0)).alias("__v")
     )
-    keys = by
-    total = with_stats(g, keys, {"__gm": F.sum(F.col("__n") * F.col("__m")) / F.sum("__n")}) if by else g.crossJoin(
-        F.broadcast(g.agg((F.sum(F.col("__n") * F.col("__m")) / F.sum("__n")).alias("__gm")))
-    )
+    total = with_stats(g, by, {"__gm": F.sum(F.col("__n") * F.col("__m")) / F.sum("__n")})
     dev = F.col("__m") - F.col("__gm")
     s = total.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_groups"), F.sum("__n").alias("n_obs"),

@@ -123,13 +123,13 @@ STIM_LINE = {"view": "{t}     EXP     visual_standard: autoDraw = True", "click"
              "error": "{t}     EXP     visual_standard: autoDraw = False"}
 
 
-@query("io06_parse_stim_log", f"""WITH {SIG} SELECT recording, CAST(printf('%.4f', t) AS DOUBLE) AS time_s,
+@query("io06_parse_stim_log", f"""WITH {SIG} SELECT recording, CAST(printf('%.6f', t) AS DOUBLE) AS time_s,
   CASE WHEN channel IN ('view','click') THEN 'visual' ELSE 'auditory' END AS modality,
   CASE WHEN channel IN ('view','purchase') THEN 'standard' ELSE 'deviant' END AS condition, 'start' AS event FROM sig WHERE channel <> 'error'""")
 def _(t):
     text = F.lit(None).cast("string")
     for kind, line in STIM_LINE.items():
-        text = F.when(F.col("channel") == kind, F.concat(F.format_string("%.4f", "t"), F.lit(line.replace("{t}", "")))).otherwise(text)
+        text = F.when(F.col("channel") == kind, F.concat(F.format_string("%.6f", "t"), F.lit(line.replace("{t}", "")))).otherwise(text)
     lines = t.signal.select("recording", text.alias("value"))
     return textfiles.parse_stim_log(lines).select("recording", "time_s", "modality", "condition", "event")
 
@@ -301,7 +301,7 @@ def _(t):
     return t.events.select("event_id", r(scalars.log_power(F.col("value") - 0.05, 1e-3)).alias("log_floor"), r(scalars.compressed_log(F.col("value"))).alias("log_compressed"))
 
 
-@query("pr15_window_time", "SELECT event_id, event_id % 236 AS window_idx, round((event_id % 236) * 2.5, 6) AS start_sec, printf('%02d:%02d', CAST(floor((event_id % 236) * 2.5) AS BIGINT) // 60, CAST(floor((event_id % 236) * 2.5) AS BIGINT) % 60) AS movie_time FROM events")
+@query("pr15_window_time", "SELECT event_id, event_id % 236 AS window_idx, round((event_id % 236) * 2.5::DOUBLE, 6) AS start_sec, printf('%02d:%02d', CAST(floor((event_id % 236) * 2.5) AS BIGINT) // 60, CAST(floor((event_id % 236) * 2.5) AS BIGINT) % 60) AS movie_time FROM events")
 def _(t):
     w = F.col("event_id") % 236
     return t.events.select("event_id", w.alias("window_idx"), scalars.window_start(w).alias("start_sec"), scalars.mmss(w * 2.5).alias("movie_time"))
@@ -344,11 +344,11 @@ def _(t):
 
 @query("fi04_crop_rezero", f"""WITH {SIG}, b AS (SELECT recording, quantile_cont(t, 0.25) AS s, quantile_cont(t, 0.75) AS e FROM sig GROUP BY recording),
   c AS (SELECT sig.* FROM sig JOIN b USING (recording) WHERE t > s AND t < e)
-  SELECT event_id, {q('t - min(t) OVER (PARTITION BY recording)', 't', 4)} FROM c""")
+  SELECT event_id, {q('t - min(t) OVER (PARTITION BY recording)', 't')} FROM c""")
 def _(t):
     from tidegrid.operators.group import percentiles
     b = percentiles(t.signal, ["recording"], "t", {"start": 0.25, "end": 0.75})
-    return filters.crop_rezero(t.signal, b, ["recording"], "t").select("event_id", r("t", 4))
+    return filters.crop_rezero(t.signal, b, ["recording"], "t").select("event_id", r("t"))
 
 
 PEAKS = "SELECT l_orderkey, l_linenumber, l_quantity AS cf, l_extendedprice AS amp, round(l_tax * 100, 6) + 3 AS bw, 1.0::DOUBLE AS lo, 50.0::DOUBLE AS hi FROM lineitem"

@@ -86,7 +86,7 @@ def _(t):
 
 @query("jo11_overlap_join", f"""WITH {SIG}, a AS (SELECT recording, floor(t / 3600) * 3600 AS s, floor(t / 3600) * 3600 + 3600 AS e FROM sig GROUP BY ALL HAVING max(value) > 100),
   b AS (SELECT recording, sample_idx, t - 5000 AS s, t + 5000 AS e FROM sig WHERE channel = 'view')
-  SELECT b.recording, b.sample_idx, {q('coalesce(sum(greatest(0, least(a.e, b.e) - greatest(a.s, b.s))), 0)', 'overlap_sec', 3)}
+  SELECT b.recording, b.sample_idx, {q('coalesce(sum(greatest(0, least(a.e, b.e) - greatest(a.s, b.s))) FILTER (a.s IS NOT NULL), 0)', 'overlap_sec', 3)}
   FROM b LEFT JOIN a ON a.recording = b.recording AND a.s < b.e AND b.s < a.e GROUP BY ALL""")
 def _(t):
     hour = F.floor(F.col("t") / 3600) * 3600.0
@@ -354,9 +354,9 @@ def _(t):
     return rounded(windows.center_on_group(t.embedded, ["time_idx"], ["f1"]).select("vec_id", "f1_gmean", "f1_gsd", "f1_dev"), "f1_gmean", "f1_gsd", "f1_dev")
 
 
-@query("wi21_epochs", f"""WITH {SIG}, n AS (SELECT recording, max(sample_idx) + 1 AS n FROM sig GROUP BY recording), e AS (SELECT recording, event_id, sample_idx AS at FROM sig WHERE channel = 'view'),
-  f AS (SELECT e.* FROM e JOIN n USING (recording) WHERE at - 12 >= 0 AND at - 1 < n)
-  SELECT f.event_id AS epoch, s.sample_idx, s.sample_idx - at AS "offset", s.value FROM f JOIN sig s ON s.recording = f.recording AND s.sample_idx BETWEEN at - 12 AND at - 1""")
+@query("wi21_epochs", f"""WITH {SIG}, n AS (SELECT recording, max(sample_idx) + 1 AS n FROM sig GROUP BY recording), e AS (SELECT recording, event_id, sample_idx AS mid FROM sig WHERE channel = 'view'),
+  f AS (SELECT e.* FROM e JOIN n USING (recording) WHERE mid - 12 >= 0 AND mid - 1 < n)
+  SELECT f.event_id AS epoch, s.sample_idx, s.sample_idx - mid AS "offset", s.value FROM f JOIN sig s ON s.recording = f.recording AND s.sample_idx BETWEEN mid - 12 AND mid - 1""")
 def _(t):
     ev = t.signal.filter("channel = 'view'").select("recording", F.col("event_id").alias("epoch"), (F.col("sample_idx") / 2.0).alias("onset"))
     return windows.epochs(t.signal, ev, ["recording"], "sample_idx", "onset", "epoch", 2.0, -6.0, -0.5).select("epoch", "sample_idx", "offset", "value")

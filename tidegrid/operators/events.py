@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalars import assign_band
 from tidegrid.operators.group import with_stats
-from tidegrid.operators.scan import SEGMENT_ROWS, cut_dense, fold, scan
+from tidegrid.operators.scan import SEGMENT_ROWS, cut_dense, fold, framed, scan
 
 
 def skeleton(peaks: DataFrame, keys: list[str], carried: list[str], order: str, kept: Column) -> DataFrame:
@@ -45,9 +44,9 @@ def runs(present: DataFrame, keys: list[str], idx: str, max_gap: int = 1) -> Dat
     """Number rows into runs whose index gaps hold at most max_gap missing
     windows; run_id is the first index of the run."""
     i = F.col(idx).cast("long")
-    d = scan(cut_dense(present, keys, idx), last_before={"__prev": i})
-    start = F.when(F.col("__prev").isNull() | (i - F.col("__prev") > max_gap + 1), i)
-    return scan(cut_dense(d.withColumn("__start", start).drop("__prev"), keys, idx), last={"run_id": F.col("__start")}).drop("__start")
+    near = framed(present, keys, idx, max_gap + 1, 0, lambda w: {"__near": F.count(idx).over(w.rangeBetween(-max_gap - 1, -1))})
+    start = F.when(F.col("__near") == 0, i)
+    return scan(cut_dense(near.withColumn("__start", start).drop("__near"), keys, idx), last={"run_id": F.col("__start")}).drop("__start")
 
 
 def split_on_drift(df: DataFrame, keys: list[str], idx: str, freq: str, tol: float = 2.0, compat: bool = False,
@@ -60,22 +59,21 @@ def split_on_drift(df: DataFrame, keys: list[str], idx: str, freq: str, tol: flo
     `keys` includes run_id. A long run is cut into pieces of windows; what
     passes from one to the next is the open event's count of each frequency.
     """
-    names = list(df.columns)
 
-    def kernel(pdf: pd.DataFrame, carry):
-        start, seen = (carry[0], dict((float(v), n) for v, n in carry[1])) if carry else (None, {})
+    def kernel(cols, carry):
+        start, seen = (carry[0], {v: n for v, n in carry[1]}) if carry else (None, {})
         ids = []
-        for i, f in zip(pdf[idx].tolist(), pdf[freq].to_numpy()):
-            trial = dict(seen)
-            trial[float(f)] = trial.get(float(f), 0) + 1
-            if start is not None and abs(f - weighted_median(trial)) > tol:
-                start, seen = i, {float(f): 1}
+        for i, f in zip(cols[idx].tolist(), cols[freq].tolist()):
+            if start is None:
+                start, seen = i, {f: 1}
             else:
-                start, seen = (i if start is None else start), trial
+                seen[f] = seen.get(f, 0) + 1
+                if abs(f - weighted_median(seen)) > tol:
+                    start, seen = i, {f: 1}
             ids.append(start)
-        return pdf[names].assign(event_id=np.array(ids, dtype="int64")), [start, sorted(seen.items())]
+        return np.arange(len(ids)), {"event_id": ids}, [start, sorted(seen.items())]
 
-    out = fold(cut_dense(df, keys, idx, rows), kernel, df.schema.simpleString()[7:-1] + ",event_id:bigint")
+    out = fold(cut_dense(df, keys, idx, rows), kernel, [idx, freq], {"event_id": "bigint"})
     if not compat:
         return out
     out = with_stats(out, keys, {"__last": F.max(idx), "__first": F.min(idx)})
@@ -84,12 +82,14 @@ def split_on_drift(df: DataFrame, keys: list[str], idx: str, freq: str, tol: flo
 
 
 def weighted_median(counts: dict[float, int]) -> float:
-    vals = sorted(counts)
-    at = np.cumsum([counts[v] for v in vals])
-    n = at[-1]
-    lo = vals[int(np.searchsorted(at, (n - 1) // 2, side="right"))]
-    hi = vals[int(np.searchsorted(at, n // 2, side="right"))]
-    return (lo + hi) / 2.0
+    n, below, lo = sum(counts.values()), 0, None
+    for v in sorted(counts):
+        below += counts[v]
+        if lo is None and below > (n - 1) // 2:
+            lo = v
+        if below > n // 2:
+            return (lo + v) / 2.0
+    return float("nan")
 
 
 def events_from_runs(df: DataFrame, keys: list[str], run: str, idx: str, freq: str, amp: str, exponent: str,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,17 +72,16 @@ def having_min(df: DataFrame, keys: list[str], minima: dict[str, tuple[Column, i
 def debounce(df: DataFrame, keys: list[str], t: str, gap: float, tie: str, rows: int = SEGMENT_ROWS) -> DataFrame:
     """Keep an event only if it comes at least `gap` after the last kept one."""
 
-    def kernel(pdf: pd.DataFrame, carry):
+    def kernel(cols, carry):
         last = float("-inf") if carry is None else carry
         keep = []
-        for i, now in enumerate(pdf[t].to_numpy()):
+        for i, now in enumerate(cols[t].tolist()):
             if now - last >= gap:
                 keep.append(i)
-                last = float(now)
-        return pdf.iloc[keep][names], (None if last == float("-inf") else last)
+                last = now
+        return keep, {}, (None if last == float("-inf") else last)
 
-    names = list(df.columns)
-    return fold(cut(df, keys, [t, tie], rows), kernel, df.schema.simpleString()[7:-1])
+    return fold(cut(df, keys, [t, tie], rows), kernel, [t])
 
 
 def stride(df: DataFrame, idx: str, k: int, offset: int = 0) -> DataFrame:

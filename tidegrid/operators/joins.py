@@ -178,25 +178,23 @@ def match_responses(targets: DataFrame, responses: DataFrame, by: list[str], t:
     both = targets.select(*by, F.col(t).alias("__t"), F.lit(0).alias("__side"), F.col(id_).alias("__id")).unionByName(
         responses.select(*by, F.col(t).alias("__t"), F.lit(1).alias("__side"), F.col(id_).alias("__id"))
     )
-    types = dict(both.dtypes)
 
-    def kernel(pdf: pd.DataFrame, carry):
+    def kernel(cols, carry):
         waiting = deque(tuple(x) for x in (carry or []))
-        hits = []
-        for now, side, who in zip(pdf["__t"].to_numpy(), pdf["__side"].to_numpy(), pdf["__id"].tolist()):
+        hits, whose = [], []
+        for i, (now, side, who) in enumerate(zip(cols["__t"].tolist(), cols["__side"].tolist(), cols["__id"].tolist())):
             while waiting and waiting[0][0] + window < now:
                 waiting.popleft()
             if side == 0:
-                waiting.append((float(now), who))
+                waiting.append((now, who))
             elif waiting:
-                hits.append((waiting.popleft()[1], who, float(now)))
-        out = pd.DataFrame(hits, columns=[id_, "response_id", "response_t"])
-        for k in reversed(by):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out, (list(waiting) or None)
+                hits.append(i)
+                whose.append(waiting.popleft()[1])
+        return hits, {"__target": whose}, (list(waiting) or None)
 
-    schema = ", ".join([f"`{k}` {types[k]}" for k in by] + [f"`{id_}` {types['__id']}", f"response_id {types['__id']}", "response_t double"])
-    hits = fold(cut(both, by, ["__t", "__side", "__id"], rows), kernel, schema)
+    c = cut(both.withColumn("__t", F.col("__t").cast("double")), by, ["__t", "__side", "__id"], rows)
+    hits = fold(c, kernel, ["__t", "__side", "__id"], {"__target": dict(both.dtypes)["__id"]}).select(
+        *by, F.col("__target").alias(id_), F.col("__id").alias("response_id"), F.col("__t").alias("response_t"))
     return targets.join(hits, [*by, id_], "left").withColumn("latency", F.col("response_t") - F.col(t)).withColumn(
         "hit", F.col("response_t").isNotNull()
     )

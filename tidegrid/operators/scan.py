@@ -10,10 +10,11 @@ series, even when one series has a third of all rows.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,49 +154,90 @@ def time_index(df: DataFrame, keys: list[str], order: list[str], out: str = "sam
     return df.withColumn(out, F.col(out) - 1)
 
 
-Kernel = Callable[[pd.DataFrame, object], tuple[pd.DataFrame, object]]
+Kernel = Callable[[dict[str, np.ndarray], object], tuple[np.ndarray, dict[str, np.ndarray], object]]
 
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
 
-def fold(c: Cut, kernel: Kernel, schema: str) -> DataFrame:
-    """A sequential rule over each series, exact for any length.
 
-    `kernel(rows in order, carry)` returns (output rows, carry for the next
-    piece); carry is any JSON value. Every piece is first run as if nothing
-    came before it; pieces whose incoming carry then turns out different are
-    run again until no carry changes. Rules that forget (debounce, response
-    queues) settle in a round or two; a rule that never forgets still ends,
-    after as many rounds as it has pieces. Each round writes one small row per
-    piece to the shared folder.
-    """
-    keys, order = c.keys, c.order
-    names = [*keys, SEG]
+def _pieces(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches as tables of whole pieces, with each piece's first row.
+    At most one unfinished piece waits for the next batch."""
+    tail = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([tail, table]) if tail is not None else table
+        if table.num_rows == 0:
+            continue
+        new = np.zeros(table.num_rows, dtype=bool)
+        new[0] = True
+        for k in names:
+            v = table.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(new)
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts[:-1]
+        tail = table.slice(starts[-1])
+    if tail is not None:
+        yield tail, np.array([0])
 
-    def run(pdf):
-        carry = pdf["__carry"].iloc[0]
-        rows = pdf.drop(columns="__carry").sort_values(order, kind="stable", ignore_index=True)
-        return kernel(rows, json.loads(carry) if isinstance(carry, str) else None)
 
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf)[0]
+def fold(c: Cut, kernel: Kernel, use: list[str], extra: dict[str, str] | None = None) -> DataFrame:
+    """A sequential rule over each series, exact for any length.
 
-    def pass_on(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf[names].iloc[:1].reset_index(drop=True)
-        value = run(pdf)[1]
-        return head.assign(__carry=None if value is None else json.dumps(value))
+    `kernel(columns `use` of one piece in order, carry)` returns the positions
+    of the rows to keep, one array per `extra` column (name -> type) for them,
+    and the carry for the next piece: any JSON value, None at the start. Every
+    piece is first run as if nothing came before it; pieces whose incoming carry
+    then turns out different are run again until no carry changes. Rules that
+    forget (debounce, response queues) settle in a round or two; a rule that
+    never forgets still ends, after as many rounds as it has pieces. Each round
+    writes one small row per piece to the shared folder.
+    """
+    keys, order, extra = c.keys, c.order, extra or {}
+    names = [*keys, SEG]
+    out_cols = [x for x in c.df.columns if x != SEG and x not in extra]
+    types = dict(c.df.dtypes)
 
-    blank = F.lit(None).cast("string").alias("__carry")
+    def run(batches):
+        for table, starts in _pieces(batches, names):
+            cols = {u: table.column(u).to_numpy() for u in use}
+            carries = table.column("__carry").to_pylist() if "__carry" in table.column_names else None
+            ends = [*starts[1:], table.num_rows]
+            done = []
+            for a, b in zip(starts, ends):
+                carry = json.loads(carries[a]) if carries and carries[a] is not None else None
+                picks, more, after = kernel({u: v[a:b] for u, v in cols.items()}, carry)
+                done.append((a + np.asarray(picks, dtype=np.int64), more, after))
+            yield table, starts, done
+
+    def emit(batches):
+        for table, _, done in run(batches):
+            rows = table.take(pa.array(np.concatenate([d[0] for d in done]))).select(out_cols)
+            for n, ty in extra.items():
+                rows = rows.append_column(n, pa.array(np.concatenate([np.asarray(d[1][n]) for d in done]), type=ARROW[ty]))
+            yield from rows.to_batches()
+
+    def pass_on(batches):
+        for table, starts, done in run(batches):
+            heads = table.take(pa.array(starts)).select(names)
+            after = [None if d[2] is None else json.dumps(d[2]) for d in done]
+            yield from heads.append_column("__carry", pa.array(after, type=pa.string())).to_batches()
+
+    def in_order(df):
+        return df.repartition(*names).sortWithinPartitions(*names, *order)
+
+    schema = ", ".join([f"`{x}` {types[x]}" for x in out_cols] + [f"`{n}` {ty}" for n, ty in extra.items()])
     if c.df.filter(F.col(SEG) > 0).isEmpty():
-        return c.df.select("*", blank).groupBy(*names).applyInPandas(emit, schema)
+        return in_order(c.df).mapInArrow(emit, schema)
 
-    types = dict(c.df.dtypes)
     carry_schema = ", ".join(f"`{k}` {types[k]}" for k in names) + ", __carry string"
     order_of = Window.partitionBy(*keys).orderBy(SEG)
     pieces = settle(c.df.select(*names).distinct().withColumn("__next", F.lead(SEG).over(order_of)), "pieces")
-    todo = pieces.select(*names, blank)
+    todo = pieces.select(*names, F.lit(None).cast("string").alias("__carry"))
     known = todo
     while True:
         sent = (
-            c.df.join(todo, names).groupBy(*names).applyInPandas(pass_on, carry_schema)
+            in_order(c.df.join(todo, names)).mapInArrow(pass_on, carry_schema)
             .join(pieces, names).filter(F.col("__next").isNotNull())
             .select(*keys, F.col("__next").alias(SEG), F.col("__carry").alias("__new"))
         )
@@ -211,4 +253,4 @@ def fold(c: Cut, kernel: Kernel, schema: str) -> DataFrame:
         todo = merged.filter("__moved").select(*names, "__carry")
         if todo.isEmpty():
             break
-    return c.df.join(known, names).groupBy(*names).applyInPandas(emit, schema)
+    return in_order(c.df.join(known, names)).mapInArrow(emit, schema)

@@ -9,6 +9,7 @@ from tidegrid.functions.scalars import zscore_of
 from tidegrid.operators.filters import debounce
 from tidegrid.operators.group import percentiles, with_stats
 from tidegrid.operators.scan import cut, cut_dense, framed, scan
+from tidegrid.session import settle
 
 MAD_TO_SD = 1.4826
 
@@ -18,7 +19,7 @@ def robust_stats(df: DataFrame, keys: list[str], value: str, ref: Column | None
     reference rows only."""
     base = df.filter(ref) if ref is not None else df
     base = base.select(*keys, F.col(value).alias("__v"))
-    med = percentiles(base, keys, "__v", {"med": 0.5})
+    med = settle(percentiles(base, keys, "__v", {"med": 0.5}), "median")
     dev = base.join(med, keys).select(*keys, F.abs(F.col("__v") - F.col("med")).alias("__d"))
     return med.join(percentiles(dev, keys, "__d", {"mad": 0.5}), keys)
 
@@ -174,11 +175,9 @@ def combine_pair(df: DataFrame, keys: list[str], idx: str, left: str, right: str
 
 def islands(df: DataFrame, keys: list[str], idx: str, cond: Column) -> DataFrame:
     """Rows where cond holds, with `run_id`, the start index of their run."""
-    d = df.filter(cond)
-    step = F.col(idx).cast("long")
-    d = scan(cut_dense(d, keys, idx), last_before={"__prev": step})
-    starts = F.when(F.col("__prev").isNull() | (step - F.col("__prev") > 1), step)
-    return scan(cut_dense(d.drop("__prev").withColumn("__start", starts), keys, idx), last={"run_id": F.col("__start")}).drop("__start")
+    from tidegrid.operators.events import runs
+
+    return runs(df.filter(cond), keys, idx, 0)
 
 
 def detect_runs(df: DataFrame, keys: list[str], idx: str, cond: Column, fs: float, min_sec: float, max_sec: float) -> DataFrame:
@@ -260,7 +259,9 @@ def spike_runs(df: DataFrame, keys: list[str], idx: str, value: str, z: float, m
     d = step_from(df, keys, idx, {"__dx": value}).filter("__dx is not null")
     d = d.join(robust_stats(d, keys, "__dx"), keys).filter("mad > 0")
     extreme = F.abs(F.lit(0.6745) * (F.col("__dx") - F.col("med")) / F.col("mad")) > z
-    runs = islands(d, keys, idx, extreme).groupBy(*keys, "run_id").agg(F.max(idx).alias("__end"))
+    # Extreme steps are few: written once, the runs start from a small table.
+    hits = settle(d.filter(extreme).select(*keys, idx), "steps")
+    runs = islands(hits, keys, idx, F.lit(True)).groupBy(*keys, "run_id").agg(F.max(idx).alias("__end"))
     width = F.col("__end") - F.col("run_id") + 1
     return runs.select(
         *keys, F.col("run_id").alias("start_idx"), width.alias("width"), F.floor((F.col("run_id") + F.col("__end") - 2) / 2 + 1).alias("center")
@@ -350,9 +351,10 @@ def rereference(df: DataFrame, by: list[str], idx: str, channel: str, value: str
         src = F.col(channel).isin(chosen) if mode == "channels" else (good if good is not None else F.lit(True))
         at = [*by, idx, *([group] if mode == "group" else [])]
         ref = df.groupBy(*at).agg(F.avg(F.when(src, F.col(value))).alias("__ref"), F.count(F.when(src, 1)).alias("__n"))
-        least = 2 if mode == "group" else 1
-        d = df.join(ref, at, "left")
-        return d.withColumn(out, F.when(F.col("__n") >= least, F.col(value) - F.col("__ref")).otherwise(F.col(value))).drop("__ref", "__n")
+        sub = F.col(value) - F.col("__ref")
+        if mode == "group":
+            sub = F.when(F.col("__n") >= 2, sub).otherwise(F.col(value))
+        return df.join(ref, at, "left").withColumn(out, sub).drop("__ref", "__n")
     if mode == "pairs":
         once = pairs.groupBy("name").agg(F.min_by(F.struct("anode", "cathode"), "ordinal").alias("__p")).select("name", "__p.*")
         a = df.join(once, df[channel] == once["anode"]).select(*by, idx, "name", "cathode", F.col(value).alias("__a"))

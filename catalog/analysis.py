@@ -455,10 +455,10 @@ def _(t):
     return d.groupBy("recording").agg(F.sum("internal_flag").alias("n_internal"), F.sum("external_flag").alias("n_external"))
 
 
-@query("at09_sweep", f"""WITH {LAB}, v AS (SELECT *, recording % 3 AS video FROM lb), g AS (SELECT * FROM (VALUES (0.5), (1.0)) a(z_hi), (VALUES (0.25), (0.5)) b(z_lo), (VALUES (0.6), (0.8)) c(dev_q)),
-  qq AS (SELECT video, dev_q, CASE WHEN dev_q = 0.6 THEN quantile_cont(dev, 0.6) ELSE quantile_cont(dev, 0.8) END AS hi, CASE WHEN dev_q = 0.6 THEN quantile_cont(dev, 0.4) ELSE quantile_cont(dev, 0.2) END AS lo FROM v, (SELECT unnest([0.6, 0.8]) AS dev_q) GROUP BY ALL),
+@query("at09_sweep", f"""WITH {LAB}, v AS (SELECT *, recording % 3 AS video FROM lb), g AS (SELECT * FROM (VALUES (0.5::DOUBLE), (1.0::DOUBLE)) a(z_hi), (VALUES (0.25::DOUBLE), (0.5::DOUBLE)) b(z_lo), (VALUES (0.6::DOUBLE), (0.8::DOUBLE)) c(dev_q)),
+  qq AS (SELECT video, dev_q, CASE WHEN dev_q = 0.6 THEN quantile_cont(dev, 0.6) ELSE quantile_cont(dev, 0.8) END AS hi, CASE WHEN dev_q = 0.6 THEN quantile_cont(dev, 0.4) ELSE quantile_cont(dev, 0.2) END AS lo FROM v, (SELECT unnest([0.6::DOUBLE, 0.8::DOUBLE]) AS dev_q) GROUP BY ALL),
   s AS (SELECT video, z_hi, z_lo, g.dev_q, CASE WHEN pc > z_hi AND dev > hi THEN 'Internal_HighDeviation' WHEN pc < -z_lo AND dev < lo THEN 'External_LowDeviation' WHEN pc > z_hi AND dev < lo THEN 'Internal_LowDeviation' WHEN pc < -z_lo AND dev > hi THEN 'External_HighDeviation' ELSE 'Neutral' END AS state FROM v, g JOIN qq ON qq.dev_q = g.dev_q WHERE qq.video = v.video)
-  SELECT video, z_hi::DOUBLE AS z_hi, z_lo::DOUBLE AS z_lo, dev_q::DOUBLE AS dev_q, state, count(*) AS n, {q('count(*) / sum(count(*)) OVER (PARTITION BY video, z_hi, z_lo, dev_q)', 'proportion')} FROM s GROUP BY ALL""")
+  SELECT video, z_hi, z_lo, dev_q, state, count(*) AS n, {q('count(*) / sum(count(*)) OVER (PARTITION BY video, z_hi, z_lo, dev_q)', 'proportion')} FROM s GROUP BY video, z_hi, z_lo, dev_q, state""")
 def _(t):
     d = _window_labels(t).withColumn("video", F.col("recording") % 3)
     return rounded(states.sweep(d, ["video"], "pc", "dev", [0.5, 1.0], [0.25, 0.5], [0.6, 0.8]), "proportion")
@@ -798,7 +798,7 @@ def _(t):
 
 @query("so03_top_k_by", "SELECT user_id, event_id, value, rank FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) AS rank FROM events) WHERE rank <= 3")
 def _(t):
-    return reshape.top_k_by(t.events.select("user_id", "event_id", "value"), ["user_id"], ["value", "event_id"], 3)
+    return reshape.top_k_by(t.events.select("user_id", "event_id", "value"), ["user_id"], [F.col("value").desc(), F.col("event_id").desc()], 3, ["event_id"])
 
 
 @query("so04_in_order", "SELECT r_regionkey, r_name, nullif(list_position(['EUROPE', 'ASIA', 'AFRICA'], r_name), 0)::BIGINT AS ordinal FROM region ORDER BY 3 NULLS LAST, 2")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.scalars import assign_band
 from tidegrid.operators.group import with_stats
-from tidegrid.operators.scan import SEGMENT_ROWS, cut_dense, fold, framed, scan
+from tidegrid.operators.scan import cut_dense, fold, framed, scan
 
 
 def skeleton(peaks: DataFrame, keys: list[str], carried: list[str], order: str, kept: Column) -> DataFrame:
@@ -50,7 +50,7 @@ def runs(present: DataFrame, keys: list[str], idx: str, max_gap: int = 1) -> Dat
 
 
 def split_on_drift(df: DataFrame, keys: list[str], idx: str, freq: str, tol: float = 2.0, compat: bool = False,
-                   rows: int = SEGMENT_ROWS) -> DataFrame:
+                   rows: int | None = None) -> DataFrame:
     """Split a run where the frequency leaves the running median of the current
     event (the value itself included) by more than tol. Adds event_id, the
     first index of the event. compat=True drops a run's last window when it

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.group import with_stats
-from tidegrid.operators.scan import SEGMENT_ROWS, cut, fold, scan
+from tidegrid.operators.scan import cut, fold, scan
 
 
 def usable_channels(signal: DataFrame, meta: DataFrame, bad: DataFrame, *, keys: list[str], channel: str,
@@ -69,7 +69,7 @@ def having_min(df: DataFrame, keys: list[str], minima: dict[str, tuple[Column, i
     return df.join(counts.filter(enough).select(*keys), keys, "left_semi")
 
 
-def debounce(df: DataFrame, keys: list[str], t: str, gap: float, tie: str, rows: int = SEGMENT_ROWS) -> DataFrame:
+def debounce(df: DataFrame, keys: list[str], t: str, gap: float, tie: str, rows: int | None = None) -> DataFrame:
     """Keep an event only if it comes at least `gap` after the last kept one."""
 
     def kernel(cols, carry):

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.operators.scan import SEGMENT_ROWS, cut, fold, scan
+from tidegrid.operators.scan import cut, fold, scan
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -168,7 +168,7 @@ def events_in_windows(events: DataFrame, t: str, size: float, step: float, n_win
 
 
 def match_responses(targets: DataFrame, responses: DataFrame, by: list[str], t: str, id_: str, window: float,
-                    rows: int = SEGMENT_ROWS) -> DataFrame:
+                    rows: int | None = None) -> DataFrame:
     """One-to-one: in time order each target takes its first unused response
     within the window, both ends included.
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.group import average_rank, percentiles, with_stats
 from tidegrid.operators.joins import join_fallback
+from tidegrid.operators.reshape import top_k_by
 from tidegrid.operators.series import robust_z
 from tidegrid.operators.windows import pad_mask
 
@@ -100,10 +101,8 @@ def select_refs(df: DataFrame, contact: str, group: str, metrics: dict[str, tupl
     for n in metrics:
         d = robust_z(d, ["__all"], f"__x_{n}", f"__z_{n}", zero="eps")
     d = d.withColumn("score", reduce(lambda a, b: a + b, [F.lit(float(w)) * F.col(f"__z_{n}") for n, (_, w) in metrics.items()]))
-    # Contacts of one lead number a dozen or two: a small group.
-    w = Window.partitionBy(group).orderBy("score", contact)
-    best = d.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= per_group)
-    return best.orderBy("score", contact).limit(total).drop("__rn", "__all", *[f"__x_{n}" for n in metrics], *[f"__z_{n}" for n in metrics])
+    best = top_k_by(d, [group], [F.col("score"), F.col(contact)], per_group, [contact])
+    return best.orderBy("score", contact).limit(total).drop("rank", "__all", *[f"__x_{n}" for n in metrics], *[f"__z_{n}" for n in metrics])
 
 
 def composite_rank(df: DataFrame, cols: list[str], out: str = "composite") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,14 +12,11 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def top_k_by(df: DataFrame, by: list[str], rank: list[str], k: int) -> DataFrame:
-    """The k rows of each group with the largest rank columns. Rows are first
-    cut to k per group and slice, so a group with most of the rows is ranked in
-    slices and only their winners meet."""
-    from pyspark.sql import Window
-
-    order = [F.col(c).desc() for c in rank]
-    sliced = df.withColumn("__slice", F.pmod(F.xxhash64(*rank), F.lit(256)))
+def top_k_by(df: DataFrame, by: list[str], order: list[Column], k: int, spread: list[str]) -> DataFrame:
+    """The first k rows of each group in `order`. Rows are first cut to k per
+    group and slice (a hash of the `spread` columns), so a group with most of
+    the rows is ranked in slices and only their winners meet."""
+    sliced = df.withColumn("__slice", F.pmod(F.xxhash64(*spread), F.lit(256)))
     first = Window.partitionBy(*by, "__slice").orderBy(*order)
     part = sliced.withColumn("__rn", F.row_number().over(first)).filter(F.col("__rn") <= k)
     last = Window.partitionBy(*by).orderBy(*order)

@@ -24,38 +24,43 @@ SEGMENT_ROWS = 200_000
 SEG = "__seg"
 
 
+MAX_PIECES = 20_000
+
+
 @dataclass(frozen=True)
 class Cut:
     """Rows tagged with the piece they belong to. `order` is a total order of
-    ascending columns within `keys`."""
+    ascending columns within `keys`; `single` says every series is one piece."""
 
     df: DataFrame
     keys: list[str]
     order: list[str]
+    single: bool = False
 
     def window(self, descending: bool = False):
         cols = [F.col(c).desc() if descending else F.col(c).asc() for c in self.order]
         return Window.partitionBy(*self.keys, SEG).orderBy(*cols)
 
 
-def cut(df: DataFrame, keys: list[str], order: list[str], rows: int = SEGMENT_ROWS) -> Cut:
-    """Cut on the first order column, evenly between its ends per series, into
-    ceil(count / rows) pieces."""
-    lead = F.col(order[0]).cast("double")
-    ends = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(lead).alias("__lo"), F.max(lead).alias("__hi")
-    )
-    pieces = F.ceil(F.col("__n") / F.lit(rows))
-    at = F.floor((lead - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * pieces)
-    seg = F.when((pieces <= 1) | (F.col("__hi") <= F.col("__lo")), F.lit(0)).otherwise(
-        F.least(at, pieces - 1)
-    )
-    tagged = df.join(ends, keys).withColumn(SEG, seg.cast("long")).drop("__n", "__lo", "__hi")
-    return Cut(tagged, list(keys), list(order))
+def cut(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None) -> Cut:
+    """Cut an irregular series. If no series is longer than `rows` each is one
+    piece. Otherwise rows are range-partitioned on (keys, order) and the
+    partition number is the piece: pieces are even whatever the timestamps do,
+    as a series, a burst or even a single instant may be split. The ranges come
+    from a sample, so the tagged rows are written once and all later passes
+    read the same pieces."""
+    rows = rows or SEGMENT_ROWS
+    longest, total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (longest or 0) <= rows:
+        return Cut(df.withColumn(SEG, F.lit(0).cast("long")), list(keys), list(order), True)
+    n = min(-(-total // rows), MAX_PIECES)
+    ranged = df.repartitionByRange(n, *keys, *order).withColumn(SEG, F.spark_partition_id().cast("long"))
+    return Cut(settle(ranged, "pieces"), list(keys), list(order))
 
 
-def cut_dense(df: DataFrame, keys: list[str], idx: str, rows: int = SEGMENT_ROWS) -> Cut:
+def cut_dense(df: DataFrame, keys: list[str], idx: str, rows: int | None = None) -> Cut:
     """Cut a series whose order is a 0-based sample index: no look at the data."""
+    rows = rows or SEGMENT_ROWS
     return Cut(df.withColumn(SEG, F.floor(F.col(idx) / F.lit(rows)).cast("long")), list(keys), [idx])
 
 
@@ -82,39 +87,43 @@ def scan(
     for n, col in [*back.items(), *ahead.items(), *sums.items()]:
         df = df.withColumn(src[n], col)
 
-    place = F.struct(*c.order)
-    aggs = []
-    for n in back:
-        v = F.col(src[n])
-        aggs.append(F.max_by(v, F.when(v.isNotNull(), place)).alias(f"__s_{n}"))
-    for n in ahead:
-        v = F.col(src[n])
-        aggs.append(F.min_by(v, F.when(v.isNotNull(), place)).alias(f"__s_{n}"))
-    for n in sums:
-        aggs.append(F.sum(src[n]).alias(f"__s_{n}"))
-    seg_up = Window.partitionBy(*c.keys).orderBy(F.col(SEG)).rowsBetween(Window.unboundedPreceding, -1)
-    seg_down = Window.partitionBy(*c.keys).orderBy(F.col(SEG).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = df.groupBy(*c.keys, SEG).agg(*aggs)
-    carry = carry.select(
-        *c.keys,
-        SEG,
-        *[F.last(f"__s_{n}", True).over(seg_up).alias(f"__c_{n}") for n in back],
-        *[F.last(f"__s_{n}", True).over(seg_down).alias(f"__c_{n}") for n in ahead],
-        *[F.coalesce(F.sum(f"__s_{n}").over(seg_up), F.lit(0)).alias(f"__c_{n}") for n in sums],
-    )
-    df = df.join(carry, [*c.keys, SEG], "left")
+    def carried(n: str, local: Column, combine) -> Column:
+        return local if c.single else combine(local, F.col(f"__c_{n}"))
+
+    if not c.single:
+        place = F.struct(*c.order)
+        aggs = []
+        for n in back:
+            v = F.col(src[n])
+            aggs.append(F.max_by(v, F.when(v.isNotNull(), place)).alias(f"__s_{n}"))
+        for n in ahead:
+            v = F.col(src[n])
+            aggs.append(F.min_by(v, F.when(v.isNotNull(), place)).alias(f"__s_{n}"))
+        for n in sums:
+            aggs.append(F.sum(src[n]).alias(f"__s_{n}"))
+        seg_up = Window.partitionBy(*c.keys).orderBy(F.col(SEG)).rowsBetween(Window.unboundedPreceding, -1)
+        seg_down = Window.partitionBy(*c.keys).orderBy(F.col(SEG).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        carry = df.groupBy(*c.keys, SEG).agg(*aggs)
+        carry = carry.select(
+            *c.keys,
+            SEG,
+            *[F.last(f"__s_{n}", True).over(seg_up).alias(f"__c_{n}") for n in back],
+            *[F.last(f"__s_{n}", True).over(seg_down).alias(f"__c_{n}") for n in ahead],
+            *[F.coalesce(F.sum(f"__s_{n}").over(seg_up), F.lit(0)).alias(f"__c_{n}") for n in sums],
+        )
+        df = df.join(carry, [*c.keys, SEG], "left")
 
     up, down = c.window(), c.window(descending=True)
     start = Window.unboundedPreceding
     out: dict[str, Column] = {}
     for n in back:
         w = up.rowsBetween(start, 0 if n in (last or {}) else -1)
-        out[n] = F.coalesce(F.last(src[n], True).over(w), F.col(f"__c_{n}"))
+        out[n] = carried(n, F.last(src[n], True).over(w), F.coalesce)
     for n in ahead:
         w = down.rowsBetween(start, 0 if n in (first_from or {}) else -1)
-        out[n] = F.coalesce(F.last(src[n], True).over(w), F.col(f"__c_{n}"))
+        out[n] = carried(n, F.last(src[n], True).over(w), F.coalesce)
     for n in sums:
-        out[n] = F.coalesce(F.sum(src[n]).over(up.rowsBetween(start, 0)), F.lit(0)) + F.col(f"__c_{n}")
+        out[n] = carried(n, F.coalesce(F.sum(src[n]).over(up.rowsBetween(start, 0)), F.lit(0)), Column.__add__)
     kept = [col for col in c.df.columns if col != SEG and col not in out]
     return df.select(*kept, *[v.alias(n) for n, v in out.items()])
 
@@ -126,13 +135,14 @@ def framed(
     before: int,
     after: int,
     cols: Callable[[Window], dict[str, Column]],
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Columns over the frame [idx - before, idx + after] of an integer index.
 
     Rows near a piece's edge are copied to the neighbour that looks at them,
     so every frame is whole.
     """
+    rows = rows or SEGMENT_ROWS
     i = F.col(idx)
     lo = F.greatest(F.floor((i - F.lit(after)) / F.lit(rows)), F.lit(0))
     hi = F.greatest(F.floor((i + F.lit(before)) / F.lit(rows)), lo)
@@ -148,7 +158,7 @@ def framed(
 
 
 def time_index(df: DataFrame, keys: list[str], order: list[str], out: str = "sample_idx",
-               rows: int = SEGMENT_ROWS) -> DataFrame:
+               rows: int | None = None) -> DataFrame:
     """0-based position of each row in its series."""
     df = scan(cut(df, keys, order, rows), total={out: F.lit(1).cast("long")})
     return df.withColumn(out, F.col(out) - 1)
@@ -227,7 +237,7 @@ def fold(c: Cut, kernel: Kernel, use: list[str], extra: dict[str, str] | None =
         return df.repartition(*names).sortWithinPartitions(*names, *order)
 
     schema = ", ".join([f"`{x}` {types[x]}" for x in out_cols] + [f"`{n}` {ty}" for n, ty in extra.items()])
-    if c.df.filter(F.col(SEG) > 0).isEmpty():
+    if c.single or c.df.filter(F.col(SEG) > 0).isEmpty():
         return in_order(c.df).mapInArrow(emit, schema)
 
     carry_schema = ", ".join(f"`{k}` {types[k]}" for k in names) + ", __carry string"

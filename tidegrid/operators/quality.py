@@ -12,6 +12,7 @@ from tidegrid.operators.joins import join_fallback
 from tidegrid.operators.reshape import top_k_by
 from tidegrid.operators.series import robust_z
 from tidegrid.operators.windows import pad_mask
+from tidegrid.session import settle
 
 
 def artifact_windows(df: DataFrame, by: list[str], channel: str, idx: str, value: str, thr: float = 4.0, share: float = 0.1,
@@ -98,8 +99,9 @@ def select_refs(df: DataFrame, contact: str, group: str, metrics: dict[str, tupl
     """Reference contacts: those passing `keep`, scored by weighted robust z of
     each metric (lower is better), best per group, best overall."""
     d = df.filter(keep).withColumns({f"__x_{n}": c for n, (c, _) in metrics.items()}).withColumn("__all", F.lit(0))
+    d = settle(d, "contacts")
     for n in metrics:
-        d = robust_z(d, ["__all"], f"__x_{n}", f"__z_{n}", zero="eps")
+        d = settle(robust_z(d, ["__all"], f"__x_{n}", f"__z_{n}", zero="eps"), "contacts")
     d = d.withColumn("score", reduce(lambda a, b: a + b, [F.lit(float(w)) * F.col(f"__z_{n}") for n, (_, w) in metrics.items()]))
     best = top_k_by(d, [group], [F.col("score"), F.col(contact)], per_group, [contact])
     return best.orderBy("score", contact).limit(total).drop("rank", "__all", *[f"__x_{n}" for n in metrics], *[f"__z_{n}" for n in metrics])

@@ -313,6 +313,7 @@ def detect_peaks_events(df: DataFrame, keys: list[str], idx: str, x: str, y: str
     d = framed(df, keys, idx, k, k, gather)
     score = (F.abs("__dx") + F.abs("__dy")) / 2
     d = d.withColumn("score", F.when(F.col("__n") == 2 * k + 1, score)).drop("__dx", "__dy", "__n")
+    d = settle(d.select(*keys, idx, "score"), "score")
     q = percentiles(d, keys, "score", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     d = framed(d, keys, idx, 1, 1, lambda w: {"__peak": F.max("score").over(w)})
     d = d.join(q, keys).withColumn("__iqr", F.col("q3") - F.col("q1"))

@@ -457,7 +457,7 @@ def _(t):
 
 @query("at09_sweep", f"""WITH {LAB}, v AS (SELECT *, recording % 3 AS video FROM lb), g AS (SELECT * FROM (VALUES (0.5::DOUBLE), (1.0::DOUBLE)) a(z_hi), (VALUES (0.25::DOUBLE), (0.5::DOUBLE)) b(z_lo), (VALUES (0.6::DOUBLE), (0.8::DOUBLE)) c(dev_q)),
   qq AS (SELECT video, dev_q, CASE WHEN dev_q = 0.6 THEN quantile_cont(dev, 0.6) ELSE quantile_cont(dev, 0.8) END AS hi, CASE WHEN dev_q = 0.6 THEN quantile_cont(dev, 0.4) ELSE quantile_cont(dev, 0.2) END AS lo FROM v, (SELECT unnest([0.6::DOUBLE, 0.8::DOUBLE]) AS dev_q) GROUP BY video, dev_q),
-  s AS (SELECT video, z_hi, z_lo, g.dev_q, CASE WHEN pc > z_hi AND dev > hi THEN 'Internal_HighDeviation' WHEN pc < -z_lo AND dev < lo THEN 'External_LowDeviation' WHEN pc > z_hi AND dev < lo THEN 'Internal_LowDeviation' WHEN pc < -z_lo AND dev > hi THEN 'External_HighDeviation' ELSE 'Neutral' END AS state FROM v, g JOIN qq ON qq.dev_q = g.dev_q WHERE qq.video = v.video)
+  s AS (SELECT v.video, z_hi, z_lo, g.dev_q, CASE WHEN pc > z_hi AND dev > hi THEN 'Internal_HighDeviation' WHEN pc < -z_lo AND dev < lo THEN 'External_LowDeviation' WHEN pc > z_hi AND dev < lo THEN 'Internal_LowDeviation' WHEN pc < -z_lo AND dev > hi THEN 'External_HighDeviation' ELSE 'Neutral' END AS state FROM v, g JOIN qq ON qq.dev_q = g.dev_q WHERE qq.video = v.video)
   SELECT video, z_hi, z_lo, dev_q, state, count(*) AS n, {q('count(*) / sum(count(*)) OVER (PARTITION BY video, z_hi, z_lo, dev_q)', 'proportion')} FROM s GROUP BY video, z_hi, z_lo, dev_q, state""")
 def _(t):
     d = _window_labels(t).withColumn("video", F.col("recording") % 3)

@@ -6,11 +6,11 @@ from collections import deque
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.operators.scan import cut, fold, scan
+from tidegrid.operators.scan import cut, fold, pieces, scan
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -319,29 +319,36 @@ def pairwise_moments(df: DataFrame, by: list[str], entity: str, time: str, value
     `time` is an integer index.
     """
     types = dict(df.dtypes)
-    cols = [*by, entity, "__time", "__v"]
     base = df.select(*by, entity, F.col(time).alias("__time"), F.col(value).cast("double").alias("__v")).filter("__v is not null")
     base = base.withColumn("__block", F.floor(F.col("__time") / block))
-
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf[cols].pivot(index="__time", columns=entity, values="__v")
-        x = wide.to_numpy()
-        m = (~np.isnan(x)).astype(float)
-        x = np.nan_to_num(x)
-        i, j = np.triu_indices(x.shape[1], 1)
-        names = wide.columns.to_numpy()
-        pick = lambda g: g[i, j]
-        out = pd.DataFrame({
-            "a": names[i], "b": names[j], "n": pick(m.T @ m), "sx": pick(x.T @ m), "sy": pick(m.T @ x),
-            "sxx": pick((x * x).T @ m), "syy": pick(m.T @ (x * x)), "sxy": pick(x.T @ x),
-        })
-        for k in reversed(by):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out[out["n"] > 0]
-
-    schema = ", ".join([f"`{k}` {types[k]}" for k in by] + [f"a {types[entity]}", f"b {types[entity]}"]
-                       + [f"{s} double" for s in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    parts = base.groupBy(*by, "__block").applyInPandas(sums, schema)
+    group = [*by, "__block"]
+    measures = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def sums(batches):
+        for table, starts in pieces(batches, group):
+            who, when, v = (table.column(c).to_numpy() for c in (entity, "__time", "__v"))
+            kind = table.schema.field(entity).type
+            heads, a, b, out = [], [], [], {m: [] for m in measures}
+            for s, e in zip(starts, [*starts[1:], table.num_rows]):
+                names, j = np.unique(who[s:e], return_inverse=True)
+                times, i = np.unique(when[s:e], return_inverse=True)
+                x, m = np.zeros((len(times), len(names))), np.zeros((len(times), len(names)))
+                x[i, j], m[i, j] = v[s:e], 1.0
+                up = np.triu_indices(len(names), 1)
+                n = (m.T @ m)[up]
+                met = n > 0
+                heads.append(np.full(int(met.sum()), s))
+                a.append(names[up[0]][met]), b.append(names[up[1]][met])
+                for k, g in zip(measures, (m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x)):
+                    out[k].append(g[up][met])
+            rows = table.take(pa.array(np.concatenate(heads))).select(by)
+            rows = rows.append_column("a", pa.array(np.concatenate(a), type=kind)).append_column("b", pa.array(np.concatenate(b), type=kind))
+            for k in measures:
+                rows = rows.append_column(k, pa.array(np.concatenate(out[k])))
+            yield from rows.to_batches()
+
+    schema = ", ".join([f"`{k}` {types[k]}" for k in by] + [f"a {types[entity]}", f"b {types[entity]}"] + [f"{m} double" for m in measures])
+    parts = base.repartition(*group).sortWithinPartitions(*group).mapInArrow(sums, schema)
     return parts.groupBy(*by, "a", "b").agg(*[F.sum(s).alias(s) for s in ("n", "sx", "sy", "sxx", "syy", "sxy")])
 
 

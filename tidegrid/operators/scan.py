@@ -169,7 +169,7 @@ Kernel = Callable[[dict[str, np.ndarray], object], tuple[np.ndarray, dict[str, n
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def pieces(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Sorted batches as tables of whole pieces, with each piece's first row.
     At most one unfinished piece waits for the next batch."""
     tail = None
@@ -209,7 +209,7 @@ def fold(c: Cut, kernel: Kernel, use: list[str], extra: dict[str, str] | None =
     types = dict(c.df.dtypes)
 
     def run(batches):
-        for table, starts in _pieces(batches, names):
+        for table, starts in pieces(batches, names):
             cols = {u: table.column(u).to_numpy() for u in use}
             carries = table.column("__carry").to_pylist() if "__carry" in table.column_names else None
             ends = [*starts[1:], table.num_rows]
@@ -242,13 +242,13 @@ def fold(c: Cut, kernel: Kernel, use: list[str], extra: dict[str, str] | None =
 
     carry_schema = ", ".join(f"`{k}` {types[k]}" for k in names) + ", __carry string"
     order_of = Window.partitionBy(*keys).orderBy(SEG)
-    pieces = settle(c.df.select(*names).distinct().withColumn("__next", F.lead(SEG).over(order_of)), "pieces")
-    todo = pieces.select(*names, F.lit(None).cast("string").alias("__carry"))
+    chain = settle(c.df.select(*names).distinct().withColumn("__next", F.lead(SEG).over(order_of)), "pieces")
+    todo = chain.select(*names, F.lit(None).cast("string").alias("__carry"))
     known = todo
     while True:
         sent = (
             in_order(c.df.join(todo, names)).mapInArrow(pass_on, carry_schema)
-            .join(pieces, names).filter(F.col("__next").isNotNull())
+            .join(chain, names).filter(F.col("__next").isNotNull())
             .select(*keys, F.col("__next").alias(SEG), F.col("__carry").alias("__new"))
         )
         merged = settle(

@@ -76,11 +76,11 @@ def welch_psd(df: DataFrame, keys: list[str], idx: str, value: str, fs: float, s
             n.append(len(w)), out.append(list((np.abs(spec) ** 2).sum(axis=0) * scale))
         return pd.DataFrame({"n": n, "p": out})
 
-    parts = _blocks(df, keys, idx, value, block, 0, seg - 1).select(*keys, segments("__from", "__first", "__x").alias("s"))
+    parts = _blocks(df, keys, idx, value, block, 0, seg - 1).select(*keys, segments("__from", "__first", "__x").alias("__seg"))
     hz = [float(f) for f in freqs[pick]]
-    long = parts.filter("s.n > 0").select(*keys, F.col("s.n").alias("n"), F.posexplode("s.p").alias("k", "p"))
-    return long.groupBy(*keys, "k").agg(F.sum("n").alias("n_segments"), F.sum("p").alias("__p")).select(
-        *keys, F.array(*[F.lit(f) for f in hz])[F.col("k")].alias("freq"), (F.col("__p") / F.col("n_segments")).alias("power"), "n_segments"
+    long = parts.filter("__seg.n > 0").select(*keys, F.col("__seg.n").alias("__n"), F.posexplode("__seg.p").alias("__k", "__p"))
+    return long.groupBy(*keys, "__k").agg(F.sum("__n").alias("n_segments"), F.sum("__p").alias("__p")).select(
+        *keys, F.array(*[F.lit(f) for f in hz])[F.col("__k")].alias("freq"), (F.col("__p") / F.col("n_segments")).alias("power"), "n_segments"
     )
 
 
@@ -142,9 +142,9 @@ def tf_power(df: DataFrame, keys: list[str], idx: str, value: str, fs: float, fr
         return pd.Series(out)
 
     n = df.groupBy(*keys).agg((F.max(idx) + 1).alias("__n"))
-    got = _blocks(df, keys, idx, value, block, half, half).select(*keys, F.explode(centres("__from", "__first", "__x")).alias("c"))
-    long = got.join(n, keys).filter(F.col("c.at") < F.col("__n")).select(*keys, F.col("c.at").alias(idx), F.posexplode("c.p").alias("k", "power"))
-    return long.select(*keys, idx, F.array(*[F.lit(float(f)) for f in freqs])[F.col("k")].alias("freq"), F.nanvl("power", F.lit(None)).alias("power"))
+    got = _blocks(df, keys, idx, value, block, half, half).select(*keys, F.explode(centres("__from", "__first", "__x")).alias("__c"))
+    long = got.join(n, keys).filter(F.col("__c.at") < F.col("__n")).select(*keys, F.col("__c.at").alias(idx), F.posexplode("__c.p").alias("__k", "power"))
+    return long.select(*keys, idx, F.array(*[F.lit(float(f)) for f in freqs])[F.col("__k")].alias("freq"), F.nanvl("power", F.lit(None)).alias("power"))
 
 
 def band_power(tf: DataFrame, keys: list[str], freq: str, power: str, bands: dict[str, tuple[tuple[float, float], float]]) -> DataFrame:

@@ -834,7 +834,7 @@ def _(t):
 @query("se04_complete_cells", "WITH k AS (SELECT c_mktsegment AS region, c_nationkey AS rec, count(*) AS n FROM customer WHERE c_acctbal > 8500 GROUP BY ALL) SELECT r.region, c.rec, k.n FROM (SELECT DISTINCT region FROM k) r CROSS JOIN (SELECT DISTINCT rec FROM k) c LEFT JOIN k ON k.region = r.region AND k.rec = c.rec")
 def _(t):
     k = t.customer.filter("c_acctbal > 8500").groupBy(F.col("c_mktsegment").alias("region"), F.col("c_nationkey").alias("rec")).agg(F.count(F.lit(1)).alias("n"))
-    return reshape.complete_cells(k, "region", "rec", "n")
+    return reshape.complete_cells(k, "region", "rec", "n", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
 
 
 @query("rs01_pivot", "SELECT user_id, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id")

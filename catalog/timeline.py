@@ -92,7 +92,7 @@ def _(t):
     hour = F.floor(F.col("t") / 3600) * 3600.0
     a = t.signal.groupBy("recording", hour.alias("s")).agg((F.max("value") > 100).alias("bad")).withColumn("e", F.col("s") + 3600)
     b = t.signal.filter("channel = 'view'").select("recording", "sample_idx", (F.col("t") - 5000).alias("s"), (F.col("t") + 5000).alias("e"))
-    d = joins.overlap_join(a, b.withColumnsRenamed({"s": "b0", "e": "b1"}), ["recording"], ("s", "e"), ("b0", "b1"), "sample_idx", 7200.0, F.col("bad"))
+    d = joins.overlap_join(a, b.withColumnsRenamed({"s": "b0", "e": "b1"}), ["recording"], ("s", "e"), ("b0", "b1"), "sample_idx", F.col("bad"))
     return d.select("recording", "sample_idx", r("overlap_sec", 3))
 
 

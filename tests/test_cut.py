@@ -299,3 +299,15 @@ def test_hot_instant_nearest(spark):
         j = bisect.bisect_left(times, r.t)
         best = min(abs(r.t - x) for x in times[max(0, j - 1):j + 1])
         assert abs(got.loc[r.id, "near_error"]) == pytest.approx(best, abs=1e-12)
+
+
+def test_overlap_join(spark):
+    """Seconds covered, against all pairs, on random and touching intervals."""
+    rng = random.Random(4)
+    a = pd.DataFrame([("x" if i % 3 else "y", s := rng.randint(0, 80) / 4, s + rng.randint(0, 12) / 4, rng.random() < 0.7) for i in range(90)], columns=["k", "s", "e", "bad"])
+    b = pd.DataFrame([("x" if i % 4 else "z", s := rng.randint(0, 80) / 4, s + rng.randint(1, 20) / 4, i) for i in range(40)], columns=["k", "b0", "b1", "id"])
+    got = joins.overlap_join(spark.createDataFrame(a), spark.createDataFrame(b), ["k"], ("s", "e"), ("b0", "b1"), "id", F.col("bad")).toPandas().set_index("id")
+    assert len(got) == 40
+    for r in b.itertuples():
+        want = sum(max(0, min(x.e, r.b1) - max(x.s, r.b0)) for x in a.itertuples() if x.k == r.k and x.bad)
+        assert got.loc[r.id, "overlap_sec"] == pytest.approx(want, abs=1e-6)

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalars import assign_band
-from tidegrid.operators.group import with_stats
+from tidegrid.operators.group import percentiles, with_stats
 from tidegrid.operators.scan import cut_dense, fold, framed, scan
+from tidegrid.session import settle
 
 
 def skeleton(peaks: DataFrame, keys: list[str], carried: list[str], order: str, kept: Column) -> DataFrame:
@@ -99,9 +100,9 @@ def events_from_runs(df: DataFrame, keys: list[str], run: str, idx: str, freq: s
     has the whole window there as its bracket, otherwise one step."""
     e = df.groupBy(*keys, run).agg(
         F.min(idx).alias("__a"), F.max(idx).alias("__b"), F.count(F.lit(1)).alias("n_windows"),
-        F.percentile(freq, 0.5).alias("cf_median"), F.min(freq).alias("cf_min"), F.max(freq).alias("cf_max"),
+        F.min(freq).alias("cf_min"), F.max(freq).alias("cf_max"),
         F.max(amp).alias("amp_max"), F.avg(amp).alias("amp_mean"), F.avg(exponent).alias("exponent_mean"),
-    ).join(ends, keys)
+    ).join(percentiles(df, [*keys, run], freq, {"cf_median": 0.5}), [*keys, run]).join(ends, keys)
     s0, s1 = F.col("__a") * F.lit(step), F.col("__b") * F.lit(step)
     e0, e1 = s0 + window, s1 + window
     on_lo = F.when(F.col("__a") == F.col("first_idx"), s0).otherwise(e0 - step)
@@ -126,7 +127,7 @@ def to_events(ts: DataFrame, keys: list[str], idx: str, exponent: str, bands: li
     long = long.select(*keys, F.col("__b.band").alias("band"), idx, exponent, F.col("__b.cf").alias("cf"), F.col("__b.amp").alias("amp"))
     by = [*keys, "band"]
     run = runs(long.filter(F.col("cf").isNotNull()), by, idx, max_gap)
-    parts = split_on_drift(run, [*by, "run_id"], idx, "cf", tol, compat)
+    parts = settle(split_on_drift(run, [*by, "run_id"], idx, "cf", tol, compat), "events")
     ends = ts.groupBy(*keys).agg(
         F.min(F.col(idx).cast("long")).alias("first_idx"), F.max(F.col(idx).cast("long")).alias("last_idx"),
         *[F.min_by(c, idx).alias(c) for c in carried],

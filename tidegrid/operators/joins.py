@@ -136,27 +136,35 @@ def snap_to_samples(events: DataFrame, samples: DataFrame, by: list[str], t: str
 
 
 def overlap_join(a: DataFrame, b: DataFrame, by: list[str], a_span: tuple[str, str], b_span: tuple[str, str],
-                 b_id: str, bucket: float, flag: Column | None = None) -> DataFrame:
+                 b_id: str, flag: Column | None = None) -> DataFrame:
     """Per b interval: seconds covered by (flagged) a intervals, 0 if none.
 
-    Both sides are spread over buckets of time and met by equality; a pair
-    counts only in the bucket where its overlap starts.
+    The seconds covered before a time x are x * N(x) - S(x), where N counts the
+    a intervals open at x and S adds their starts and takes off the ends gone
+    by. One ordered pass gives both at each end of every b interval, so no
+    pairs of intervals are formed. Times are held in whole microseconds: the
+    sums are exact.
     """
-    def spread(df, s, e):
-        # An end on a bucket edge belongs to the bucket before it.
-        last = F.ceil(F.col(e) / bucket) - 1
-        first = F.floor(F.col(s) / bucket)
-        return df.withColumn("__bucket", F.explode(F.sequence(first, F.greatest(first, last))))
+    def micros(c: Column) -> Column:
+        return F.round(c * 1_000_000).cast("decimal(18,0)")
 
     left = a.filter(flag) if flag is not None else a
-    left = spread(left.select(*by, F.col(a_span[0]).alias("__s"), F.col(a_span[1]).alias("__e")), "__s", "__e")
-    right = spread(b, *b_span)
-    start = F.greatest("__s", b_span[0])
-    met = right.join(left, [*by, "__bucket"]).filter(F.floor(start / bucket) == F.col("__bucket"))
-    sums = met.groupBy(*by, b_id).agg(
-        F.sum(F.greatest(F.lit(0.0), F.least("__e", b_span[1]) - start)).alias("overlap_sec")
+    edges = left.select(*by, F.explode(F.array(
+        F.struct(micros(F.col(a_span[0])).alias("__x"), F.lit(1).alias("__d")),
+        F.struct(micros(F.col(a_span[1])).alias("__x"), F.lit(-1).alias("__d")),
+    )).alias("__p")).select(*by, "__p.*").withColumn("__side", F.lit(0))
+    probes = b.select(*by, b_id, F.explode(F.array(
+        F.struct(micros(F.col(b_span[0])).alias("__x"), F.lit(1).alias("__side")),
+        F.struct(micros(F.col(b_span[1])).alias("__x"), F.lit(2).alias("__side")),
+    )).alias("__p")).select(*by, b_id, "__p.*").withColumn("__d", F.lit(0))
+    both = edges.unionByName(probes, allowMissingColumns=True)
+    c = cut(both, by, ["__x", "__side"])
+    run = scan(c, total={"__open": F.col("__d").cast("long"), "__sum": F.col("__d") * F.col("__x")}).filter("__side > 0")
+    covered = F.col("__x") * F.col("__open").cast("decimal(18,0)") - F.col("__sum")
+    sums = run.withColumn("__c", covered).groupBy(*by, b_id).agg(
+        ((F.max(F.when(F.col("__side") == 2, F.col("__c"))) - F.max(F.when(F.col("__side") == 1, F.col("__c")))).cast("double") / 1e6).alias("overlap_sec")
     )
-    return b.join(sums, [*by, b_id], "left").fillna(0.0, ["overlap_sec"])
+    return b.join(sums, [*by, b_id], "left")
 
 
 def events_in_windows(events: DataFrame, t: str, size: float, step: float, n_windows: Column) -> DataFrame:
@@ -271,7 +279,7 @@ def join_fallback(df: DataFrame, dim: DataFrame, tries: list[dict[str, Column]],
     """Several keys tried in order; the first hit supplies the whole record.
     Each try maps the dimension's key columns to expressions over df."""
     keys = list(tries[0])
-    record = dim.groupBy(*keys).agg(F.first(F.struct(*values)).alias("__rec"))
+    record = dim.groupBy(*keys).agg(F.min(F.struct(*values)).alias("__rec"))
     out = df
     for i, key in enumerate(tries):
         named = record.select(*[F.col(k).alias(f"__k{i}_{k}") for k in keys], F.col("__rec").alias(f"__rec{i}"))

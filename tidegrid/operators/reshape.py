@@ -36,12 +36,11 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return d.select(*keys, "__r.*").select(*df.columns)
 
 
-def complete_cells(parts: DataFrame, row: str, col: str, value: str) -> DataFrame:
-    """Every category against every recording, missing cells kept as null.
-    Categories are an atlas's regions: a fixed short list."""
-    cats = parts.select(row).distinct()
-    recs = parts.select(col).distinct()
-    return recs.crossJoin(F.broadcast(cats)).join(parts.select(row, col, value), [row, col], "left")
+def complete_cells(parts: DataFrame, row: str, col: str, value: str, categories: list[str]) -> DataFrame:
+    """Every category of the list (an atlas's regions) against every
+    recording, missing cells kept as null."""
+    cells = parts.select(col).distinct().withColumn(row, F.explode(F.array(*[F.lit(c) for c in categories])))
+    return cells.join(parts.select(row, col, value), [row, col], "left")
 
 
 def pivot_long(df: DataFrame, keys: list[str], name: str, value: str, names: list[str]) -> DataFrame:

@@ -395,14 +395,15 @@ def smooth_decimate(df: DataFrame, keys: list[str], idx: str, value: str, size:
 
 def align_average(df: DataFrame, series: str, t: str, value: str, dt: float) -> DataFrame:
     """Mean over series on a common grid: their overlap in time, step dt. Also
-    the number of series contributing. The grid is spread per series."""
+    the number of series contributing."""
     span = df.groupBy(series).agg(F.min(t).alias("__a"), F.max(t).alias("__b"))
-    both = span.agg(F.max("__a").alias("__lo"), F.min("__b").alias("__hi"))
-    n = F.floor((F.col("__hi") - F.col("__lo")) / dt).cast("long")
-    steps = both.select("__lo", F.explode(F.when(n >= 0, F.sequence(F.lit(0).cast("long"), n))).alias("grid_idx"))
-    points = span.select(series).crossJoin(steps).withColumn(t, F.col("__lo") + F.col("grid_idx") * F.lit(float(dt)))
-    at = resample(df, points, [series], t, value).join(steps.withColumn(t, F.col("__lo") + F.col("grid_idx") * F.lit(float(dt))), t)
-    return at.groupBy("grid_idx").agg(F.first(t).alias(t), F.avg(value).alias("mean"), F.count(value).alias("n_series"))
+    lo, hi = span.agg(F.max("__a"), F.min("__b")).first()
+    n = int((hi - lo) // dt) if lo is not None else -1
+    steps = F.explode(F.sequence(F.lit(0), F.lit(n)).cast("array<bigint>") if n >= 0 else F.array().cast("array<bigint>"))
+    at = F.lit(lo) + F.col("grid_idx") * F.lit(float(dt))
+    points = span.select(series, steps.alias("grid_idx")).withColumn(t, at)
+    got = resample(df, points, [series], t, value).withColumn("grid_idx", F.round((F.col(t) - F.lit(lo)) / F.lit(float(dt))).cast("long"))
+    return got.groupBy("grid_idx").agg(F.first(t).alias(t), F.avg(value).alias("mean"), F.count(value).alias("n_series"))
 
 
 def median_step(df: DataFrame, keys: list[str], idx: str, t: str) -> DataFrame:

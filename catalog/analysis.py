@@ -352,7 +352,18 @@ def _(t):
     return events.runs(t.signal.filter("value > 25").select("recording", "sample_idx"), ["recording"], "sample_idx")
 
 
-@query("ev05_split_on_drift")
+def _drift_sql(keys: str, rows: str, tol: float) -> str:
+    """Recursive SQL over (keys, run_id, sample_idx, value): open event's values as a list."""
+    on = " AND ".join(f"r.{k} = s.{k}" for k in [*keys.split(", "), "run_id"])
+    jump = f"abs(r.value - list_aggregate(list_append(s.vals, r.value), 'median')) > {tol}"
+    ks = ", ".join(f"r.{k}" for k in keys.split(", "))
+    return f"""kr AS (SELECT *, row_number() OVER (PARTITION BY {keys}, run_id ORDER BY sample_idx) AS k FROM {rows}),
+  dr AS (SELECT {keys}, run_id, k, sample_idx, value, sample_idx AS event_id, [value] AS vals FROM kr WHERE k = 1
+    UNION ALL SELECT {ks}, r.run_id, r.k, r.sample_idx, r.value, CASE WHEN {jump} THEN r.sample_idx ELSE s.event_id END, CASE WHEN {jump} THEN [r.value] ELSE list_append(s.vals, r.value) END
+    FROM dr s JOIN kr r ON {on} AND r.k = s.k + 1)"""
+
+
+@query("ev05_split_on_drift", f"WITH RECURSIVE {SIG}, {RUN}, {_drift_sql('recording', 'ru', 40.0)} SELECT recording, sample_idx, value, run_id, event_id FROM dr")
 def _(t):
     run = events.runs(t.signal.filter("value > 25").select("recording", "sample_idx", "value"), ["recording"], "sample_idx")
     return events.split_on_drift(run, ["recording", "run_id"], "sample_idx", "value", 40.0)
@@ -369,7 +380,17 @@ def _(t):
     return rounded(d, *[c for c, ty in d.dtypes if ty == "double" and c not in ("cf_min", "cf_max", "amp_max")])
 
 
-@query("ev07_to_events")
+CHAIN = f"""p AS ({PEAKS}), w AS (SELECT o_custkey, l_orderkey, cf, amp, count(*) FILTER (cf >= 1 AND cf < 57) OVER (PARTITION BY o_custkey, l_orderkey)::DOUBLE AS exponent, {' '.join(['CASE'] + [f"WHEN cf >= {a} AND cf < {b} THEN '{n}'" for n, a, b in EDGES] + ['END'])} AS band FROM p JOIN orders ON o_orderkey = l_orderkey),
+  ix AS (SELECT o_custkey, l_orderkey, any_value(exponent) AS exponent, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey) - 1 AS sample_idx FROM w GROUP BY o_custkey, l_orderkey), li AS (SELECT o_custkey, max(sample_idx) AS li FROM ix GROUP BY 1),
+  pk AS (SELECT ix.o_custkey, band, sample_idx, any_value(ix.exponent) AS exponent, max(amp) AS amp, arg_max(cf, amp) AS value FROM w JOIN ix ON ix.o_custkey = w.o_custkey AND ix.l_orderkey = w.l_orderkey WHERE band IN ('theta', 'alpha', 'beta', 'gamma') GROUP BY ix.o_custkey, band, sample_idx),
+  rg AS (SELECT *, CASE WHEN sample_idx - lag(sample_idx) OVER x > 2 OR lag(sample_idx) OVER x IS NULL THEN sample_idx END AS st FROM pk WINDOW x AS (PARTITION BY o_custkey, band ORDER BY sample_idx)), ru AS (SELECT *, max(st) OVER (PARTITION BY o_custkey, band ORDER BY sample_idx) AS run_id FROM rg),
+  {_drift_sql('o_custkey, band', 'ru', 2.0)},
+  ev AS (SELECT d.o_custkey, d.band, event_id, min(d.sample_idx) AS a, max(d.sample_idx) AS b, count(*) AS n_windows, median(d.value) AS med, min(d.value) AS lo, max(d.value) AS hi, max(amp) AS amax, avg(amp) AS amean, avg(exponent) AS emean FROM dr d JOIN pk ON pk.o_custkey = d.o_custkey AND pk.band = d.band AND pk.sample_idx = d.sample_idx GROUP BY d.o_custkey, d.band, event_id),
+  bk AS (SELECT ev.*, CASE WHEN a = 0 THEN a * 2.5::DOUBLE ELSE a * 2.5::DOUBLE + 7.5 END AS on_lo, a * 2.5::DOUBLE + 10 AS on_hi, b * 2.5::DOUBLE AS off_lo, CASE WHEN b = li THEN b * 2.5::DOUBLE + 10 ELSE b * 2.5::DOUBLE + 2.5 END AS off_hi, greatest(0, b * 2.5::DOUBLE - a * 2.5::DOUBLE - 10) AS d_lo, b * 2.5::DOUBLE + 10 - a * 2.5::DOUBLE AS d_hi FROM ev JOIN li USING (o_custkey))"""
+
+
+@query("ev07_to_events", f"""WITH RECURSIVE {CHAIN} SELECT o_custkey, band, on_lo AS onset_lo_sec, on_hi AS onset_hi_sec, off_lo AS offset_lo_sec, off_hi AS offset_hi_sec, (on_lo + on_hi) / 2 AS onset_sec, (off_lo + off_hi) / 2 AS offset_sec, d_lo + 0.0 AS duration_lo_sec, d_hi AS duration_hi_sec, (d_lo + d_hi) / 2 AS duration_sec,
+  b * 2.5 - a * 2.5 - 10 < 0 AS shorter_than_window, n_windows, {q('med', 'cf_median')}, lo AS cf_min, hi AS cf_max, amax AS amp_max, {q('amean', 'amp_mean')}, {q('emean', 'exponent_mean')} FROM bk""")
 def _(t):
     # Order lines as peaks of a window; a customer's orders in key order as windows.
     from tidegrid.operators.scan import time_index
@@ -506,7 +527,14 @@ def _(t):
     return rounded(stats.ttest_1samp(aggs.region_delta(_elec(t), ["recording", "region"]), ["region"], "delta"), "mean", "sd", "t")
 
 
-@query("st01_ttest_p")
+def _t_tail_sql(t: str, dof: str, src: str, out: str) -> str:
+    """CTE: two-sided t tail by Simpson's rule on 2000 steps."""
+    return f"""{out} AS (SELECT *, 1 - 2 * (SELECT sum(CASE WHEN j IN (0, 2000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * power(1 + power(abs({t}) * j / 2000.0, 2) / {dof}, -({dof} + 1) / 2.0)) FROM range(2001) g(j))
+    * abs({t}) / 2000 / 3 * exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0)) / sqrt(pi() * {dof}) AS p FROM {src})"""
+
+
+@query("st01_ttest_p", f"""WITH a AS (SELECT user_id AS recording, avg(value - 50) / (stddev_samp(value - 50) / sqrt(count(*))) AS t, count(*) - 1 AS dof FROM events GROUP BY 1), {_t_tail_sql('a.t', 'a.dof', 'a', 'pv')}
+  SELECT recording, {q('t', 't')}, {q('p', 'p')} FROM pv""")
 def _(t):
     d = stats.ttest_1samp(t.signal.withColumn("d", F.col("value") - 50), ["recording"], "d")
     return stats.with_t_p(d, F.col("n") - 1).select("recording", r("t"), r("p"))
@@ -566,9 +594,11 @@ def _(t):
     return rounded(rounded(d, "ms_between", "ms_within", digits=4), "f", digits=8)
 
 
-@query("st07_anova_p")
+# With five groups the first degree of freedom is 4 and the F tail has a closed form.
+@query("st07_anova_p", f"WITH {MSQ.format(g='event_type', v='value', t='events')}, x AS (SELECT *, b / w AS f, (n_obs - n_groups) / 2.0::DOUBLE AS a FROM ms), y AS (SELECT *, 2 * a / (2 * a + (n_groups - 1) * f) AS z FROM x) SELECT n_groups, n_obs, b AS ms_between, w AS ms_within, {q('f', 'f')}, {q('power(z, a) * (1 + a * (1 - z))', 'p')} FROM y".replace("b AS ms_between, w AS ms_within", q('b', 'ms_between', 4) + ", " + q('w', 'ms_within', 4)))
 def _(t):
-    return rounded(stats.with_f_p(stats.anova_1way(t.events, ["event_type"], "value")), "f", "p")
+    d = stats.with_f_p(stats.anova_1way(t.events, ["event_type"], "value"))
+    return rounded(rounded(d, "f", "p"), "ms_between", "ms_within", digits=4)
 
 
 @query("st07_kruskal", f"""WITH k AS (SELECT event_type, value, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS rk FROM events), g AS (SELECT event_type, count(*) AS n, sum(rk)::DOUBLE AS s FROM k GROUP BY 1), x AS (SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_obs, sum(s * s / n) AS qq FROM g),
@@ -606,6 +636,13 @@ def _(t):
     return rounded(multivar.loadings_table(t.embedded, ["f1", "f2"], 2), "loading", "explained")
 
 
+@query("st12_pca_scores_two", f"""WITH {EMB}, m AS (SELECT var_pop(f1) AS a, var_pop(f2) AS b, covar_pop(f1, f2) AS c, avg(f1) AS m1, avg(f2) AS m2 FROM emb), e AS (SELECT *, (a + b) / 2 + sqrt(power((a - b) / 2, 2) + c * c) - a AS y FROM m),
+  n AS (SELECT m1, m2, c / sqrt(c*c + y*y) * CASE WHEN abs(c) >= abs(y) THEN sign(c) ELSE sign(y) END AS x, y / sqrt(c*c + y*y) * CASE WHEN abs(c) >= abs(y) THEN sign(c) ELSE sign(y) END AS y FROM e)
+  SELECT vec_id, {q('(f1 - m1) * x + (f2 - m2) * y', 'PC1')} FROM emb, n""")
+def _(t):
+    return multivar.pca(t.embedded, ["f1", "f2"], 1)[0].select("vec_id", r("PC1"))
+
+
 @query("st12_pca_scores")
 def _(t):
     d, _ = multivar.pca(t.embedded, FEATS, 3)

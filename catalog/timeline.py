@@ -456,7 +456,16 @@ def _(t):
     return d.select("event_id", "dilated", "eroded")
 
 
-@query("ts10_combine_pair")
+EYES = """e AS (SELECT recording, event_id, sample_idx, CASE WHEN vl THEN value END AS l, CASE WHEN vr THEN value + 5 END AS r FROM sig),
+  d AS (SELECT *, CASE WHEN count(l - r) OVER w = count(*) OVER w THEN sum(l - r) OVER w / 3 END AS d FROM e WINDOW w AS (PARTITION BY recording ORDER BY sample_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+  b AS (SELECT recording, list(sample_idx ORDER BY sample_idx) FILTER (d IS NOT NULL) AS i, list(d ORDER BY sample_idx) FILTER (d IS NOT NULL) AS v FROM d GROUP BY recording),
+  n AS (SELECT d.*, i, v, last_value(CASE WHEN d IS NOT NULL THEN sample_idx END IGNORE NULLS) OVER up AS pi, last_value(d IGNORE NULLS) OVER up AS pv, first_value(CASE WHEN d IS NOT NULL THEN sample_idx END IGNORE NULLS) OVER dn AS ni, first_value(d IGNORE NULLS) OVER dn AS nv
+    FROM d JOIN b USING (recording) WINDOW up AS (PARTITION BY d.recording ORDER BY sample_idx), dn AS (PARTITION BY d.recording ORDER BY sample_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  f AS (SELECT *, CASE WHEN d IS NOT NULL THEN d WHEN pi IS NULL THEN v[1] + (v[2] - v[1]) / (i[2] - i[1]) * (sample_idx - i[1]) WHEN ni IS NULL THEN v[-1] + (v[-1] - v[-2]) / (i[-1] - i[-2]) * (sample_idx - i[-1]) ELSE pv + (nv - pv) * (sample_idx - pi) / (ni - pi) END AS df FROM n),
+  v AS (SELECT recording, event_id, sample_idx, sample_idx::DOUBLE AS t, CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN (l + r) / 2 WHEN l IS NOT NULL THEN l - df / 2 WHEN r IS NOT NULL THEN r + df / 2 END AS gappy FROM f)"""
+
+
+@query("ts10_combine_pair", f"WITH {SIG}, {EYES}, {NB.replace('FROM sig', 'FROM v')} SELECT event_id, {q(HOLD, 'both')} FROM nb")
 def _(t):
     d = t.signal.select("recording", "event_id", "sample_idx", F.when(F.col("vl"), F.col("value")).alias("l"), F.when(F.col("vr"), F.col("value") + 5).alias("rt"))
     return series.combine_pair(d, ["recording"], "sample_idx", "l", "rt", 3, "both").select("event_id", r("both"))

@@ -897,11 +897,14 @@ def _flow_inputs(t):
     return lab, meta
 
 
-@query("flow1_power_contrast", f"""WITH {LAB}, cw AS (SELECT c.recording, c.channel, k.window_idx, avg(value) AS m FROM (SELECT recording, channel, value, row_number() OVER (PARTITION BY recording, channel ORDER BY t, event_id) - 1 AS i FROM sig) c,
+FLOW1 = f"""{LAB}, cw AS (SELECT c.recording, c.channel, k.window_idx, avg(value) AS m FROM (SELECT recording, channel, value, row_number() OVER (PARTITION BY recording, channel ORDER BY t, event_id) - 1 AS i FROM sig) c,
     LATERAL (SELECT unnest(range(greatest(0, CAST(ceil((c.i - 3) / 2.0) AS BIGINT)), c.i // 2 + 1)) AS window_idx) k GROUP BY ALL HAVING count(*) = 4),
   md AS (SELECT recording, channel, median(m) AS med FROM cw GROUP BY ALL), rs AS (SELECT cw.recording, cw.channel, med, median(abs(m - med)) AS mad FROM cw JOIN md ON md.recording = cw.recording AND md.channel = cw.channel GROUP BY ALL),
   z AS (SELECT cw.recording, cw.channel, {REGION.replace('channel', 'cw.channel')} AS region, (m - med) / (1.4826 * nullif(mad, 0)) AS z, label FROM cw JOIN rs ON rs.recording = cw.recording AND rs.channel = cw.channel LEFT JOIN (SELECT recording, window_idx, label FROM lb) l ON l.recording = cw.recording AND l.window_idx = cw.window_idx),
-  el AS (SELECT recording, channel, region, avg(z) FILTER (label LIKE 'Int%') AS a, avg(z) FILTER (label LIKE 'Ext%') AS b FROM z GROUP BY ALL HAVING count(z) FILTER (label LIKE 'Int%') >= 1 AND count(z) FILTER (label LIKE 'Ext%') >= 1), rd AS (SELECT recording, region, avg(a) - avg(b) AS d FROM el GROUP BY ALL)
+  el AS (SELECT recording, channel, region, avg(z) FILTER (label LIKE 'Int%') AS a, avg(z) FILTER (label LIKE 'Ext%') AS b FROM z GROUP BY ALL HAVING count(z) FILTER (label LIKE 'Int%') >= 1 AND count(z) FILTER (label LIKE 'Ext%') >= 1), rd AS (SELECT recording, region, avg(a) - avg(b) AS d FROM el GROUP BY ALL)"""
+
+
+@query("flow1_power_contrast", f"""WITH {FLOW1}
   SELECT region, count(d) AS n, {q('avg(d)', 'mean', 5)}, {q('stddev_samp(d)', 'sd', 5)}, {q('avg(d) / (stddev_samp(d) / sqrt(count(d)))', 't', 5)} FROM rd GROUP BY region""")
 def _(t):
     lab, meta = _flow_inputs(t)
@@ -909,11 +912,24 @@ def _(t):
     return rounded(d.select("region", "n", "mean", "sd", "t"), "mean", "sd", "t", digits=5)
 
 
-@query("flow1_power_contrast_p")
+@query("flow1_power_contrast_p", f"""WITH {FLOW1}, a AS (SELECT region, count(d) AS n, avg(d) AS mean, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t FROM rd GROUP BY region), {_t_tail_sql('a.t', '(a.n - 1)', 'a', 'pv')},
+  k AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, region) AS rk FROM pv), j AS (SELECT *, least(1, min(p * m / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS padj FROM k)
+  SELECT region, n, {q('mean', 'mean', 5)}, {q('t', 't', 5)}, {q('p', 'p', 5)}, {q('padj', 'p_adj', 5)}, CASE WHEN padj < 0.001 THEN '***' WHEN padj < 0.01 THEN '**' WHEN padj < 0.05 THEN '*' ELSE '' END AS stars FROM j""")
 def _(t):
     lab, meta = _flow_inputs(t)
     d = flows.power_contrast(t.channels, meta, lab, "recording", "channel", "sample_idx", "value", "region", 4, 2, min_n=1)
-    return rounded(d.select("region", "n", "mean", "t", "p", "p_adj"), "mean", "t", "p", "p_adj", digits=5).withColumn("stars", scalars.stars(F.col("p_adj")))
+    d = d.withColumn("stars", scalars.stars(F.col("p_adj"))).select("region", "n", "mean", "t", "p", "p_adj", "stars")
+    return rounded(d, "mean", "t", "p", "p_adj", digits=5)
+
+
+@query("flow2_attention_labels_two", f"""WITH {EMB}, {MAHAL}, m AS (SELECT var_pop(f1) AS a, var_pop(f2) AS b, covar_pop(f1, f2) AS c, avg(f1) AS m1, avg(f2) AS m2 FROM emb), e AS (SELECT *, (a + b) / 2 + sqrt(power((a - b) / 2, 2) + c * c) - a AS y FROM m),
+  n AS (SELECT m1, m2, c / sqrt(c*c + y*y) * CASE WHEN abs(c) >= abs(y) THEN sign(c) ELSE sign(y) END AS x, y / sqrt(c*c + y*y) * CASE WHEN abs(c) >= abs(y) THEN sign(c) ELSE sign(y) END AS y FROM e),
+  sc AS (SELECT vec_id, f8, (f1 - m1) * x + (f2 - m2) * y AS s FROM emb, n), al AS (SELECT vec_id, CASE WHEN corr(s, f8) OVER () > 0 THEN -s ELSE s END AS pc FROM sc),
+  zz AS (SELECT mh.vec_id, pc, dev, (pc - avg(pc) OVER w) / nullif(stddev_pop(pc) OVER w, 0) AS pz, (dev - avg(dev) OVER w) / nullif(stddev_pop(dev) OVER w, 0) AS dz FROM mh JOIN al ON al.vec_id = mh.vec_id WINDOW w AS (PARTITION BY subject))
+  SELECT vec_id, {q('pc', 'PC1')}, {q('dev', 'deviation')}, {q('pz', 'PC1_z')}, {q('dz', 'deviation_subject_z')}, CASE WHEN pz > 0.6 AND dz > 0.6 THEN 'Internal_HighConfidence' WHEN pz < -0.6 AND dz < -0.6 THEN 'External_HighConfidence' ELSE 'Neutral' END AS label FROM zz""")
+def _(t):
+    d = flows.attention_labels(t.embedded, "subject", "time_idx", ["f1", "f2"], "f8", 0.6, 0.6, weight=0.1)
+    return d.select("vec_id", r("PC1"), r("deviation"), r("PC1_z"), r("deviation_subject_z"), "label")
 
 
 @query("flow2_attention_labels")

@@ -540,7 +540,17 @@ def _(t):
     return rounded(d, "pct_near")
 
 
-@query("ts19_detect_peaks_events")
+SACC = """a AS (SELECT recording, sample_idx, CASE WHEN count(*) OVER f = 5 THEN (abs(sum(value) OVER x - sum(value) OVER p) + abs(sum(y) OVER x - sum(y) OVER p)) / 2 END AS score FROM sig
+    WINDOW f AS (PARTITION BY recording ORDER BY sample_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), x AS (PARTITION BY recording ORDER BY sample_idx ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), p AS (PARTITION BY recording ORDER BY sample_idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING)),
+  qs AS (SELECT recording, quantile_cont(score, 0.5) AS md, quantile_cont(score, 0.75) - quantile_cont(score, 0.25) AS iqr FROM a GROUP BY recording),
+  o AS (SELECT a.*, iqr, coalesce(score > md + 1.0 * iqr, false) AS up, max(score) OVER (PARTITION BY a.recording ORDER BY sample_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS top FROM a JOIN qs ON qs.recording = a.recording),
+  pk AS (SELECT recording, sample_idx, score FROM o WHERE score = top AND score > 2.0 * iqr),
+  k AS (SELECT recording, min(sample_idx) AS sample_idx FROM pk GROUP BY recording UNION ALL SELECT k.recording, (SELECT min(pk.sample_idx) FROM pk WHERE pk.recording = k.recording AND pk.sample_idx >= k.sample_idx + 3) FROM k WHERE k.sample_idx IS NOT NULL)"""
+
+
+@query("ts19_detect_peaks_events", f"""WITH RECURSIVE {SIG}, {SACC} SELECT k.recording, k.sample_idx AS peak_idx, {q('any_value(pk.score)', 'score')},
+  coalesce(max(o.sample_idx) FILTER (NOT up AND o.sample_idx < k.sample_idx) + 1, k.sample_idx) AS onset_idx, coalesce(min(o.sample_idx) FILTER (NOT up AND o.sample_idx > k.sample_idx), k.sample_idx) AS offset_idx
+  FROM k JOIN pk ON pk.recording = k.recording AND pk.sample_idx = k.sample_idx JOIN o ON o.recording = k.recording AND o.sample_idx BETWEEN k.sample_idx - 5 AND k.sample_idx + 5 GROUP BY k.recording, k.sample_idx""")
 def _(t):
     return rounded(series.detect_peaks_events(t.signal, ["recording"], "sample_idx", "value", "y", 2.0, 1.0, 2, 3, 5), "score")
 

@@ -120,6 +120,7 @@ def to_events(ts: DataFrame, keys: list[str], idx: str, exponent: str, bands: li
               tol: float = 2.0, max_gap: int = 1, step: float = 2.5, window: float = 10.0, compat: bool = False) -> DataFrame:
     """Window table -> events of every band, all bands in one pass."""
     carried = carried or []
+    ts = settle(ts.select(*keys, idx, exponent, *carried, *[f"{b}_{m}" for b in bands for m in ("cf", "amp")]), "windows")
     one = F.array(*[
         F.struct(F.lit(b).alias("band"), F.col(f"{b}_cf").alias("cf"), F.col(f"{b}_amp").alias("amp")) for b in bands
     ])

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.session import settle_summary
+
 SMALL_GROUP = 65_536
 SKETCH = 100_000
 BRACKET = 5e-5
 
 
 def with_stats(df: DataFrame, keys: list[str], stats: dict[str, Column]) -> DataFrame:
-    """Add group aggregates to every row. The aggregate combines map-side and
-    the join is left to the planner: broadcast below its size limit, otherwise
-    a sort-merge join whose skewed side adaptive execution splits. Without keys
-    there is one row to add."""
-    one = df.groupBy(*keys).agg(*[v.alias(n) for n, v in stats.items()])
+    """Add group aggregates to every row. The aggregate combines map-side; the
+    join carries no hint, so the summary is broadcast only below the planner's
+    size limit, and a skewed side is split above it. Without keys there is one
+    row to add."""
+    one = settle_summary(df.groupBy(*keys).agg(*[v.alias(n) for n, v in stats.items()]), df)
     return df.join(one, keys, "left") if keys else df.crossJoin(F.broadcast(one))
 
 
@@ -51,6 +53,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
         *[edge(i, p, True).alias(f"__lo{i}") for i, (_, p) in enumerate(wanted)],
         *[edge(i, p, False).alias(f"__hi{i}") for i, (_, p) in enumerate(wanted)],
     )
+    ends = settle_summary(ends, base)
     rows = base.join(ends, keys) if keys else base.crossJoin(F.broadcast(ends))
     if k == 1:
         rows = rows.select(*keys, "__n", F.lit(0).alias("__i"), "__x", F.col("__lo0").alias("__lo"), F.col("__hi0").alias("__hi"))

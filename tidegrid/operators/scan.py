@@ -222,10 +222,10 @@ def fold(c: Cut, kernel: Kernel, use: list[str], extra: dict[str, str] | None =
 
     def emit(batches):
         for table, _, done in run(batches):
-            rows = table.take(pa.array(np.concatenate([d[0] for d in done]))).select(out_cols)
+            kept = table.take(pa.array(np.concatenate([d[0] for d in done]))).select(out_cols)
             for n, ty in extra.items():
-                rows = rows.append_column(n, pa.array(np.concatenate([np.asarray(d[1][n]) for d in done]), type=ARROW[ty]))
-            yield from rows.to_batches()
+                kept = kept.append_column(n, pa.array(np.concatenate([np.asarray(d[1][n]) for d in done]), type=ARROW[ty]))
+            yield from kept.to_batches()
 
     def pass_on(batches):
         for table, starts, done in run(batches):
@@ -237,17 +237,19 @@ def fold(c: Cut, kernel: Kernel, use: list[str], extra: dict[str, str] | None =
         return df.repartition(*names).sortWithinPartitions(*names, *order)
 
     schema = ", ".join([f"`{x}` {types[x]}" for x in out_cols] + [f"`{n}` {ty}" for n, ty in extra.items()])
-    if c.single or c.df.filter(F.col(SEG) > 0).isEmpty():
-        return in_order(c.df).mapInArrow(emit, schema)
+    # Written once: the look at the piece numbers and every round read this table.
+    rows = c.df if c.single else settle(c.df, "rows")
+    if c.single or rows.filter(F.col(SEG) > 0).isEmpty():
+        return in_order(rows).mapInArrow(emit, schema)
 
     carry_schema = ", ".join(f"`{k}` {types[k]}" for k in names) + ", __carry string"
     order_of = Window.partitionBy(*keys).orderBy(SEG)
-    chain = settle(c.df.select(*names).distinct().withColumn("__next", F.lead(SEG).over(order_of)), "pieces")
+    chain = settle(rows.select(*names).distinct().withColumn("__next", F.lead(SEG).over(order_of)), "pieces")
     todo = chain.select(*names, F.lit(None).cast("string").alias("__carry"))
     known = todo
     while True:
         sent = (
-            in_order(c.df.join(todo, names)).mapInArrow(pass_on, carry_schema)
+            in_order(rows.join(todo, names)).mapInArrow(pass_on, carry_schema)
             .join(chain, names).filter(F.col("__next").isNotNull())
             .select(*keys, F.col("__next").alias(SEG), F.col("__carry").alias("__new"))
         )
@@ -263,4 +265,4 @@ def fold(c: Cut, kernel: Kernel, use: list[str], extra: dict[str, str] | None =
         todo = merged.filter("__moved").select(*names, "__carry")
         if todo.isEmpty():
             break
-    return in_order(c.df.join(known, names)).mapInArrow(emit, schema)
+    return in_order(rows.join(known, names)).mapInArrow(emit, schema)

@@ -21,7 +21,7 @@ def robust_stats(df: DataFrame, keys: list[str], value: str, ref: Column | None
     base = base.select(*keys, F.col(value).alias("__v"))
     med = settle(percentiles(base, keys, "__v", {"med": 0.5}), "median")
     dev = base.join(med, keys).select(*keys, F.abs(F.col("__v") - F.col("med")).alias("__d"))
-    return med.join(percentiles(dev, keys, "__d", {"mad": 0.5}), keys)
+    return settle(med.join(percentiles(dev, keys, "__d", {"mad": 0.5}), keys), "scale")
 
 
 def robust_z(df: DataFrame, keys: list[str], value: str, out: str, ref: Column | None = None, zero: str = "null",
@@ -234,7 +234,8 @@ def speed_limits(df: DataFrame, keys: list[str], idx: str, x: str, y: str, valid
     d = df.withColumn("__g", F.when(good, 1).otherwise(0))
     d = erode(d, keys, idx, "__g", pad, "__g2")
     d = d.withColumns({c: F.when(F.col("__g2") == 1, F.col(c)) for c in (x, y)})
-    d = kinematics(d, keys, idx, x, y, fs).withColumn("__a", F.abs("accel"))
+    d = kinematics(d, keys, idx, x, y, fs).select(*keys, "speed", F.abs("accel").alias("__a"))
+    d = settle(d, "speed")
     q_v = percentiles(d, keys, "speed", {"q_v": q})
     q_a = percentiles(d, keys, "__a", {"q_a": q})
     sums = d.groupBy(*keys).agg(
@@ -248,7 +249,7 @@ def speed_limits(df: DataFrame, keys: list[str], idx: str, x: str, y: str, valid
 def mask_spikes(df: DataFrame, keys: list[str], idx: str, value: str, z: float, out: str) -> DataFrame:
     """A sample whose step exceeds z robust sd of the steps becomes missing.
     A series whose steps have zero MAD stays as it is."""
-    d = step_from(df, keys, idx, {"__dx": value})
+    d = settle(step_from(df, keys, idx, {"__dx": value}), "steps")
     d = d.join(robust_stats(d.filter("__dx is not null"), keys, "__dx"), keys, "left")
     hit = (F.col("mad") > 0) & (F.abs("__dx") > F.lit(float(z) * MAD_TO_SD) * F.col("mad"))
     return d.withColumn(out, F.when(F.coalesce(hit, F.lit(False)), None).otherwise(F.col(value))).drop("__dx", "med", "mad")
@@ -256,11 +257,12 @@ def mask_spikes(df: DataFrame, keys: list[str], idx: str, value: str, z: float,
 
 def spike_runs(df: DataFrame, keys: list[str], idx: str, value: str, z: float, max_width: int) -> DataFrame:
     """Short runs of extreme steps: start, width and centre sample."""
-    d = step_from(df, keys, idx, {"__dx": value}).filter("__dx is not null")
+    # The steps are read five times and cost a shuffle: written once.
+    d = settle(step_from(df, keys, idx, {"__dx": value}).filter("__dx is not null").select(*keys, idx, "__dx"), "steps")
     d = d.join(robust_stats(d, keys, "__dx"), keys).filter("mad > 0")
     extreme = F.abs(F.lit(0.6745) * (F.col("__dx") - F.col("med")) / F.col("mad")) > z
-    # Extreme steps are few: written once, the runs start from a small table.
-    hits = settle(d.filter(extreme).select(*keys, idx), "steps")
+    # Extreme steps are few: the runs start from a small table.
+    hits = settle(d.filter(extreme).select(*keys, idx), "extremes")
     runs = islands(hits, keys, idx, F.lit(True)).groupBy(*keys, "run_id").agg(F.max(idx).alias("__end"))
     width = F.col("__end") - F.col("run_id") + 1
     return runs.select(

@@ -53,5 +53,4 @@ def spectral_events(signal: DataFrame, keys: list[str], idx: str, value: str, fs
     peaks = spectral.local_peaks(flat, wk, min_height, fs / seg)
     rows = fit.select(*wk, "exponent").join(peaks, wk, "left").withColumn("order", F.col("cf"))
     ts = events.peaks_to_timeseries(rows, wk, "cf", "height", "width", "order", bands, F.col("cf").isNotNull())
-    ts = settle(ts.join(fit.select(*wk, "exponent"), wk), "peaks")
-    return events.to_events(ts, keys, "window_idx", "exponent", list(bands), step=step / fs, window=size / fs)
+    return events.to_events(ts.join(fit.select(*wk, "exponent"), wk), keys, "window_idx", "exponent", list(bands), step=step / fs, window=size / fs)

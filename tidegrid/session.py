@@ -41,3 +41,18 @@ def settle(df: DataFrame, name: str = "part") -> DataFrame:
     path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+LARGE = 1 << 30
+
+
+def settle_summary(summary: DataFrame, source: DataFrame) -> DataFrame:
+    """A per-group table about to be joined back to the rows it came from.
+
+    The planner cannot know how far grouping shrinks a large source and would
+    shuffle every row for the join. Written first, the summary has a size: below
+    the broadcast limit the rows stay where they are, above it the join is
+    shuffled. A small source needs no such help and stays lazy.
+    """
+    estimate = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return settle(summary, "summary") if estimate > LARGE else summary

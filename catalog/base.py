@@ -79,9 +79,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def nudge(digits: int) -> float:
+    """Added before rounding on both sides: a mean of two-decimal values often
+    ends in a 5 one digit past the cut, where the order of summation would
+    decide which way it rounds."""
+    return 3.7 * 10.0 ** -(digits + 4)
+
+
 def r(col: str | Column, digits: int = 6) -> Column:
     """Rounded for comparison, with no negative zero."""
-    out = F.round(F.col(col) if isinstance(col, str) else col, digits) + F.lit(0.0)
+    c = F.col(col) if isinstance(col, str) else col
+    out = F.round(c + F.lit(nudge(digits)), digits) + F.lit(0.0)
     return out.alias(col) if isinstance(col, str) else out
 
 
@@ -106,4 +114,4 @@ EMB = "emb AS (SELECT label AS subject, vec_id, row_number() OVER (PARTITION BY
 
 
 def q(expr: str, name: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0 AS {name}"
+    return f"round(({expr}) + {nudge(digits)!r}, {digits}) + 0.0 AS {name}"

@@ -12,6 +12,14 @@ VIDEO_ALIASES = {
     "inscapes": ["inscapes"],
 }
 
+# How names spell their parts.
+PATIENT = r"(?i)^((?:{prefixes})\d+(?:_\d+)?)"
+RUN = r"(?i)run[-_]?(\d+)"
+SESSION = r"(?i)ses[-_]?(\d+)"
+FILE_TASK = r"task-([A-Za-z_0-9]+?)(?:_run-|_ieeg)"
+FILE_SESSION = r"ses-([A-Za-z0-9]+)"
+FILE_RUN = r"run-([0-9]+)"
+
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
     hit = F.regexp_extract(text, pattern, group)
@@ -25,7 +33,7 @@ def _two_digits(text: Column) -> Column:
 
 def patient_id(text: Column, prefixes: tuple[str, ...] = ("NS", "LH"), strict: bool = True) -> Column:
     """Leading subject code such as NS127_02, upper case. Strict: error if absent."""
-    hit = _found(text, rf"(?i)^((?:{'|'.join(prefixes)})\d+(?:_\d+)?)")
+    hit = _found(text, PATIENT.replace("{prefixes}", "|".join(prefixes)))
     if strict:
         hit = F.coalesce(hit, F.raise_error(F.concat(F.lit("no patient in: "), text)).cast("string"))
     return F.upper(hit)
@@ -33,12 +41,12 @@ def patient_id(text: Column, prefixes: tuple[str, ...] = ("NS", "LH"), strict: b
 
 def run_label(text: Column) -> Column:
     """run-NN; run-01 where the text names no run."""
-    return F.concat(F.lit("run-"), F.coalesce(_two_digits(_found(text, r"(?i)run[-_]?(\d+)")), F.lit("01")))
+    return F.concat(F.lit("run-"), F.coalesce(_two_digits(_found(text, RUN)), F.lit("01")))
 
 
 def session_label(text: Column, patient: Column) -> Column:
     """Explicit ses-NN, else the numeric suffix of the patient, else ses-01."""
-    number = F.coalesce(_found(text, r"(?i)ses[-_]?(\d+)"), _found(patient, r"_(\d+)$"), F.lit("1"))
+    number = F.coalesce(_found(text, SESSION), _found(patient, r"_(\d+)$"), F.lit("1"))
     return F.concat(F.lit("ses-"), _two_digits(number))
 
 
@@ -64,11 +72,11 @@ def canonical(token: Column, aliases: dict[str, list[str]] = VIDEO_ALIASES) -> C
 def recording_name(name: Column, aliases: dict[str, list[str]] = VIDEO_ALIASES) -> Column:
     """struct(session, video, run) of a recording file name; video null where
     the task is unknown, session '' and run '01' where absent."""
-    task = _found(name, r"task-([A-Za-z_0-9]+?)(?:_run-|_ieeg)")
+    task = _found(name, FILE_TASK)
     return F.struct(
-        F.coalesce(_found(name, r"ses-([A-Za-z0-9]+)"), F.lit("")).alias("session"),
+        F.coalesce(_found(name, FILE_SESSION), F.lit("")).alias("session"),
         canonical(task, aliases).alias("video"),
-        F.coalesce(_two_digits(_found(name, r"run-([0-9]+)")), F.lit("01")).alias("run"),
+        F.coalesce(_two_digits(_found(name, FILE_RUN)), F.lit("01")).alias("run"),
     )
 
 

@@ -13,6 +13,7 @@ from tidegrid.operators.group import percentiles, with_stats
 from tidegrid.operators.multivar import moment_matrix
 from tidegrid.operators.series import zscore
 
+# Label names.
 INTERNAL, EXTERNAL, NEUTRAL = "Internal_HighConfidence", "External_HighConfidence", "Neutral"
 
 

@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.base import CH, EMB, SIG, SIZE, STEP, WIN, q, query, r, rounded
-from catalog.inputs import DAY_SQL, META_SQL, PEAKS, _day_power, _entries, _label_meta, _peaks
-from tidegrid.functions import scalars, special
+from catalog.inputs import DAY_SQL, META_SQL, PEAKS, _day_power, _label_meta, _peaks
+from tidegrid.functions import scalars
 from tidegrid.operators import aggs, events, filters, joins, multivar, quality, reshape, series, spectral, states, stats, windows
-from tidegrid.operators.group import average_rank, percentiles
+from tidegrid.plans import flows
 
 FEATS = [f"f{i}" for i in range(1, 9)]
 
@@ -730,7 +730,7 @@ def _(t):
 
 @query("dq02_coverage", """WITH r AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'NS' || c_custkey || '_02' ELSE 'NS' || c_custkey END AS patient, 'NS' || c_custkey AS base, '01' AS session, c_mktsegment AS video, CASE WHEN c_custkey % 3 = 0 THEN '02' ELSE '01' END AS run, c_custkey, c_acctbal, c_nationkey FROM customer),
   e AS (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE (c_custkey % 10) / 10.0::DOUBLE END AS rp FROM r WHERE c_custkey % 7 <> 0)
-  SELECT r.patient, r.session, r.video, r.run, r.c_acctbal > 0 AS has_wavelet, r.c_nationkey < 10 AS has_fooof, rp AS right_present, rp + 0.05 AS left_present, rp + 0.1 AS right_present_post, rp + 0.1 AS left_present_post,
+  SELECT r.patient, r.session, r.video, r.run, r.c_acctbal > 0 AS has_wavelet, r.c_nationkey < 10 AS has_spectral, rp AS right_present, rp + 0.05 AS left_present, rp + 0.1 AS right_present_post, rp + 0.1 AS left_present_post,
     CASE WHEN rp IS NOT NULL THEN rp >= 0.7 AND rp + 0.05 >= 0.7 END AS gaze_pass_70, CASE WHEN rp IS NOT NULL THEN rp + 0.1 >= 0.7 END AS gaze_pass_70_post, CASE WHEN rp IS NOT NULL THEN rp >= 0.7 AND rp + 0.05 >= 0.7 END AS suggested_include, r.c_custkey % 4 = 0 AS in_pca_stage,
     '' AS include, '' AS exclude_reason, '' AS exclude_modality FROM r LEFT JOIN e ON e.c_custkey = r.c_custkey""")
 def _(t):
@@ -743,7 +743,7 @@ def _(t):
     eye = rec.filter("c_custkey % 7 <> 0").select(F.col("base").alias("patient"), "video", F.when(k % 4 == 0, "01").otherwise(F.col("run")).alias("run"), rp.alias("right_present"),
                                                   (rp + 0.05).alias("left_present"), (rp + 0.1).alias("right_present_post"), (rp + 0.1).alias("left_present_post"))
     on = ["patient", "video"]
-    return quality.coverage(rec.select("patient", "session", "video", "run"), {"has_wavelet": (rec.filter("c_acctbal > 0"), on), "has_fooof": (rec.filter("c_nationkey < 10"), on)}, eye, rec.filter("c_custkey % 4 = 0"))
+    return quality.coverage(rec.select("patient", "session", "video", "run"), {"has_wavelet": (rec.filter("c_acctbal > 0"), on), "has_spectral": (rec.filter("c_nationkey < 10"), on)}, eye, rec.filter("c_custkey % 4 = 0"))
 
 
 @query("dq03_missing_fraction", f"WITH {SIG} SELECT recording, {q('avg(CAST(gappy IS NULL AS INT))', 'gappy_missing')}, {q('avg(CAST(value IS NULL AS INT))', 'value_missing')} FROM sig GROUP BY recording")
@@ -887,8 +887,6 @@ def _(t):
 
 # ---- whole analyses
 
-from tidegrid.plans import flows  # noqa: E402
-
 
 def _flow_inputs(t):
     """The recording with its channels: label 'all' split by event type."""

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from catalog.base import CH, EMB, SIG, SIZE, STEP, WIN, q, query, r, rounded
+from catalog.base import SIG, SIZE, STEP, WIN, q, query, r, rounded
 from tidegrid.functions import atlas, ids, scalars
 from tidegrid.operators import aggs, filters, joins, reshape, series, windows
 from tidegrid.session import shared_dir

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import CH, EMB, SIG, SIZE, STEP, WIN, q, query, r, rounded
-from catalog.inputs import DAY_SQL, FILE, META_SQL, NAMES, _day_power, _entries, _label, _label_meta
-from tidegrid.functions import ids, scalars
-from tidegrid.operators import aggs, filters, joins, reshape, series, windows
-from tidegrid.operators.scan import framed
+from catalog.inputs import DAY_SQL, META_SQL, _day_power, _label_meta
+from tidegrid.functions import scalars
+from tidegrid.operators import joins, series, windows
 
 # ---- joins
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalars import mmss
-from tidegrid.operators.group import percentiles, with_stats
+from tidegrid.operators.group import percentiles, with_row, with_stats
 from tidegrid.operators.series import robust_z
 
 
@@ -47,7 +47,7 @@ def label_totals(df: DataFrame, subject: str, label: str) -> DataFrame:
     # A distinct list first, then a plain count: no set of subjects is held in one buffer.
     n = df.select(subject).distinct().agg(F.count(F.lit(1)).alias("__subjects"))
     tot = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"))
-    return tot.crossJoin(F.broadcast(n)).select(label, "n_rows", (F.col("n_rows") / F.col("__subjects")).alias("per_subject"))
+    return with_row(tot, n).select(label, "n_rows", (F.col("n_rows") / F.col("__subjects")).alias("per_subject"))
 
 
 def proportions(df: DataFrame, by: list[str], col: str) -> DataFrame:

@@ -12,13 +12,18 @@ SKETCH = 100_000
 BRACKET = 5e-5
 
 
+def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Every row beside a global aggregate, which is a single row by construction."""
+    return df.crossJoin(F.broadcast(one))
+
+
 def with_stats(df: DataFrame, keys: list[str], stats: dict[str, Column]) -> DataFrame:
     """Add group aggregates to every row. The aggregate combines map-side; the
     join carries no hint, so the summary is broadcast only below the planner's
     size limit, and a skewed side is split above it. Without keys there is one
     row to add."""
     one = settle_summary(df.groupBy(*keys).agg(*[v.alias(n) for n, v in stats.items()]), df)
-    return df.join(one, keys, "left") if keys else df.crossJoin(F.broadcast(one))
+    return df.join(one, keys, "left") if keys else with_row(df, one)
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -54,7 +59,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
         *[edge(i, p, False).alias(f"__hi{i}") for i, (_, p) in enumerate(wanted)],
     )
     ends = settle_summary(ends, base)
-    rows = base.join(ends, keys) if keys else base.crossJoin(F.broadcast(ends))
+    rows = base.join(ends, keys) if keys else with_row(base, ends)
     if k == 1:
         rows = rows.select(*keys, "__n", F.lit(0).alias("__i"), "__x", F.col("__lo0").alias("__lo"), F.col("__hi0").alias("__hi"))
     else:

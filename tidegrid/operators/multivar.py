@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.operators.group import with_row
 from tidegrid.session import settle
 
 
@@ -178,4 +179,4 @@ def pc_influence(df: DataFrame, subject: str, time: str, value: str, n_times: in
     out = rows.mapInPandas(leave_out, f"`{subject}` {dict(df.dtypes)[subject]}, similarity double")
     out = settle(out, "influence")
     cut = out.agg((F.avg("similarity") - 2 * F.stddev_samp("similarity")).alias("__cut"))
-    return out.crossJoin(F.broadcast(cut)).withColumn("influential", F.col("similarity") < F.col("__cut")).drop("__cut")
+    return with_row(out, cut).withColumn("influential", F.col("similarity") < F.col("__cut")).drop("__cut")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.scalars import unit_hash
 from tidegrid.functions.special import p_two_sided_t, p_upper_chi2, p_upper_f
-from tidegrid.operators.group import average_rank, with_stats
+from tidegrid.operators.group import average_rank, with_row, with_stats
 from tidegrid.operators.joins import moments_corr, pairwise_moments
 from tidegrid.operators.scan import cut, scan
 from tidegrid.operators.series import zscore
@@ -120,7 +120,7 @@ def kruskal(df: DataFrame, group: str, col: str) -> DataFrame:
     )
     n = F.col("n_obs").cast("double")
     raw = F.lit(12.0) / (n * (n + 1)) * F.col("__q") - 3 * (n + 1)
-    return h.crossJoin(F.broadcast(ties)).select("n_groups", "n_obs", (raw / (1 - F.col("__t") / (n * n * n - n))).alias("h"))
+    return with_row(h, ties).select("n_groups", "n_obs", (raw / (1 - F.col("__t") / (n * n * n - n))).alias("h"))
 
 
 def with_chi2_p(df: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def complete_times(df: DataFrame, by: list[str], entity: str, time: str, cols: l
     n = df.select(*by, entity).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("__all")) if by else \
         df.select(entity).distinct().agg(F.count(F.lit(1)).alias("__all"))
     at = d.groupBy(*by, time).agg(F.count(F.lit(1)).alias("__here"))
-    at = at.join(n, by) if by else at.crossJoin(F.broadcast(n))
+    at = at.join(n, by) if by else with_row(at, n)
     return d.join(at.filter("__here = __all").select(*by, time), [*by, time], "left_semi")
 
 
@@ -176,7 +176,7 @@ def isc(df: DataFrame, entity: str, time: str, cols: list[str], by: list[str] |
     terms = [F.avg(F.col(f"{c}_z") * (F.col(f"__s_{c}") - F.col(f"{c}_z"))) for c in cols]
     per = z.groupBy(*by, entity).agg((reduce(lambda a, b: a + b, terms) / len(cols)).alias("__sum"), F.count(F.lit(1)).alias("n_times"))
     n = per.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    per = per.join(n, by) if by else per.crossJoin(F.broadcast(n))
+    per = per.join(n, by) if by else with_row(per, n)
     r = (F.col("__sum") + 1) / F.col("__n") if include_self else F.col("__sum") / (F.col("__n") - 1)
     return per.select(*by, entity, "n_times", r.alias("isc"))
 

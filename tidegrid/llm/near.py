@@ -33,7 +33,7 @@ from tidegrid.session import settle
 
 SHINGLE = 5
 #: 13 chunks of 5: every pair within a distance of 25 of 65 shares a key. At a
-#: similarity of 0.85 a larger distance has a chance of about 3 in a million.
+#: similarity of 0.85 a larger distance has a chance of one in a million.
 CHUNKS, WIDTH = 13, 5
 SYMBOLS = CHUNKS * WIDTH
 REACH = 2 * CHUNKS - 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import near, rules
+from tidegrid.llm import blocks, near, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,19 @@ SELECT c.*, coalesce(class_id, c.doc_id) AS class_id, c.doc_id = component_id AS
 @query("op6_near_duplicates", _NEAR_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_BLOCKS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i:i + 34] AS win FROM d, LATERAL (SELECT unnest(range(1, len(w) - 33)) AS i)),
+twice AS (SELECT win FROM g GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM g JOIN twice USING (win)),
+lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN lists USING (doc_id)"""
+
+
+@query("op5_substring_dedup", _BLOCKS_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -31,13 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.text import U, Rolling, Words, flat, small_batches, texts_of
+from tidegrid.llm.text import LOWER, U, Rolling, Words, flat, small_batches, texts_of
 
 K1, B = 1.2, 0.75
 SEGMENT, SHINGLE, BLOCK = 64, 5, 8
 THRESHOLD, OVERLAP = 0.6, 0.8
 SHARD_BYTES = 8 << 20
 _SPLIT = re.compile(rb"[.?!\n]\s")
+#: Words of items and passages: A-Z in lower case, ASCII punctuation as white space.
+PLAIN = LOWER.copy()
+PLAIN[[b for b in range(33, 128) if not chr(b).isalnum()]] = 32
 _TERMS = "item long, part int, length long, term long, tf long"
 
 
@@ -46,6 +49,10 @@ def _as_bytes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
 
 
+def _plain(data: np.ndarray, off: np.ndarray) -> Words:
+    return Words(PLAIN[data], off)
+
+
 def parts_of(text: str) -> tuple[bytes, bytes]:
     """Question and answer of an item: the answer is the last sentence or line,
     or the last quarter of the words of a text that has only one."""
@@ -60,7 +67,7 @@ def parts_of(text: str) -> tuple[bytes, bytes]:
 
 def shingles(raw: bytes) -> tuple[int, np.ndarray]:
     """Shingle length (SHINGLE, or all words of a shorter text) and hashes."""
-    h = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hashes(lower=True)
+    h = _plain(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hashes()
     n = min(SHINGLE, len(h))
     return n, np.unique(Rolling(h).windows(n)) if n else np.zeros(0, U)
 
@@ -111,8 +118,8 @@ def _expand(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _search(data: np.ndarray, off: np.ndarray, s: Shard, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
     """(document, item, score, question overlap, answer overlap) of verified pairs."""
-    w = Words(data, off)
-    h = w.hashes(lower=True)
+    w = _plain(data, off)
+    h = w.hashes()
     if not len(s.terms) or not len(h):
         return []
     near = np.minimum(np.searchsorted(s.terms, h), len(s.terms) - 1)
@@ -162,7 +169,7 @@ def _index(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[Shard
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
-                h = Words(*_as_bytes(text)).hashes(lower=True)
+                h = _plain(*_as_bytes(text)).hashes()
                 for part in range(-(-len(h) // SEGMENT)):
                     own = h[part * SEGMENT : (part + 1) * SEGMENT]
                     if part and len(own) < SEGMENT:
@@ -189,7 +196,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """Verified pairs: doc_id, item_id, score (0 to 1, the largest over the
     passages), question_overlap and answer_overlap.
 
-    Letters A-Z are compared in lower case. A document or item without words
+    Words are compared in lower case (A-Z) and without ASCII punctuation. A document or item without words
     gives no pair; an item without a question part is judged on its answer. A
     null id stays null; equal items count once; a repeated document gives its
     pairs again; no documents or no items give no rows."""

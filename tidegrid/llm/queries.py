@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import blocks, leaks, near, rules
+from tidegrid.llm import blocks, leaks, near, pieces, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +23,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -94,3 +101,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_benchmark_decontamination")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 6))
+
+
+@query("op2_piece_coding")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, p=0.1, seed=1)
+    back = pieces.decode(coded, path)
+    lossless = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.col("piece_ids_crc32").alias("ids_crc32"), lossless.alias("lossless"))

@@ -159,6 +159,13 @@ def passes(policy: str) -> Column:
     return F.col("failed_bits").bitwiseAND(F.lit(POLICIES[policy][1])) == 0
 
 
+def passing(docs: DataFrame, policy: str, text_col: str = "text") -> DataFrame:
+    """The documents that pass a policy, with all their columns, whatever their names."""
+    plain = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+    text = plain.columns[docs.columns.index(text_col)]
+    return ledger(plain, text_col=text, keep=True).where(passes(policy)).select(*plain.columns).toDF(*docs.columns)
+
+
 def ablation(rows: DataFrame) -> DataFrame:
     """For each policy and each of its rules: n_docs, n_rejected by the policy,
     n_failed by the rule, and n_only, those that the policy would keep without

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import blocks, leaks, near, pieces, rules
+from tidegrid.llm import blocks, leaks, near, pieces, rules, tokens
+from tidegrid.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -110,3 +113,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = pieces.decode(coded, path)
     lossless = F.coalesce("text", F.lit("")) == F.col("decoded")
     return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.col("piece_ids_crc32").alias("ids_crc32"), lossless.alias("lossless"))
+
+
+@query("op9_token_output")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = os.path.join(shared_dir(spark), f"ids-{uuid.uuid4().hex}")
+    tokens.write_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), out, end_id=2)
+    return tokens.read_ids(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")

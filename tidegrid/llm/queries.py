@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import blocks, leaks, near, pieces, rules, tokens
+from tidegrid.llm import blocks, langid, leaks, near, pieces, rules, tokens, unigram
 from tidegrid.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = os.path.join(shared_dir(spark), f"ids-{uuid.uuid4().hex}")
     tokens.write_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), out, end_id=2)
     return tokens.read_ids(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = langid.train(docs.where(fold != 2), key=F.col("doc_id"))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))

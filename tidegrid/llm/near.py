@@ -258,8 +258,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 blobs = [h[a:b].tobytes() for a, b in zip(first, first[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("class_id"), part.column("cluster"), pa.array(np.diff(first)), pa.array(blobs, pa.binary())], names=["class_id", "cluster", "n", "shingles"])
 
+    # Merged whatever the size of the clusters' table, which has no bound.
     # Rows of one id may have different texts: each takes part under its id.
-    full = docs.withColumnRenamed("doc_id", "class_id").join(cluster, "class_id").select("class_id", "cluster", "text").mapInArrow(sets, "class_id long, cluster long, n long, shingles binary")
+    full = docs.withColumnRenamed("doc_id", "class_id").join(cluster.hint("merge"), "class_id").select("class_id", "cluster", "text").mapInArrow(sets, "class_id long, cluster long, n long, shingles binary")
     full = settle(full.where("n > 0"), "sets")
     load = full.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / CLUSTER_DOCS, F.sum("n") / CLUSTER_SHINGLES)).alias("blocks"))
     tiles = _tiled(full.join(load, "cluster"), "cluster", "blocks").select("tile", "class_id", "shingles")

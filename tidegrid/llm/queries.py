@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import blocks, langid, leaks, near, pieces, rules, tokens, unigram
+from tidegrid.llm import blocks, langid, leaks, licenses, near, pieces, rules, tokens, unigram
 from tidegrid.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +134,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_counts")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def _licenses_sql() -> str:
+    rows = ", ".join(f"('{k}', '{v}', {licenses.class_of(len(words))}, {licenses.stride(licenses.class_of(len(words)))})" for k, v in licenses.TEMPLATES.items() for words in [[w for w in re.split(licenses.GAP, v.lower()) if w]])
+    return r"""
+WITH t AS (SELECT template, size, step, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM (VALUES @ROWS) AS v(template, text, size, step)),
+ts AS (SELECT DISTINCT template, size, step, w[i:i + 4] AS g FROM t, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
+n AS (SELECT template, count(*) AS n FROM ts GROUP BY 1),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
+s AS (SELECT doc_id, i - 1 AS i, w[i:i + 4] AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
+hit AS (SELECT doc_id, template, g, size, step, i FROM s JOIN ts USING (g)),
+win AS (SELECT doc_id, template, k * step AS first, count(DISTINCT g) AS c FROM hit, LATERAL (SELECT unnest(range(greatest(0, ceil((i - (size - 5)) / step))::BIGINT, (i // step) + 1)) AS k) GROUP BY ALL)
+SELECT doc_id, template, max(c / n) AS containment, count(*) AS n_windows, min(first) AS first_word FROM win JOIN n USING (template) WHERE c / n >= 0.8 GROUP BY 1, 2""".replace("@ROWS", rows)
+
+
+@query("op4_license_scan", _licenses_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))

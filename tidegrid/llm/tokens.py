@@ -120,6 +120,12 @@ class Encoder:
         return out, np.append(begin, len(out))[first_atom]
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, with the words that it knows by then."""
+    return Encoder(path)
+
+
 def with_end(ids: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """end_id after each document."""
     return np.insert(ids, first[1:], end_id), first + np.arange(len(first))
@@ -219,7 +225,7 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     integers of two or four bytes; written, as two passes read them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in batches:
             for part in texts_of(batch, SLICE):
                 ids, first = with_end(*encode(part.column("text")), end_id)
@@ -268,7 +274,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 2, id_col: str
     small_batches(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    ids, dtype = encoded(docs, path, end_id), Encoder(path).type
+    ids, dtype = encoded(docs, path, end_id), encoder(path).type
     counts = {r["id"]: r["n"] for r in count_ids(ids, dtype).collect()}  # one row per entry of the vocabulary at most
     lengths = code_lengths(counts)
     spark.createDataFrame(sorted(lengths.items()), "id long, length long").coalesce(1).write.parquet(os.path.join(out, "book"))

@@ -57,7 +57,7 @@ def _sent(bits: int, pack: int, named: dict[str, list[bytes]], keep: list[int])
     return pa.table({"bucket": pa.array(keep, pa.int32()), "pack_id": pa.array([pack] * len(keep), pa.int64()), **{k: pa.array([v[i] for i in keep], pa.binary()) for k, v in named.items()}})
 
 
-def repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", cut: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", cut: bool = False, pack_bytes: int = P.PACK_BYTES) -> DataFrame:
     """Words covered by a window of `length` words whose word sequence also
     starts anywhere else, in the same or another row.
 
@@ -74,7 +74,7 @@ def repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col:
     docs = docs if cut else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_col, text_col = (id_col, text_col) if cut else ("doc_id", "text")
     fields = docs.schema
-    held = P.packed(docs, text_col)
+    held = P.packed(docs, text_col, pack_bytes)
     bits = P.bucket_bits(held, BUCKET_BYTES)
     shift = U(64 - bits - 24)
 

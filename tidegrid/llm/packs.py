@@ -24,8 +24,9 @@ from tidegrid.session import settle
 PACK_BYTES = 1 << 21
 
 
-def packed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(pack_id, n, body): all columns of the documents, n bytes of text; written."""
+def packed(docs: DataFrame, text_col: str = "text", pack_bytes: int = PACK_BYTES) -> DataFrame:
+    """(pack_id, n, body): all columns of the documents, n bytes of text (about
+    pack_bytes); written."""
     small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,10 +40,10 @@ def packed(docs: DataFrame, text_col: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([base + k]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack_id", "n", "body"])
 
         for batch in batches:
-            for part in texts_of(batch, column=text_col):
+            for part in texts_of(batch, min(pack_bytes, 1 << 18), text_col):
                 held.append(part)
                 size += int(flat(part.column(text_col))[1][-1])
-                if size >= PACK_BYTES:
+                if size >= pack_bytes:
                     yield row()
                     k, held, size = k + 1, [], 0
         if held:

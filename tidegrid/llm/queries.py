@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import blocks, langid, leaks, licenses, near, pieces, rules, tokens, unigram
+from tidegrid.llm import blocks, langid, leaks, licenses, near, pieces, rules, suffixes, tokens, unigram
 from tidegrid.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,8 @@ SELECT doc_id, template, max(c / n) AS containment, count(*) AS n_windows, min(f
 @query("op4_license_scan", _licenses_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

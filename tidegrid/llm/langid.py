@@ -114,8 +114,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key:
     n = rows.groupBy("lang").agg(F.count("*").alias("n"))
     each = max(MIN_PER_LANGUAGE, cap // max(1, n.count()))
     # A share of each language with some to spare, then the first of those few.
+    # Shares are one row per language, as many as the model has outputs.
     share = n.withColumn("below", F.least(F.lit(1.0), F.lit(2.0 * each + 20) / F.col("n")))
-    near = rows.join(share, "lang").where(F.expr("pmod(key, 1000000) < below * 1000000"))
+    near = rows.join(F.broadcast(share), "lang").where(F.expr("pmod(key, 1000000) < below * 1000000"))
     few = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("r") <= each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -202,7 +202,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     pairs again; no documents or no items give no rows."""
     small_batches(docs)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    item_type = items.schema[item_col].dataType
+    item_type, item_arrow = items.schema[item_col].dataType, items.select(item_col).limit(0).toArrow().schema.field(0).type
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", item_type), *[T.StructField(c, T.DoubleType()) for c in ("score", "question_overlap", "answer_overlap")]])
     result = docs.sparkSession.createDataFrame([], out)
     for shard, names in _index(items, item_col, item_text_col):
@@ -215,7 +215,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                     got = _search(*flat(part.column("text")), shard, threshold, overlap)
                     if got:
                         d, item, *nums = zip(*got)
-                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), pa.array([names[i] for i in item]), *(pa.array(x, pa.float64()) for x in nums)], names=out.names)
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), pa.array([names[i] for i in item], item_arrow), *(pa.array(x, pa.float64()) for x in nums)], names=out.names)
 
         result = result.unionAll(source.mapInArrow(run, out))
     return result.withColumnsRenamed({"doc_id": id_col, "item_id": item_col})

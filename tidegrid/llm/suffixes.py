@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.llm import packs as P
-from tidegrid.llm.text import BYTES, U, Rolling, flat, runs, spread, sum_by, texts_of
+from tidegrid.llm.text import BYTES, U, Rolling, flat, mix, runs, spread, sum_by, texts_of
 
 GRAM = 64
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Suffixes that are ordered at a time; more share their first eight bytes.
-CHUNK = 1 << 17
+CHUNK = 1 << 16
 #: A gram in more packs than this goes by window hashes.
 HOT_PACKS = 500
 _TOP = U((1 << 64) - 1)
@@ -92,7 +92,8 @@ class Contexts:
         close[:-1] = begin[1:] | ~ok[1:]
         stop = np.flatnonzero(ok & close) + 1
         again = sum_by(ok & (h[: len(low)] == low) & ~close, np.append(start, len(low))) > 0
-        return start + base, stop - start, low[start], roll(start, stop + length - 1), again
+        # Mixed, as smallest hashes are not spread evenly over the buckets.
+        return start + base, stop - start, mix(low[start]), roll(start, stop + length - 1), again
 
 
 def _distinct_contexts(c: Contexts, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -33,25 +33,40 @@ def _(t):
     return rounded(_psd(t), "power", digits=5)
 
 
+@query("sp01_welch_absent", f"WITH {SIG.replace('sig AS', 'whole AS', 1)}, sig AS (SELECT * FROM whole WHERE event_id % 11 <> 0), {PSD} SELECT recording, freq, {q('power', 'power', 5)}, n_segments FROM psd")
+def _(t):
+    """Samples that are not there leave gaps; those after them stay where they are."""
+    return rounded(spectral.welch_psd(t.signal.where("event_id % 11 <> 0"), ["recording"], "sample_idx", "value", FS, SEG), "power", digits=5)
+
+
 WAVES = [(1.0, 2.0), (2.0, 3.0)]
 
 
-def _wave_rows():
-    rows = []
-    for f, c in WAVES:
-        w = spectral._wavelet(f, c, FS)
-        h = len(w) // 2
-        rows += [f"({f}::DOUBLE, {j - h}, {float(w[j].real)!r}::DOUBLE, {float(w[j].imag)!r}::DOUBLE)" for j in range(len(w))]
-    return ", ".join(rows)
+# The wavelet in SQL: a complex wave under a Gaussian of `c` cycles, less its
+# mean, of power two.
+WAVE_SQL = f"""wp(freq, c) AS (VALUES {", ".join(f"({f}::DOUBLE, {c}::DOUBLE)" for f, c in WAVES)}), ws AS (SELECT freq, c / (2 * pi() * freq) AS sigma FROM wp),
+  wt AS (SELECT freq, sigma, o, o / {FS} AS t FROM ws, LATERAL (SELECT unnest(range(-200, 201)) AS o) WHERE abs(o) < 5 * sigma * {FS}),
+  wr AS (SELECT freq, o, (cos(2 * pi() * freq * t) - exp(-2 * power(pi() * freq * sigma, 2))) * exp(-t * t / (2 * sigma * sigma)) AS re, sin(2 * pi() * freq * t) * exp(-t * t / (2 * sigma * sigma)) AS im FROM wt),
+  wv AS (SELECT freq, o, re / sqrt(0.5 * n) AS re, im / sqrt(0.5 * n) AS im FROM wr JOIN (SELECT freq, sum(re * re + im * im) AS n FROM wr GROUP BY freq) USING (freq))"""
 
 
-@query("sp02_tf_power", f"""WITH {SIG}, wv(freq, o, re, im) AS (VALUES {_wave_rows()}), c AS (SELECT recording, sample_idx AS at0 FROM sig WHERE sample_idx % 2 = 0)
+@query("sp02_tf_power", f"""WITH {SIG}, {WAVE_SQL}, c AS (SELECT recording, sample_idx AS at0 FROM sig WHERE sample_idx % 2 = 0)
   SELECT c.recording, at0 AS sample_idx, freq, {q('power(sum(s.value * re), 2) + power(sum(s.value * im), 2)', 'power', 4)} FROM c JOIN sig s ON s.recording = c.recording JOIN wv ON o = at0 - s.sample_idx GROUP BY ALL""")
 def _(t):
     d = spectral.tf_power(t.signal, ["recording"], "sample_idx", "value", FS, [f for f, _ in WAVES], [c for _, c in WAVES], 2)
     return rounded(d, "power", digits=4)
 
 
+@query("sp02_tf_power_absent", f"""WITH {SIG.replace('sig AS', 'whole AS', 1)}, sig AS (SELECT * FROM whole WHERE event_id % 11 <> 0), {WAVE_SQL},
+  b AS (SELECT recording, min(sample_idx) AS lo, max(sample_idx) AS hi FROM sig GROUP BY 1), c AS (SELECT recording, unnest(range(0, hi + 1, 2)) AS at0, lo, hi FROM b),
+  g AS (SELECT recording, at0, freq, at0 - o AS at, re, im, at0 - o BETWEEN lo AND hi AS due FROM c, wv)
+  SELECT g.recording, at0 AS sample_idx, freq, CASE WHEN bool_or(due AND s.value IS NULL) THEN NULL ELSE {q('power(coalesce(sum(s.value * re), 0), 2) + power(coalesce(sum(s.value * im), 0), 2)', 'x', 4).rsplit(' AS ', 1)[0]} END AS power
+  FROM g LEFT JOIN sig s ON s.recording = g.recording AND s.sample_idx = g.at GROUP BY ALL""")
+def _(t):
+    d = spectral.tf_power(t.signal.where("event_id % 11 <> 0"), ["recording"], "sample_idx", "value", FS, [f for f, _ in WAVES], [c for _, c in WAVES], 2)
+    return rounded(d, "power", digits=4)
+
+
 TEST_BANDS = {"low": ((0.5, 1.5), 0.5), "high": ((1.5, 4.0), 1.0)}
 
 

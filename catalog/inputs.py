@@ -57,19 +57,32 @@ META_SQL = f""", lm AS (SELECT label, n_name AS DK_Atlas, r_name AS network FROM
   (SELECT DISTINCT channel, {LABEL_SQL} AS label FROM sig) c JOIN nation ON n_nationkey = length(channel) JOIN region ON n_regionkey = r_regionkey)"""
 
 
-@query("io01_read_wide", f"WITH {DAY_SQL} SELECT label, window_idx, value FROM dp WHERE recording = (SELECT min(recording) FROM dp)")
-def _(t):
+def _wide_file(t, path):
+    """The windowed power of all recordings as one wide file set; returns each
+    recording's first window."""
     power = _day_power(t)
-    first = power.agg(F.min("recording").alias("recording"))
-    one = power.join(F.broadcast(first), "recording")
-    meta = _label_meta(t).join(one.select("recording", "label").distinct(), "label")
-    channels = sorted(LABELS.values())
-    w = wide.to_wide(one, meta, "recording", "window_idx", "label", "value", channels, ["DK_Atlas", "network"])
+    meta = _label_meta(t).join(power.select("recording", "label").distinct(), "label")
+    wide.write_wide(wide.to_wide(power, meta, "recording", "window_idx", "label", "value", sorted(LABELS.values()), ["DK_Atlas", "network"]), path)
+    return power.groupBy(F.col("recording").cast("string").alias("SubID")).agg(F.min("window_idx").alias("z"))
+
+
+@query("io01_read_wide", f"WITH {DAY_SQL} SELECT CAST(recording AS VARCHAR) AS recording, label, window_idx, value FROM dp")
+def _(t):
     path = _folder(t, "wide")
-    wide.write_wide(w, path)
+    zero = _wide_file(t, path)
     _, long = wide.read_wide(t.spark, path)
-    zero = one.agg(F.min("window_idx").alias("z"))
-    return long.filter("value is not null").crossJoin(F.broadcast(zero)).select("label", (F.col("window_idx") + F.col("z")).alias("window_idx"), "value")
+    return long.filter("value is not null").join(zero, "SubID").select(F.col("SubID").alias("recording"), "label", (F.col("window_idx") + F.col("z")).alias("window_idx"), "value")
+
+
+@query("io01_read_wide_no_index", f"""WITH {DAY_SQL}, g AS (SELECT DISTINCT recording, window_idx FROM dp),
+  k AS (SELECT recording, window_idx, row_number() OVER (PARTITION BY recording ORDER BY window_idx) - 1 AS k FROM g)
+  SELECT CAST(recording AS VARCHAR) AS recording, label, k AS window_idx, value FROM dp JOIN k USING (recording, window_idx)""")
+def _(t):
+    path, bare = _folder(t, "wide"), _folder(t, "bare")
+    _wide_file(t, path)
+    t.spark.read.option("header", True).csv(path).orderBy("SubID", F.col("row_id").cast("long")).drop("row_id").write.option("header", True).csv(bare)
+    _, long = wide.read_wide(t.spark, bare)
+    return long.filter("value is not null").select(F.col("SubID").alias("recording"), "label", "window_idx", "value")
 
 
 @query("io02_to_wide", f"WITH {DAY_SQL}{META_SQL}, u AS (" + f"""
@@ -108,6 +121,17 @@ def _(t):
     return d.select("tag", F.col("id").cast("int").alias("id"), "label", F.col("region_id").cast("bigint").alias("region_id"))
 
 
+@query("io04_read_many_mixed", """SELECT n_nationkey AS id, n_name AS label, CASE WHEN n_nationkey % 3 = 2 THEN n_regionkey END AS region_id FROM nation""")
+def _(t):
+    """One folder whose files name and order their columns each in its own way."""
+    path, key, name, region = _folder(t, "csv"), F.col("n_nationkey"), F.col("n_name"), F.col("n_regionkey")
+    kinds = [[key.alias("ID"), name.alias("Name ")], [name.alias("label"), key.alias("id")], [region.alias("region_id"), key.alias("id"), name.alias("NAME")]]
+    for k, cols in enumerate(kinds):
+        t.nation.where(f"n_nationkey % 3 = {k}").select(*cols).write.mode("append").option("header", True).csv(path)
+    d = src.read_many(t.spark, {"all": path}, {"id": [], "label": ["name"]})
+    return d.select(F.col("id").cast("int").alias("id"), "label", F.col("region_id").cast("int").alias("region_id"))
+
+
 @query("io05_list_inputs", "SELECT DISTINCT r_name AS video, CAST(n_nationkey AS VARCHAR) AS patient, 'run-01' AS run FROM nation JOIN region ON n_regionkey = r_regionkey")
 def _(t):
     d = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))

@@ -31,17 +31,25 @@ def sub_bins(lo: float, hi: float, width: float) -> list[tuple[float, float]]:
 
 
 def _blocks(df: DataFrame, keys: list[str], idx: str, value: str, block: int, before: int, after: int) -> DataFrame:
-    """Rows (keys, block start, first index, values) with `before`/`after`
-    extra samples either side. Missing samples are NaN in the array."""
+    """Rows (keys, block start, indices, values) with `before`/`after` extra
+    samples either side, in index order; absent samples have no index there."""
     i = F.col(idx).cast("long")
     lo = F.greatest(F.floor((i - after) / block), F.lit(0))
     hi = F.greatest(F.floor((i + before) / block), lo)
     spread = df.select(*keys, i.alias("__i"), F.col(value).cast("double").alias("__v"), F.explode(F.sequence(lo, hi)).alias("__b"))
     got = spread.groupBy(*keys, "__b").agg(F.array_sort(F.collect_list(F.struct("__i", "__v"))).alias("__s"))
     return got.select(
-        *keys, (F.col("__b") * block).alias("__from"), F.col("__s")[0]["__i"].alias("__first"),
-        F.transform("__s", lambda s: F.coalesce(s["__v"], F.lit(float("nan")))).alias("__x"),
-    ).filter(F.size("__x") > 0)
+        *keys, (F.col("__b") * block).alias("__from"), F.col("__s.__i").alias("__at"),
+        F.transform("__s", lambda s: F.coalesce(s["__v"], F.lit(float("nan")))).alias("__x"))
+
+
+def _placed(at: np.ndarray, x: np.ndarray) -> tuple[int, np.ndarray]:
+    """First index, and the values by their index from there: NaN where a
+    sample is absent as where it is missing."""
+    at, x = np.asarray(at, dtype=np.int64), np.asarray(x, dtype=float)
+    out = np.full(int(at[-1] - at[0]) + 1, np.nan)
+    out[at - at[0]] = x
+    return int(at[0]), out
 
 
 def welch_psd(df: DataFrame, keys: list[str], idx: str, value: str, fs: float, seg: int, step: int | None = None,
@@ -61,24 +69,27 @@ def welch_psd(df: DataFrame, keys: list[str], idx: str, value: str, fs: float, s
     scale = (double / (fs * (taper**2).sum()))[pick]
 
     @F.pandas_udf("struct<n: bigint, p: array<double>>")
-    def segments(start: pd.Series, first: pd.Series, xs: pd.Series) -> pd.DataFrame:
+    def segments(start: pd.Series, index: pd.Series, xs: pd.Series) -> pd.DataFrame:
         n, out = [], []
-        for s, f, x in zip(start, first, xs):
-            x = np.asarray(x, dtype=float)
+        for s, i, x in zip(start, index, xs):
+            f, x = _placed(i, x)
             if len(x) < seg:
-                n.append(0), out.append([0.0] * int(pick.sum()))
+                n.append(0), out.append([])
                 continue
             w = np.lib.stride_tricks.sliding_window_view(x, seg)[(-f) % step::step]
             at = f + (-f) % step + step * np.arange(len(w))
             w = w[(at >= s) & (at < s + block)]
             w = w[np.isfinite(w).all(axis=1)]
             spec = np.fft.rfft((w - w.mean(axis=1, keepdims=True)) * taper, axis=1)[:, pick] if len(w) else np.zeros((0, pick.sum()))
-            n.append(len(w)), out.append(list((np.abs(spec) ** 2).sum(axis=0) * scale))
+            n.append(len(w)), out.append(list((np.abs(spec) ** 2).sum(axis=0) * scale) if len(w) else [])
         return pd.DataFrame({"n": n, "p": out})
 
-    parts = _blocks(df, keys, idx, value, block, 0, seg - 1).select(*keys, segments("__from", "__first", "__x").alias("__seg"))
+    # Marked as non-deterministic so that no filter is pushed through it, which
+    # would run it twice. A block without a whole segment has no powers.
+    once = segments.asNondeterministic()
+    parts = _blocks(df, keys, idx, value, block, 0, seg - 1).select(*keys, once("__from", "__at", "__x").alias("__seg"))
     hz = [float(f) for f in freqs[pick]]
-    long = parts.filter("__seg.n > 0").select(*keys, F.col("__seg.n").alias("__n"), F.posexplode("__seg.p").alias("__k", "__p"))
+    long = parts.select(*keys, F.col("__seg.n").alias("__n"), F.posexplode("__seg.p").alias("__k", "__p"))
     return long.groupBy(*keys, "__k").agg(F.sum("__n").alias("n_segments"), F.sum("__p").alias("__p")).select(
         *keys, F.array(*[F.lit(f) for f in hz])[F.col("__k")].alias("freq"), (F.col("__p") / F.col("n_segments")).alias("power"), "n_segments"
     )
@@ -125,10 +136,10 @@ def tf_power(df: DataFrame, keys: list[str], idx: str, value: str, fs: float, fr
         kernel[half - h:half + h + 1, j] = w[::-1]
 
     @F.pandas_udf("array<struct<at: bigint, p: array<double>>>")
-    def centres(start: pd.Series, first: pd.Series, xs: pd.Series) -> pd.Series:
+    def centres(start: pd.Series, index: pd.Series, xs: pd.Series) -> pd.Series:
         out = []
-        for s, f, x in zip(start, first, xs):
-            x = np.asarray(x, dtype=float)
+        for s, i, x in zip(start, index, xs):
+            f, x = _placed(i, x)
             last = min(s + block, f + len(x))
             at = np.arange(s, last, step)
             padded = np.zeros(block + 2 * half)
@@ -142,7 +153,7 @@ def tf_power(df: DataFrame, keys: list[str], idx: str, value: str, fs: float, fr
         return pd.Series(out)
 
     n = df.groupBy(*keys).agg((F.max(idx) + 1).alias("__n"))
-    got = _blocks(df, keys, idx, value, block, half, half).select(*keys, F.explode(centres("__from", "__first", "__x")).alias("__c"))
+    got = _blocks(df, keys, idx, value, block, half, half).select(*keys, F.explode(centres.asNondeterministic()("__from", "__at", "__x")).alias("__c"))
     long = got.join(n, keys).filter(F.col("__c.at") < F.col("__n")).select(*keys, F.col("__c.at").alias(idx), F.posexplode("__c.p").alias("__k", "power"))
     return long.select(*keys, idx, F.array(*[F.lit(float(f)) for f in freqs])[F.col("__k")].alias("freq"), F.nanvl("power", F.lit(None)).alias("power"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,13 +63,20 @@ def find_column(df: DataFrame, *names: str) -> str:
 
 
 def read_many(spark: SparkSession, groups: dict[str, str], aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """Union of CSV sets with their tag and file of origin. Each set is one
-    read of a glob; columns are matched by name, absent ones are null."""
+    """Union of CSV sets with their tag and file of origin. Columns are matched
+    by name in every file, absent ones are null.
+
+    A reader binds the columns of all files by the first one's header, so files
+    are grouped by their own header line and each group is one read."""
     parts = []
     for tag, glob in groups.items():
-        d = spark.read.option("header", True).csv(glob)
-        d = standardise(d, aliases) if aliases else d
-        parts.append(d.select("*", F.col("_metadata.file_name").alias("source_csv"), F.lit(tag).alias("tag")))
+        lines = spark.read.text(glob).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"), "value")
+        heads = lines.where("b = 0").groupBy("file").agg(F.min_by("value", "m").alias("head"))
+        # As many rows as the driver's own listing of the folder.
+        for row in heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect():
+            d = spark.read.option("header", True).csv(row["files"])
+            d = standardise(d, aliases) if aliases else d
+            parts.append(d.select("*", F.col("_metadata.file_name").alias("source_csv"), F.lit(tag).alias("tag")))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -95,13 +103,32 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _replace(spark: SparkSession, new: str, path: str) -> None:
+    """Put a finished table in the place of another, which stays until then."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    old = f"{path}.old-{uuid.uuid4().hex}"
+    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(jvm.Path(path))
+    if had and not fs.rename(jvm.Path(path), jvm.Path(old)):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(jvm.Path(new), jvm.Path(path)):
+        if had:
+            fs.rename(jvm.Path(old), jvm.Path(path))
+        raise OSError(f"cannot move {new}")
+    if had:
+        fs.delete(jvm.Path(old), True)
+
+
 def write_once(df: DataFrame, path: str, overwrite: bool = False, partition_by: list[str] | None = None) -> bool:
     """Write unless a finished table is there (it has its _SUCCESS mark).
-    Output appears only when the job commits. Returns whether it wrote."""
+    Output is written beside and moved into place when the job has committed,
+    so a failed job leaves the table that was there. Returns whether it wrote."""
     spark = df.sparkSession
     if not overwrite and _exists(spark, f"{path}/_SUCCESS"):
         return False
-    df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
+    new = f"{path}.new-{uuid.uuid4().hex}"
+    df.write.partitionBy(*(partition_by or [])).parquet(new)
+    _replace(spark, new, path)
     return True
 
 
@@ -138,15 +165,17 @@ def keep_annotations(fresh: DataFrame, existing: DataFrame, keys: list[str], col
 
 
 def write_coverage(df: DataFrame, path: str, decision: str = "include") -> str:
-    """Write the coverage table; where the one there holds decisions, write a
-    sibling `<path>_rescan` instead. Returns the path written."""
+    """Write the coverage table. Where the one there holds decisions, write the
+    first sibling `<path>_rescan`, `<path>_rescan2`, ... that holds none.
+    Returns the path written."""
     spark = df.sparkSession
-    if _exists(spark, f"{path}/_SUCCESS"):
-        filled = F.trim(F.coalesce(F.col(decision).cast("string"), F.lit("")))
-        if not spark.read.parquet(path).filter(~filled.isin("", "nan", "None")).isEmpty():
-            path = f"{path}_rescan"
-    df.write.mode("overwrite").parquet(path)
-    return path
+    filled = ~F.trim(F.coalesce(F.col(decision).cast("string"), F.lit(""))).isin("", "nan", "None")
+    to, n = path, 0
+    while _exists(spark, f"{to}/_SUCCESS") and not spark.read.parquet(to).filter(filled).isEmpty():
+        n += 1
+        to = f"{path}_rescan{n if n > 1 else ''}"
+    write_once(df, to, overwrite=True)
+    return to
 
 
 def truthy(col: Column) -> Column:

@@ -4,35 +4,45 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidegrid.session import settle
+
 ID_COLS = ["row_id", "SubID", "Atlas"]
 
 
+def _numbered(raw: DataFrame, out: str) -> DataFrame:
+    """Rows with their number over all files, by name and place. A task reads a
+    block of a file from start to end, so a row's number is its place in the
+    block after the counts of the blocks before; written once, as the place is
+    known only where the file is read."""
+    place = {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__m": F.monotonically_increasing_id()}
+    rows = settle(raw.select("*", *[c.alias(k) for k, c in place.items()]), "wide")
+    blocks = rows.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__m").alias("__low"))
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("__file", "__block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__low")).alias("__shift"))
+    return rows.join(blocks, ["__file", "__block"]).withColumn(out, F.col("__m") + F.col("__shift")).drop("__file", "__block", "__m", "__shift")
+
+
 def read_wide(spark: SparkSession, path: str, index: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """(metadata, windows): metadata is (SubID, atlas, label, region); windows
     is (SubID, label, window_idx, value). Rows with Atlas set are metadata; text
     that is no number is missing.
 
     A file written with its index column keeps its row order by it. Without
-    one, rows are ordered by their place in the file.
+    one, rows are numbered by their place in the file, however it is split.
     """
     raw = spark.read.option("header", True).csv(path)
     labels = [c for c in raw.columns if c not in (*ID_COLS, index) and not c.startswith("Unnamed")]
     if index in raw.columns:
-        raw = raw.withColumn("__at", F.expr(f"try_cast(`{index}` as bigint)")).select("__at", "SubID", "Atlas", *labels)
+        raw = raw.withColumn("__at", F.expr(f"try_cast(`{index}` as bigint)"))
     else:
-        # Blocks of a file are read by one task each, in order: block start and
-        # position in the task give the row order without a sort of the data.
-        raw = raw.select(
-            F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")).alias("__at"),
-            "SubID", "Atlas", *labels)
+        raw = _numbered(raw, "__at")
+    raw = raw.select("__at", "SubID", "Atlas", *labels)
     meta = raw.filter(F.col("Atlas").isNotNull()).select("SubID", F.col("Atlas").alias("atlas"), *labels).unpivot(
         ["SubID", "atlas"], labels, "label", "region")
     rows = raw.filter(F.col("Atlas").isNull())
-    if index not in raw.columns and dict(rows.dtypes)["__at"] != "bigint":
-        rows = rows.select(F.col("__at.m").alias("__at"), "SubID", *labels)
     first = rows.groupBy("SubID").agg(F.min("__at").alias("__first"))
     long = rows.unpivot(["__at", "SubID"], labels, "label", "__text")
     long = long.join(first, "SubID").select(

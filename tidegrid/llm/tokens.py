@@ -16,6 +16,7 @@ row at once: a step decodes one id of every block.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -88,29 +89,41 @@ class Encoder:
     """Ids of texts; each distinct string that stands alone is encoded once."""
 
     KEEP = 500_000
+    LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
     def __init__(self, path: str):
         self.tok, self.known = tokenizer(path), {}
         self.type = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        # How the tokenizer spells a letter to its model.
+        self.spelled = {ord(c): self.tok.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(97, 123), *range(0xDF, 0x100)]) if self.LETTERS.fullmatch(c)}
+
+    def _learn(self, atoms: list[tuple[int, str]]) -> None:
+        """Words of letters go to the model at once, all others through the whole
+        tokenizer, in long lists, as a call costs more than a word."""
+        model, rest = self.tok.model, []
+        for key, x in atoms:
+            if self.LETTERS.fullmatch(x):
+                self.known[key] = np.array([t.id for t in model.tokenize(x.translate(self.spelled))], self.type).tobytes()
+            else:
+                rest.append((key, x))
+        for a in range(0, len(rest), 5000):
+            part = rest[a : a + 5000]
+            e = self.tok.encode([x for _, x in part], is_pretokenized=True, add_special_tokens=False)
+            cuts = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
+            ids, size = np.array(e.ids, self.type).tobytes(), self.type.itemsize
+            for (key, _), lo, hi in zip(part, cuts, cuts[1:]):
+                self.known[key] = ids[size * lo : size * hi]
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and where each row's begin."""
         data, start, end, first_atom = _atoms(*flat(column))
-        _, at, back = np.unique(Rolling(BYTES[data])(start, end), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        atoms = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
-        new = [x for x in atoms if x not in self.known]
+        keys, at, back = np.unique(Rolling(BYTES[data])(start, end), return_index=True, return_inverse=True)
+        keys, raw = keys.tolist(), data.tobytes()
+        new = [i for i, k in enumerate(keys) if k not in self.known]
         if len(self.known) + len(new) > self.KEEP:
-            self.known, new = {}, atoms
-        for a in range(0, len(new), 5000):
-            part = new[a : a + 5000]
-            e = self.tok.encode([x.decode() for x in part], is_pretokenized=True, add_special_tokens=False)
-            cuts = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
-            ids = np.array(e.ids, self.type).tobytes()
-            size = self.type.itemsize
-            for x, lo, hi in zip(part, cuts, cuts[1:]):
-                self.known[x] = ids[size * lo : size * hi]
-        lists = [self.known[x] for x in atoms]
+            self.known, new = {}, range(len(keys))
+        self._learn([(keys[i], raw[start[at[i]] : end[at[i]]].decode()) for i in new])
+        lists = [self.known[k] for k in keys]
         n = np.fromiter(map(len, lists), np.int64, len(lists)) // self.type.itemsize
         ids = np.frombuffer(b"".join(lists), self.type)
         first = np.append(0, np.cumsum(n))

@@ -16,6 +16,7 @@ SQL: dict[str, str] = {}
 _TABLES: dict[tuple[str, str], "Tables"] = {}
 
 SIZE, STEP = 20, 5
+DIMS = 64  # of an embedding
 
 
 class Tables:
@@ -59,7 +60,7 @@ class Tables:
         """embeddings as features over time: subject = label, time = rank."""
         d = time_index(self.embeddings.withColumn("v", F.col("vec_id").cast("double")), ["label"], ["v", "vec_id"], out="time_idx")
         return settle(d.select(F.col("label").alias("subject"), "time_idx", "vec_id", *[
-            F.col("embedding")[i].cast("double").alias(f"f{i + 1}") for i in range(8)]), "features")
+            F.col("embedding")[i].cast("double").alias(f"f{i + 1}") for i in range(DIMS)]), "features")
 
 
 def tables(spark: SparkSession, path: str) -> Tables:
@@ -110,7 +111,10 @@ WIN = SIG + f""", win AS (
   SELECT s.*, k.window_idx FROM sig s, LATERAL (
     SELECT unnest(range(greatest(0, CAST(ceil((s.sample_idx - {SIZE - 1}) / {STEP}.0) AS BIGINT)), s.sample_idx // {STEP} + 1)) AS window_idx) k)"""
 EMB = "emb AS (SELECT label AS subject, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS time_idx, " + ", ".join(
-    f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i + 1}" for i in range(8)) + " FROM embeddings)"
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i + 1}" for i in range(DIMS)) + " FROM embeddings)"
+# One row per dimension.
+EMBL = "el AS (SELECT label AS subject, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS time_idx, embedding FROM embeddings), " + \
+    "ed AS (SELECT subject, vec_id, time_idx, unnest(range(1, len(embedding) + 1)) AS d, CAST(unnest(embedding) AS DOUBLE) AS v FROM el)"
 
 
 def q(expr: str, name: str, digits: int = 6) -> str:

@@ -1,12 +1,12 @@
 """Moments of several columns, components, low-rank splits.
 
-Rows stay in Spark; only p x p numbers (p columns, a dozen at most) reach the
-driver."""
+Rows stay in Spark; only p x p numbers (p columns) reach the driver."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,23 +14,38 @@ from tidegrid.operators.group import with_row
 from tidegrid.session import settle
 
 
+def product_sums(df: DataFrame, cols: list[str], mean: np.ndarray) -> np.ndarray:
+    """Four p x p matrices over the rows where both columns are present: counts,
+    sums of the first, sums of its squares, sums of products; values are taken
+    less `mean`. Each task multiplies its batches and hands on one row per cell."""
+    p = len(cols)
+
+    def run(batches):
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in cols]) - mean
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            total += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "s"])
+
+    got = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInArrow(run, "cell long, s double").groupBy("cell").agg(F.sum("s").alias("s"))
+    out = np.zeros(4 * p * p)
+    for cell, s in got.collect():
+        out[cell] = s
+    return out.reshape(4, p, p)
+
+
 def moment_matrix(df: DataFrame, cols: list[str], centre: bool = True) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, means and population covariance (or mean products when not
     centred) of complete rows. The first pass finds the means, the second sums
     products about them."""
-    p = len(cols)
     d = df.dropna(subset=cols)
     head = d.agg(F.count(F.lit(1)), *[F.avg(c) for c in cols]).first()
     n, mean = head[0], np.array(head[1:], dtype=float)
     if n == 0:
         raise ValueError("no complete rows")
-    x = [F.col(c) - F.lit(float(m)) for c, m in zip(cols, mean)] if centre else [F.col(c) for c in cols]
-    up = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = d.agg(*[F.sum(x[i] * x[j]) for i, j in up]).first()
-    m = np.zeros((p, p))
-    for (i, j), s in zip(up, sums):
-        m[i, j] = m[j, i] = s / n
-    return n, mean, m
+    return n, mean, product_sums(d, cols, mean if centre else np.zeros(len(cols)))[3] / n
 
 
 def components(cov: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,13 +81,15 @@ def loadings_table(df: DataFrame, cols: list[str], k: int) -> DataFrame:
 
 
 def robust_pca(df: DataFrame, id_: str, cols: list[str], lam: float | None = None, mu: float | None = None,
-               iters: int = 50, tol: float = 1e-7) -> DataFrame:
+               iters: int = 1000, tol: float = 1e-7) -> DataFrame:
     """Split the feature matrix into low rank + sparse by alternating
-    directions. Returns id, <col>_low and <col>_sparse.
+    directions, until what both leave is below tol of the whole; an error if
+    `iters` rounds don't get there. Returns id, <col>_low and <col>_sparse.
 
     Singular values are shrunk through the p x p Gram matrix: for A = U S V',
     the shrunk A is A V max(1 - tau/S, 0) V', a p x p map applied row by row.
-    Each round is one Gram aggregate and one narrow pass; state is written to
+    Each round is one aggregate (the Gram matrix, and what the last round left)
+    and one narrow pass; state is written to
     the shared folder every round, so a lost executor costs one round.
     """
     p = len(cols)
@@ -81,21 +98,22 @@ def robust_pca(df: DataFrame, id_: str, cols: list[str], lam: float | None = Non
     mu = mu or n / (4.0 * absum)
     lam = lam or 1.0 / np.sqrt(max(n / p, p))
     id_type = dict(df.dtypes)[id_]
-    state_schema = f"`{id_}` {id_type}, m array<double>, s array<double>, y array<double>"
+    state_schema = f"`{id_}` {id_type}, m array<double>, s array<double>, y array<double>, low array<double>"
     zero = F.array(*[F.lit(0.0)] * p)
-    state = settle(base.select(id_, "m", zero.alias("s"), zero.alias("y")), "split")
+    state = settle(base.select(id_, "m", zero.alias("s"), zero.alias("y"), zero.alias("low")), "split")
 
     def stacked(pdf, name):
         return np.stack(pdf[name].to_numpy())
 
     def gram(batches):
-        g = np.zeros((p, p))
+        g = np.zeros(p * p + 1)
         for pdf in batches:
             if len(pdf):
-                a = stacked(pdf, "m") - stacked(pdf, "s") + stacked(pdf, "y") / mu
-                g += a.T @ a
-        i, j = np.indices((p, p))
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "g": g.ravel()})
+                a = stacked(pdf, "m") - stacked(pdf, "s")
+                g[-1] += ((a - stacked(pdf, "low")) ** 2).sum()
+                a += stacked(pdf, "y") / mu
+                g[:-1] += (a.T @ a).ravel()
+        yield pd.DataFrame({"cell": np.arange(len(g)), "g": g})
 
     def step(shrink):
         def run(batches):
@@ -110,18 +128,19 @@ def robust_pca(df: DataFrame, id_: str, cols: list[str], lam: float | None = Non
                 yield pd.DataFrame({id_: pdf[id_], "m": list(m), "s": list(s), "y": list(y), "low": list(low)})
         return run
 
-    for _ in range(iters):
-        cells = state.mapInPandas(gram, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).collect()
-        g = np.zeros((p, p))
-        for r in cells:
-            g[r["i"], r["j"]] = r["g"]
+    for round_ in range(iters + 1):
+        cells = np.zeros(p * p + 1)
+        for cell, g in state.mapInPandas(gram, "cell long, g double").groupBy("cell").agg(F.sum("g")).collect():
+            cells[cell] = g
+        if round_ and np.sqrt(cells[-1]) <= tol * np.sqrt(sq):
+            break
+        if round_ == iters:
+            raise RuntimeError(f"no split after {iters} rounds: {np.sqrt(cells[-1] / sq):.3g} left")
+        g = cells[:-1].reshape(p, p)
         w, v = np.linalg.eigh((g + g.T) / 2)
         s = np.sqrt(np.maximum(w, 0))
         keep = np.where(s > 0, np.maximum(1 - (1 / mu) / np.where(s > 0, s, 1), 0), 0)
-        state = settle(state.mapInPandas(step(v @ np.diag(keep) @ v.T), state_schema + ", low array<double>"), "split")
-        left = state.select(F.expr("aggregate(zip_with(zip_with(m, low, (a, b) -> a - b), s, (a, b) -> a - b), 0D, (t, e) -> t + e * e)").alias("e"))
-        if np.sqrt(left.agg(F.sum("e")).first()[0]) <= tol * np.sqrt(sq):
-            break
+        state = settle(state.mapInPandas(step(v @ np.diag(keep) @ v.T), state_schema), "split")
     return state.select(id_, *[F.col("low")[i].alias(f"{c}_low") for i, c in enumerate(cols)], *[F.col("s")[i].alias(f"{c}_sparse") for i, c in enumerate(cols)])
 
 

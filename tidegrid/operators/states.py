@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,9 +60,15 @@ def mahalanobis(df: DataFrame, time: list[str], cols: list[str], out: str = "dev
     else:
         _, _, s = moment_matrix(d.dropna(subset=res), res)
         cov = (1 - weight) * s + weight * np.trace(s) / len(cols) * np.eye(len(cols))
-    inv = np.linalg.inv(cov)
-    terms = [F.col(res[i]) * F.col(res[j]) * F.lit(float(inv[i, j])) for i in range(len(res)) for j in range(len(res))]
-    return d.withColumn(out, F.sqrt(F.greatest(reduce(lambda a, b: a + b, terms), F.lit(0.0)))).drop(*res)
+    white = np.linalg.cholesky(np.linalg.inv(cov))
+
+    @F.pandas_udf("double")
+    def length(rows: pd.Series) -> pd.Series:
+        x = np.array([list(r) for r in rows], dtype=float).reshape(len(rows), len(res))
+        d = pd.Series(np.sqrt(((x @ white) ** 2).sum(axis=1)))
+        return d.where(d.notna(), None)
+
+    return d.withColumn(out, length(F.array(*res))).drop(*res)
 
 
 def deviation_z(df: DataFrame, subject: list[str], time: list[str], dev: str, factor: str) -> DataFrame:

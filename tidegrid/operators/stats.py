@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalars import unit_hash
 from tidegrid.functions.special import p_two_sided_t, p_upper_chi2, p_upper_f
+from tidegrid.operators.multivar import product_sums
 from tidegrid.operators.group import average_rank, with_row, with_stats
 from tidegrid.operators.joins import moments_corr, pairwise_moments
 from tidegrid.operators.scan import cut, scan
@@ -135,11 +137,15 @@ def icc1(df: DataFrame, group: list[str], col: str, by: list[str] | None = None)
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Correlation of every two features, long, from one aggregate."""
-    up = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    one = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in up])
-    cells = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in up])
-    return one.select(F.explode(cells).alias("c")).select("c.*")
+    """Correlation of every two features over the rows that have both, long;
+    missing where a feature doesn't vary."""
+    mean = np.array([m if m is not None else 0.0 for m in df.agg(*[F.avg(c) for c in cols]).first()])
+    n, s, q, p = product_sums(df, cols, mean)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = q - s * s / n
+        r = (p - s * s.T / n) / np.sqrt(spread * spread.T)
+    rows = [(a, b, float(r[i, j]) if np.isfinite(r[i, j]) else None) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
 
 
 def corr_by(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

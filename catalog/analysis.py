@@ -749,6 +749,20 @@ def _(t):
     return rounded(d, "frac_high", "global_mean", "global_max")
 
 
+@query("dq01_long_windows", f"""WITH {CH}, md AS (SELECT recording, channel, median(value) AS med FROM ch GROUP BY ALL), rs AS (SELECT ch.recording, ch.channel, med, 1.4826 * median(abs(value - med)) AS s FROM ch JOIN md ON md.recording = ch.recording AND md.channel = ch.channel GROUP BY ALL),
+  z AS (SELECT ch.recording, sample_idx, (value - med) / CASE WHEN s > 1e-8 THEN s ELSE 1 END AS z FROM ch JOIN rs ON rs.recording = ch.recording AND rs.channel = ch.channel), a AS (SELECT recording, sample_idx, avg(CASE WHEN z > 2 THEN 1.0 ELSE 0 END) AS fh, avg(z) AS gm, max(z) AS gx FROM z GROUP BY ALL), m AS (SELECT *, CASE WHEN fh > 0.3 AND gm > 1 THEN 1 ELSE 0 END AS mask FROM a),
+  p AS (SELECT recording, sample_idx, max(mask) OVER (PARTITION BY recording ORDER BY sample_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS bad FROM m),
+  w AS (SELECT recording, unnest(range(CAST(floor((n - 10) / 2.5) AS BIGINT) + 1)) AS window_idx FROM (SELECT recording, max(sample_idx) + 1 AS n FROM p GROUP BY 1) WHERE n >= 10)
+  SELECT recording, window_idx, window_idx * 2.5::DOUBLE AS start_sec, window_idx * 2.5::DOUBLE + 10 AS end_sec,
+    sum(CASE WHEN bad > 0 THEN greatest(least(sample_idx + 1, window_idx * 2.5::DOUBLE + 10) - greatest(sample_idx, window_idx * 2.5::DOUBLE), 0) ELSE 0 END) AS bad_overlap_sec,
+    CAST(sum(CASE WHEN bad > 0 THEN greatest(least(sample_idx + 1, window_idx * 2.5::DOUBLE + 10) - greatest(sample_idx, window_idx * 2.5::DOUBLE), 0) ELSE 0 END) > 0 AS INT) AS mask
+  FROM w JOIN p USING (recording) GROUP BY recording, window_idx""")
+def _(t):
+    """Bins taken as seconds: the padded mask carried to windows of 10 s every 2.5 s."""
+    d = quality.artifact_windows(t.channels, ["recording"], "channel", "sample_idx", "value", 2.0, 0.3, 1.0, 3)
+    return quality.mask_to_windows(d, ["recording"], "sample_idx", "mask_padded", 10.0, 2.5)
+
+
 @query("dq02_coverage", """WITH r AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'NS' || c_custkey || '_02' ELSE 'NS' || c_custkey END AS patient, 'NS' || c_custkey AS base, '01' AS session, c_mktsegment AS video, CASE WHEN c_custkey % 3 = 0 THEN '02' ELSE '01' END AS run, c_custkey, c_acctbal, c_nationkey FROM customer),
   e AS (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE (c_custkey % 10) / 10.0::DOUBLE END AS rp FROM r WHERE c_custkey % 7 <> 0)
   SELECT r.patient, r.session, r.video, r.run, r.c_acctbal > 0 AS has_wavelet, r.c_nationkey < 10 AS has_spectral, rp AS right_present, rp + 0.05 AS left_present, rp + 0.1 AS right_present_post, rp + 0.1 AS left_present_post,

@@ -418,6 +418,13 @@ def _(t):
     return filters.sample_even(t.signal, ["recording"], ["t", "event_id"], 10).select("recording", "event_id")
 
 
+@query("fi09_sample_random", f"""WITH {SIG}, c AS (SELECT DISTINCT recording, channel FROM sig),
+  k AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY CAST(('0x' || substr(md5('5-' || recording || '-' || channel), 1, 12)) AS BIGINT), channel) AS rn FROM c)
+  SELECT recording, channel, event_id FROM sig JOIN k USING (recording, channel) WHERE rn <= 2""")
+def _(t):
+    return filters.sample_random(t.signal, ["recording"], "channel", 2, 5).select("recording", "channel", "event_id")
+
+
 @query("fi10_flag_implausible", "SELECT user_id AS recording, count(value) AS n_events, count(*) FILTER (value > 150) AS n_implausible, max(value) AS max_velocity FROM events GROUP BY user_id")
 def _(t):
     return filters.flag_implausible(t.signal, ["recording"], "value", 150)

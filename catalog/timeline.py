@@ -298,10 +298,10 @@ def _(t):
 
 
 @query("wi14_interval_contrast", f"""WITH {SIG}, a AS (SELECT recording, avg(value) FILTER (t >= 100000 AND t < 600000) AS b, avg(value) FILTER (t >= 1000000 AND t < 1500000) AS w, stddev_pop(value) FILTER (t >= 100000 AND t < 600000) + 1e-12 AS sd FROM sig GROUP BY recording)
-  SELECT recording, {q('b', 'base_mean')}, {q('w', 'target_mean')}, {q('w - b', 'diff')}, {q('(w - b) / (abs(b) + 1e-12) * 100', 'pct_change')}, {q('(w - b) / sd', 'z_like')} FROM a WHERE sd > 1e-6""")
+  SELECT recording, {q('b', 'base_mean')}, {q('w', 'target_mean')}, {q('w - b', 'diff')}, {q('(w - b) / (abs(b) + 1e-12) * 100', 'pct_change')}, CASE WHEN sd > 1e-6 THEN {q('(w - b) / sd', 'z').rsplit(' AS ', 1)[0]} END AS z_like FROM a""")
 def _(t):
     d = windows.interval_contrast(t.signal, ["recording"], "t", "value", (100000, 600000), (1000000, 1500000))
-    return rounded(d, "base_mean", "target_mean", "diff", "pct_change", "z_like").filter(F.abs("z_like") < 1e6)
+    return rounded(d, "base_mean", "target_mean", "diff", "pct_change", "z_like").withColumn("z_like", F.when(F.abs("z_like") < 1e6, F.col("z_like")))
 
 
 @query("wi15_rolling_mean", f"""WITH {SIG}, w AS (SELECT recording, sample_idx, avg(gappy) OVER x AS m, count(gappy) OVER x AS n FROM sig WINDOW x AS (PARTITION BY recording ORDER BY sample_idx ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.scalars import unit_hash
 from tidegrid.operators.group import with_stats
 from tidegrid.operators.scan import cut, fold, scan
 
@@ -99,6 +100,15 @@ def sample_even(df: DataFrame, keys: list[str], order: list[str], n: int) -> Dat
     return df.filter((F.col("__n") <= n) | hit).drop("__pos", "__n")
 
 
+def sample_random(df: DataFrame, keys: list[str], entity: str, n: int, seed: int) -> DataFrame:
+    """All rows of n entities per key (all if fewer), picked by a seeded hash:
+    the same in every run, whatever the order of the rows."""
+    one = df.select(*keys, entity).distinct().withColumn("__h", unit_hash(F.lit(seed), *[F.col(k) for k in keys], F.col(entity)))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__h", entity))
+    picked = one.withColumn("__r", rank).where(F.col("__r") <= n).drop("__h", "__r")
+    return df.join(picked, [*keys, entity])
+
+
 def flag_implausible(df: DataFrame, keys: list[str], velocity: str, vmax: float = 1000.0) -> DataFrame:
     """Per key: events, events faster than vmax, fastest velocity."""
     v = F.col(velocity)

@@ -28,6 +28,23 @@ def artifact_windows(df: DataFrame, by: list[str], channel: str, idx: str, value
     return pad_mask(d, by, idx, "mask", pad, "mask_padded")
 
 
+def mask_to_windows(df: DataFrame, by: list[str], idx: str, mask: str, length: float, step: float, bin_width: float = 1.0) -> DataFrame:
+    """A mask of bins carried to the windows of `length` seconds every `step`
+    that end within the series: window_idx, start_sec, end_sec, bad_overlap_sec
+    (seconds shared with masked bins) and mask (any at all)."""
+    i = F.col("window_idx")
+    ends = df.groupBy(*by).agg(((F.max(idx) + 1) * bin_width).alias("__end")).where(F.col("__end") >= length)
+    grid = ends.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__end") - length) / step))).alias("window_idx"))
+    grid = grid.withColumns({"start_sec": i * step, "end_sec": i * step + length})
+    lo, hi = F.col(idx) * bin_width, (F.col(idx) + 1) * bin_width
+    first = F.greatest(F.floor((lo - length) / step) + 1, F.lit(0))
+    bad = df.where(F.col(mask) > 0).select(*by, lo.alias("__lo"), hi.alias("__hi"), F.explode(F.sequence(first, F.greatest(F.ceil(hi / step) - 1, first))).alias("window_idx"))
+    shared = F.greatest(F.least("__hi", i * step + length) - F.greatest("__lo", i * step), F.lit(0.0))
+    bad = bad.groupBy(*by, "window_idx").agg(F.sum(shared).alias("__bad"))
+    out = grid.join(bad, [*by, "window_idx"], "left").withColumn("bad_overlap_sec", F.coalesce("__bad", F.lit(0.0)))
+    return out.withColumn("mask", (F.col("bad_overlap_sec") > 0).cast("int")).drop("__bad")
+
+
 def gaze_pass(a: Column, b: Column, least: float = 0.7) -> Column:
     """Each eye present often enough; missing if either share is."""
     return F.when(a.isNotNull() & b.isNotNull(), (a >= least) & (b >= least))

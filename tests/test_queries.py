@@ -13,7 +13,8 @@ SAMPLE = [
     "io07_merge_bad_channels", "pr03_session_label", "fi04_crop_rezero", "fi07_debounce", "jo08_nearest_join", "jo11_overlap_join", "jo13_match_responses",
     "jo15_join_fallback", "wi02_window_panes", "wi08_conform_grid", "wi12_bad_share", "ts01_robust_z", "ts06_interpolate_max_gap", "ts15_spike_runs",
     "ts25_align_average", "sp01_welch_psd", "ag08_electrode_delta", "ev03_peaks_to_timeseries", "ev06_events_from_runs", "at04_deviation_z", "at09_sweep",
-    "st06_permutation_test", "st17_isc", "st18_isc_null", "dq01_artifact_windows", "flow1_power_contrast",
+    "sp01_welch_absent", "sp02_tf_power", "sp02_tf_power_absent", "io01_read_wide", "io01_read_wide_no_index", "io04_read_many_mixed", "fi09_sample_random", "dq01_long_windows",
+    "at01_deviation_l2", "st09_corr_matrix", "wi14_interval_contrast", "dq08_compare_timebases", "st06_permutation_test", "st17_isc", "st18_isc_null", "dq01_artifact_windows", "flow1_power_contrast",
 ]
 
 
@@ -38,7 +39,8 @@ def test_query(spark, duck, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() >= 0
+    got = entry.entry(spark)
+    assert got.columns == ["region", "n", "mean", "sd", "t"] and {r["region"] for r in got.collect()} == {"other", "web"}
 
 
 def test_registry():

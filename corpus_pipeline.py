@@ -23,9 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest
-    id; of rows with the same id and text one, of rows without an id all."""
-    found = near.near_duplicates(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
+    """One document of each group of near-duplicates (a similarity of 0.8 or
+    more), the one with the smallest id; of rows with the same id and text one, of rows without an id all."""
+    found = near.near_duplicates(docs, percent=80).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
     # Merged, not broadcast, so that the plan is the same at every size.
     found = settle(found.agg(F.max("kept").alias("__kept"), F.count("*").alias("__n")), "kept")
     out = docs.join(found.hint("merge"), docs.doc_id == found["__id"], "left").where("__id is null or __kept")

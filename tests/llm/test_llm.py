@@ -97,6 +97,20 @@ def test_near_all_linked_and_none(spark):
     assert {i: c for i, (c,) in got.items()} == brute.near(list(enumerate(texts)))
 
 
+def test_near_at_80(spark):
+    """The pipeline's stage takes pairs between 0.80 and 0.85, and none below."""
+    assert all(near.layout(p).missed(p) < 1e-6 for p in range(80, 101)) and near.layout(85).symbols == 65
+    rng, texts = random.Random(12), []
+    for n in (8, 9, 12):  # words changed of 400, each in five shingles: similarities of about 0.82, 0.80 and 0.74
+        for _ in range(8):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+            at = set(range(20, 20 + 30 * n, 30))
+            texts += [" ".join(base), " ".join(f"e{rng.randrange(10**6)}" if k in at else x for k, x in enumerate(base))]
+    want, strict = brute.near(list(enumerate(texts)), 80), brute.near(list(enumerate(texts)))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, texts), SF).select("doc_id").collect()}
+    assert kept == {i for i, c in want.items() if i == c} and len(kept) < sum(i == c for i, c in strict.items()) and len(kept) > len(texts) // 2
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (4, "a b c d e f g"), (4, "a b c d e f g"), (2, "a b c d e f g h"), (3, None)]
     got = [tuple(r) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "component_id", "kept").collect()]

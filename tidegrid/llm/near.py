@@ -2,11 +2,11 @@
 signatures, confirmed on the full shingle sets.
 
 1. Each document becomes its set of distinct word shingles (64-bit hashes), a
-   fingerprint of the set and a signature of SYMBOLS minhashes of 16 bits.
+   fingerprint of the set and a signature of minhashes of 16 bits, as many and
+   in as many chunks as `layout` takes for the similarity asked for.
    Documents of equal sets form a class, represented by its smallest id.
-2. The signature is split into CHUNKS chunks. Two signatures that differ in
-   fewer than 2 * CHUNKS symbols have, by pigeonhole, a chunk with one error at
-   most; so every chunk is filed once per position with that symbol left out,
+2. Two signatures that differ in fewer than twice as many symbols as there are
+   chunks have, by pigeonhole, a chunk with one error at most; so every chunk is filed once per position with that symbol left out,
    and such a pair shares a key. Buckets of equal members count once.
 3. Inside a bucket, members within the distance are linked; the linked classes
    form candidate clusters. The sets of a cluster meet, and links are confirmed
@@ -19,7 +19,9 @@ Tasks return a spanning forest of what they linked, never all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +34,40 @@ from tidegrid.llm.text import U, Rolling, Words, flat, mix, small_batches, texts
 from tidegrid.session import settle
 
 SHINGLE = 5
-#: 13 chunks of 5: every pair within a distance of 25 of 65 shares a key. At a
-#: similarity of 0.85 a larger distance has a chance of one in a million.
-CHUNKS, WIDTH = 13, 5
-SYMBOLS = CHUNKS * WIDTH
-REACH = 2 * CHUNKS - 1
+#: Symbols of the longest signature.
+MOST = 65
 #: Signatures in a block of a bucket; documents and shingles in a block of a cluster.
 BUCKET_BLOCK, CLUSTER_DOCS, CLUSTER_SHINGLES = 4096, 2000, 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(7))
-MULT = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * U(2) + U(1)
-ADD = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
+MULT = _RNG.integers(1, 1 << 63, MOST, dtype=np.uint64) * U(2) + U(1)
+ADD = _RNG.integers(0, 1 << 63, MOST, dtype=np.uint64)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Chunks of a signature and symbols of a chunk. Every pair within a
+    distance of `reach` shares a key."""
+
+    chunks: int
+    width: int
+
+    @property
+    def symbols(self) -> int:
+        return self.chunks * self.width
+
+    @property
+    def reach(self) -> int:
+        return 2 * self.chunks - 1
+
+    def missed(self, percent: int) -> float:
+        """Chance that a pair of this similarity is farther apart than `reach`."""
+        n, p = self.symbols, 1 - percent / 100
+        return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(self.reach + 1, n + 1))
+
+
+def layout(percent: int) -> Layout:
+    """The layout that misses a pair at `percent` with a chance of one in a million at most."""
+    return Layout(13, 5) if percent >= 85 else Layout(14, 4)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -63,11 +89,11 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, n: int = SHINGLE) -> tuple[n
     return h, np.searchsorted(d, np.arange(len(off)))
 
 
-def _signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """SYMBOLS minhashes of 16 bits for each non-empty set."""
-    out = np.empty((len(first) - 1, SYMBOLS), np.uint16)
+def _signatures(h: np.ndarray, first: np.ndarray, symbols: int) -> np.ndarray:
+    """`symbols` minhashes of 16 bits for each non-empty set."""
+    out = np.empty((len(first) - 1, symbols), np.uint16)
     buf = np.empty(len(h), U)
-    for k in range(SYMBOLS):
+    for k in range(symbols):
         np.multiply(h, MULT[k], out=buf)
         np.add(buf, ADD[k], out=buf)
         out[:, k] = (mix(np.minimum.reduceat(buf, first[:-1])) >> U(48)).astype(np.uint16)
@@ -77,7 +103,7 @@ def _signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 _SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, sig binary"
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, symbols: int) -> DataFrame:
     """doc_id, set size, fingerprint and signature (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +116,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 f = np.zeros((2, len(n)), U)
                 if some.any():
                     starts = np.append(first[:-1][some], len(h))
-                    sig[some] = [x.tobytes() for x in _signatures(h, starts)]
+                    sig[some] = [x.tobytes() for x in _signatures(h, starts, symbols)]
                     f[:, some] = np.add.reduceat(mix(h), starts[:-1]), np.add.reduceat(mix(h ^ U(0x5851F42D4C957F2D)), starts[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), pa.array(list(sig), pa.binary())],
@@ -99,23 +125,24 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _SIGNED)
 
 
-def _keys(classes: DataFrame) -> DataFrame:
+def _keys(classes: DataFrame, form: Layout) -> DataFrame:
     """(key, class_id): each chunk with each of its symbols left out."""
+    symbols, width = form.symbols, form.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                s = np.frombuffer(flat(part.column("sig"))[0].tobytes(), np.uint16).reshape(-1, SYMBOLS).astype(U)
-                keys = np.empty((len(s), SYMBOLS), U)
-                for c in range(CHUNKS):
-                    for out in range(WIDTH):
+                s = np.frombuffer(flat(part.column("sig"))[0].tobytes(), np.uint16).reshape(-1, symbols).astype(U)
+                keys = np.empty((len(s), symbols), U)
+                for c in range(form.chunks):
+                    for out in range(width):
                         x = np.zeros(len(s), U)
-                        for k in range(WIDTH):
+                        for k in range(width):
                             if k != out:
-                                x = (x << U(16)) | s[:, c * WIDTH + k]
-                        keys[:, c * WIDTH + out] = mix(mix(x) + U(c * WIDTH + out + 1))
-                ids = np.repeat(part.column("class_id").to_numpy(zero_copy_only=False), SYMBOLS)
+                                x = (x << U(16)) | s[:, c * width + k]
+                        keys[:, c * width + out] = mix(mix(x) + U(c * width + out + 1))
+                ids = np.repeat(part.column("class_id").to_numpy(zero_copy_only=False), symbols)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["key", "class_id"])
 
     return classes.select("class_id", "sig").mapInArrow(run, "key long, class_id long")
@@ -174,19 +201,22 @@ def _forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray
     return label
 
 
-def _linked_signatures(cuts: np.ndarray, rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids = rows.column("class_id").to_numpy()
-    sig = np.frombuffer(flat(rows.column("sig"))[0].tobytes(), np.uint16).reshape(-1, SYMBOLS)
-    size = np.diff(cuts)
-    two = cuts[:-1][size == 2]
-    near = (sig[two] != sig[two + 1]).sum(axis=1) <= REACH
-    yield ids[two[near]], ids[two[near] + 1]
-    for at, m in zip(cuts[:-1][size > 2], size[size > 2]):
-        own, mine = sig[at : at + m], ids[at : at + m]
-        label = _forest(m, lambda x, rest: (own[rest] != own[x]).sum(axis=1) <= REACH)
-        far = np.flatnonzero(label != np.arange(m))
-        if len(far):
-            yield mine[label[far]], mine[far]
+def _linked_signatures(form: Layout) -> Callable:
+    def link(cuts: np.ndarray, rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids = rows.column("class_id").to_numpy()
+        sig = np.frombuffer(flat(rows.column("sig"))[0].tobytes(), np.uint16).reshape(-1, form.symbols)
+        size = np.diff(cuts)
+        two = cuts[:-1][size == 2]
+        near = (sig[two] != sig[two + 1]).sum(axis=1) <= form.reach
+        yield ids[two[near]], ids[two[near] + 1]
+        for at, m in zip(cuts[:-1][size > 2], size[size > 2]):
+            own, mine = sig[at : at + m], ids[at : at + m]
+            label = _forest(m, lambda x, rest: (own[rest] != own[x]).sum(axis=1) <= form.reach)
+            far = np.flatnonzero(label != np.arange(m))
+            if len(far):
+                yield mine[label[far]], mine[far]
+
+    return link
 
 
 def _linked_sets(percent: int) -> Callable:
@@ -236,19 +266,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are not read. An empty input gives no rows."""
     if percent < 80:
         raise ValueError("the signature distance is made for similarities of 0.8 or more")
+    form = layout(percent)
     small_batches(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = settle(signed(docs), "signed")
+    sigs = settle(signed(docs, form.symbols), "signed")
     named = sigs.where("n_shingles > 0 and doc_id is not null")
     same = ["f1", "f2", "n_shingles"]
     classes = settle(named.groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig")), "classes")
 
-    keys = _keys(classes)
+    keys = _keys(classes, form)
     member = F.xxhash64("class_id", F.lit(5)).cast("decimal(20,0)")
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum(member).alias("g1"), F.bit_xor(F.xxhash64("class_id", F.lit(9))).alias("g2"))
     buckets = buckets.where("n > 1").groupBy("n", "g1", "g2").agg(F.min("key").alias("key")).select("key", "n")
     met = _tiled(keys.join(buckets, "key"), "key", f"ceil(n / {BUCKET_BLOCK})").select("tile", "class_id")
-    near = _by_tile(met.join(classes.select("class_id", "sig"), "class_id"), _linked_signatures)
+    near = _by_tile(met.join(classes.select("class_id", "sig"), "class_id"), _linked_signatures(form))
     cluster = settle(components(near), "clusters").withColumnRenamed("id", "class_id").withColumnRenamed("label", "cluster")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

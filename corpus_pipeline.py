@@ -18,8 +18,8 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the policy `prose`."""
-    return rules.passing(docs, "prose")
+    """Documents that pass the policy `strict`: `prose`, and no insults."""
+    return rules.passing(docs, "strict")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

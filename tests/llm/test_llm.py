@@ -74,6 +74,16 @@ def test_rules(spark, texts):
         assert (r["n_docs"], r["n_rejected"], r["n_failed"], r["n_only"]) == (len(texts), n["rejected"], n["failed"], n["only"])
 
 
+def test_toxic_documents_go(spark):
+    """Of the pipeline's quality stage and the query by its policy, nothing that fails `insults` is kept."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    fails = {r["doc_id"]: brute.fails(brute.measures(r["text"])) for r in docs.collect()}
+    want = {i for i, f in fails.items() if not any(f)}
+    assert want < {i for i, f in fails.items() if not any(f[:9])}
+    assert {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, SF).collect()} == want
+    assert {r["doc_id"] for r in queries.QUERIES["op10_quality_rules_strict"](spark, SF).where("kept").collect()} == want
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_near(spark, texts, monkeypatch, block):
     monkeypatch.setattr(near, "BUCKET_BLOCK", block)  # hot buckets and clusters go to pairs of blocks

@@ -56,18 +56,28 @@ b AS (SELECT *, CAST(@BITS AS BIGINT) AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   (failed_bits & @MASK) = 0 AS kept, failed_bits, n_lines, n_stutter, n_upper, n_letters, n_letter_words, n_insults FROM b""".replace(
     "@INSULTS", ", ".join(f"'{w}'" for w in rules.INSULTS)).replace(
-    "@BITS", " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in rules.RULES)).replace("@MASK", str(rules.POLICIES["prose"][1]))
+    "@BITS", " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in rules.RULES))
 
 
-@query("op10_quality_rules", _RULES_SQL)
-def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rules(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
     led = rules.ledger(table(spark, sf_dir, "documents"))
     base = F.col("failed_bits").bitwiseAND(F.lit(rules.POLICIES["base"][1])) != 0
     return led.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), rules.passes("prose").alias("kept"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), rules.passes(policy).alias("kept"),
         "failed_bits", "n_lines", "n_stutter", "n_upper", "n_letters", "n_letter_words", "n_insults")
 
 
+@query("op10_quality_rules", _RULES_SQL.replace("@MASK", str(rules.POLICIES["prose"][1])))
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rules(spark, sf_dir, "prose")
+
+
+@query("op10_quality_rules_strict", _RULES_SQL.replace("@MASK", str(rules.POLICIES["strict"][1])))
+def op10_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With `kept` by the policy of the pipeline, which rejects toxic documents too."""
+    return _rules(spark, sf_dir, "strict")
+
+
 _NEAR_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i) WHERE len(w) > 0),

@@ -204,6 +204,23 @@ def test_pieces(spark, texts):
     assert len({tuple(lib.id_to_piece(i) for i in x) for x in np.split(ids, np.flatnonzero([lib.id_to_piece(int(i)).startswith("▁") for i in ids]))}) > 2
 
 
+def test_each_occurrence_is_segmented_by_itself(spark):
+    """Not one of a few draws, nor the same in every copy of a text; and as if each chunk had an agenda of its own."""
+    rows = [(i, "segmentation of words") for i in range(300)] + [(7, "segmentation of words")]
+    got = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), PIECES, p=0.3).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add(tuple(r["piece_ids"]))
+    assert len(set().union(*by.values())) > 20 and all(len(x) == 1 for x in by.values())
+    m, drop = pieces.model(PIECES), pieces._Dropout(0.2)
+    chunks = [[m.char_id[ord(c)] for c in x] for x in ("▁segmentation", "▁of", "▁" + "the" * 40, "▁")] * 50
+    sym, first = np.concatenate(chunks), np.append(0, np.cumsum([len(x) for x in chunks]))
+    key = np.random.default_rng(3).integers(0, 1 << 63, 200).astype(np.uint64)
+    ids, at, which = pieces._varied(m, drop, sym, first, np.arange(4), np.arange(200) % 4, key)
+    assert [ids[at[w] : at[w + 1]].tolist() for w in which] == [pieces._one_by_one(m, drop, np.array(c), int(k)).tolist() for c, k in zip(chunks, key)]
+    assert (which < 4).any() and (which >= 4).any()
+
+
 def test_agendas_agree():
     """All chunks at once, and each on its own heap."""
     m, rng = pieces.model(PIECES), random.Random(8)

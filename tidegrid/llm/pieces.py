@@ -4,15 +4,16 @@ seeded merge dropout.
 Encoding is the model's own agenda: of all adjacent pairs whose concatenation
 is a piece, the one of the best score, leftmost at ties, is merged next. With
 dropout p each candidate is skipped where a keyed hash says so. The key is
-(seed, draw, the chunk's content, where the candidate begins, is split and
-ends), and draw is one of DRAWS by the chunk's place in its document: equal
-words get different segmentations, and a run repeats exactly. With p = 0 the
-ids equal the library's.
+(seed, the document's id and content, the chunk's place in it and content,
+where the candidate begins, is split and ends): each occurrence of a word is
+segmented by itself, and a run repeats exactly. With p = 0 the ids equal the
+library's.
 
 A text is cut into chunks that no piece spans (before a run of spaces, around
-characters that are in no piece). Equal chunks of a slice are encoded once;
-the agendas of all distinct chunks advance together, one merge per chunk and
-round, as array operations. A very long chunk uses a heap of its own.
+characters that are in no piece). Equal chunks of a slice are encoded
+once without dropout; an occurrence none of whose candidates is skipped there
+has the same result, and only the others get an agenda of their own. All
+agendas advance together, one merge per chunk and round, as array operations. A very long chunk uses a heap of its own.
 
 Decoding concatenates pieces. A character without a piece, and a literal
 U+2581 (which otherwise stands for a space), is written as its UTF-8 bytes,
@@ -22,6 +23,7 @@ so decoding gives the text back, byte by byte.
 from __future__ import annotations
 
 import heapq
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,12 +32,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.llm.text import U, Rolling, flat, mix, small_batches, texts_of
 
 SPACE_MARK, LITERAL_MARK = 0x2581, 0x110001
-DRAWS, LONG_CHUNK, SLICE = 4, 64, 1 << 21
+LONG_CHUNK, SLICE = 64, 1 << 21
 _NONE = np.int64(1 << 40)
 _SLOT = U(0x9E3779B97F4A7C15)
 
@@ -139,8 +142,9 @@ def _one_by_one(m: Model, drop: _Dropout | None, sym: np.ndarray, key: int) -> n
     return np.array([s for s in sym if s >= 0], np.int64)
 
 
-def _agendas(m: Model, drop: _Dropout | None, sym: np.ndarray, first: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Final symbols of all chunks, and where each chunk's begin."""
+def _agendas(m: Model, drop: _Dropout | None, sym: np.ndarray, first: np.ndarray, key: np.ndarray, tried: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Final symbols of all chunks, and where each chunk's begin. `tried` gets
+    the candidates met: chunk, begin, split and end; none of a long chunk."""
     size = np.diff(first)
     own = np.repeat(np.arange(len(size)), size)
     out_sym, out_own, out_at = [], [], []
@@ -158,6 +162,9 @@ def _agendas(m: Model, drop: _Dropout | None, sym: np.ndarray, first: np.ndarray
     def fresh(at: np.ndarray) -> None:
         rank, merged[at] = _ranks(m, drop, sym[at], sym[at + 1], key[own[at]], start[at], start[at + 1], end[at + 1])
         score[at] = np.where(rank < _NONE, rank * 128 + start[at], _NONE)
+        if tried is not None:
+            at = at[rank < _NONE]
+            tried.append((own[at], start[at], start[at + 1], end[at + 1]))
 
     fresh(np.flatnonzero(~last))
     while len(sym):
@@ -187,8 +194,36 @@ def _take(first: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[rows], n)
 
 
-def _encode(m: Model, drop: _Dropout | None, seed: int, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all documents, and where each document's begin."""
+def _varied(m: Model, drop: _Dropout, sym: np.ndarray, first: np.ndarray, some: np.ndarray, back: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Final symbols with dropout: of each distinct chunk without a skip, then
+    of each occurrence that has one; where they begin; which are each
+    occurrence's. `some` are first occurrences of the distinct chunks, `back`
+    the distinct chunk and `key` the key of each occurrence."""
+    size = np.diff(first)
+    tried: list = []
+    base, base_first = _agendas(m, None, sym[_take(first, some)], np.append(0, np.cumsum(size[some])), key[some], tried)
+    own, start, split, end = map(np.concatenate, zip(*tried))
+    order = np.argsort(own, kind="stable")
+    start, split, end = start[order], split[order], end[order]
+    at = np.searchsorted(own[order], np.arange(len(some) + 1))
+    skips = size > LONG_CHUNK  # a long chunk always has an agenda of its own
+    n = (at[1:] - at[:-1])[back]
+    go = np.flatnonzero(n > 0)
+    bounds = np.append(0, np.cumsum(n[go]))
+    for a in range(0, len(go), 1 << 17):
+        rows = go[a : a + (1 << 17)]
+        c = _take(at, back[rows])
+        bad = drop(np.repeat(key[rows], n[rows]), start[c], split[c], end[c])
+        skips[rows] |= np.logical_or.reduceat(bad, bounds[a : a + len(rows)] - bounds[a])
+    alone = np.flatnonzero(skips)
+    got, got_first = _agendas(m, drop, sym[_take(first, alone)], np.append(0, np.cumsum(size[alone])), key[alone])
+    which = back.copy()
+    which[alone] = len(some) + np.arange(len(alone))
+    return np.concatenate([base, got]), np.concatenate([base_first, got_first[1:] + len(base)]), which
+
+
+def _encode(m: Model, drop: _Dropout | None, seed: int, data: np.ndarray, off: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all documents, and where each document's begin. `ids`: a hash of each document's id."""
     lead = (data & 0xC0) != 0x80
     code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
     seen = np.zeros(len(data) + 1, np.int64)
@@ -212,14 +247,17 @@ def _encode(m: Model, drop: _Dropout | None, seed: int, data: np.ndarray, off: n
     first = np.append(np.flatnonzero(cut), len(code))
     doc_first = np.searchsorted(first, off)
     h = Rolling(mix(code.astype(U) + U(77)))(first[:-1], first[1:])
+    distinct, some, back = np.unique(h, return_index=True, return_inverse=True)
     if drop and drop.p > 0:
+        doc = mix(Rolling(mix(code.astype(U) + U(77)))(off[:-1], off[1:]) + U(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+        if ids is not None:
+            doc = mix(doc + ids)
         place = np.arange(len(h)) - np.repeat(doc_first[:-1], np.diff(doc_first))
-        draw = mix(place.astype(U) + U(seed * 0x9E3779B97F4A7C15 % (1 << 64))) % U(DRAWS)
-        h = mix(h + mix(draw + U(1 + seed % (1 << 60))))
-    key, some, back = np.unique(h, return_index=True, return_inverse=True)
-    elements = _take(first, some)
-    sizes = (first[1:] - first[:-1])[some]
-    got, got_first = _agendas(m, drop, sym[elements], np.append(0, np.cumsum(sizes)), key)
+        key = mix(h + mix(np.repeat(doc, np.diff(doc_first)) + mix(place.astype(U) + U(1))))
+        got, got_first, back = _varied(m, drop, sym, first, some, back, key)
+    else:
+        elements = _take(first, some)
+        got, got_first = _agendas(m, None, sym[elements], np.append(0, np.cumsum((first[1:] - first[:-1])[some])), distinct)
     # Symbols to ids; a character without a piece becomes its bytes.
     low = np.flatnonzero((got < 0) | (got >= m.n_pieces))
     if len(low):
@@ -240,25 +278,28 @@ def _lists(ids: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def encode(docs: DataFrame, path: str, p: float = 0.1, seed: int = 1, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, p: float = 0.1, seed: int = 1, text_col: str = "text", ids_col: str = "piece_ids", id_col: str = "doc_id") -> DataFrame:
     """All columns, with the piece ids of the text (array of int) and their
     unsigned crc32 as little-endian 32-bit integers (`<ids_col>_crc32`); columns
     of those names are replaced. `path` names the model file, the same on every
-    machine. A null or empty text has no ids. No shuffle; rows stay in place."""
+    machine. A null or empty text has no ids. Rows of the same id and text, and
+    those of the same text without an id, get the same ids. No shuffle; rows
+    stay in place."""
     small_batches(docs)
     docs = docs.drop(ids_col, f"{ids_col}_crc32")
     out = T.StructType([*docs.schema, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(f"{ids_col}_crc32", T.LongType())])
+    key = f"__{uuid.uuid4().hex}"  # after all other columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, drop = model(path), _Dropout(p)
         for batch in batches:
             for part in texts_of(batch, SLICE, text_col):
-                ids, first = _encode(m, drop, seed, *flat(part.column(text_col)))
+                ids, first = _encode(m, drop, seed, *flat(part.column(text_col)), part.column(key).to_numpy().view(U))
                 raw = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), first[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids, first), pa.array(crc, pa.int64())], names=out.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists(ids, first), pa.array(crc, pa.int64())], names=out.names)
 
-    return docs.mapInArrow(run, out)
+    return docs.withColumn(key, F.xxhash64(id_col)).mapInArrow(run, out)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:

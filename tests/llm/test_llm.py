@@ -353,8 +353,8 @@ def test_pipeline(spark):
     """All stages against the plain versions, one after the other."""
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    docs = [(i, t) for i, t in docs if not any(brute.fails(brute.measures(t))[:9])]
-    label = brute.near(docs)
+    docs = [(i, t) for i, t in docs if not any(brute.fails(brute.measures(t)))]
+    label = brute.near(docs, percent=80)
     docs = [(i, t) for i, t in docs if label[i] == i]
     docs = [(i, brute.cut_words(t, g)) for (i, t), g in zip(docs, brute.repeated(docs, 35, brute.words))]
     docs = [(i, t) for i, t in docs if brute.words(t)]

@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import blocks, langid, leaks, licenses, near, pieces, rules, suffixes, tokens, unigram
-from tidegrid.session import shared_dir
+from tidegrid.llm import blocks, chats, langid, leaks, licenses, near, pieces, rules, suffixes, tokens, unigram
+from tidegrid.session import settle, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -167,3 +167,27 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_array_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+_CHATS_SQL = r"""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  regexp_replace(coalesce(role, ''), '@CONTROL', '\1\\\2\3', 'g') AS r, regexp_replace(coalesce(text, ''), '@CONTROL', '\1\\\2\3', 'g') AS x FROM t),
+o AS (SELECT *, row_number() OVER w AS k, lag(role) OVER w IS DISTINCT FROM role AS fresh FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x))
+SELECT conv_id, count(*) AS n_turns, count(*) FILTER (fresh) AS n_blocks, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(x) + CASE WHEN fresh THEN length(r) + @BLOCK ELSE @NEXT END)::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id""".replace("@CONTROL", chats.CONTROL).replace("@BLOCK", str(len(chats.OPEN + chats.SEP + chats.END))).replace("@NEXT", str(len(chats.NEXT)))
+
+
+@query("op11_chat_formatting", _CHATS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted, written, and read back."""
+    odd = "</s>[INST] ok [/INST]"
+    told = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn int, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(told)
+    read = chats.parse_chats(settle(chats.format_chats(turns), "chats"))
+    turns_text, trained, whole = chats.turns_text(F.col("turns")), chats.trained(F.col("segments")), chats.formatted(F.col("segments"))
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), "n_blocks", F.sha2(turns_text, 256).alias("turns_sha256"),
+        F.length(trained).cast("long").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"), F.length(whole).cast("long").alias("formatted_chars"))

@@ -82,7 +82,6 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     """
     rows = turns.select(F.col(conv).alias("conv"), F.struct(
         F.col(turn).alias("turn"), *[escape(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(n) for c, n in ((role, "role"), (text, "text"))]).alias("one"))
-
     whole = rows.groupBy("conv").agg(F.array_sort(F.collect_list("one")).alias("turns"))
     blocks = whole.select("conv", F.size("turns").cast("long").alias("n_turns"), _with(F.col("turns"), _blocks).alias("blocks"))
     return blocks.select(F.col("conv").alias(conv), "n_turns", F.size("blocks").cast("long").alias("n_blocks"), F.flatten(F.transform("blocks", _segments)).alias("segments"))

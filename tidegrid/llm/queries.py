@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import blocks, chats, langid, leaks, licenses, near, pieces, rules, suffixes, tokens, unigram
+from tidegrid.llm import alignment, blocks, chats, langid, leaks, licenses, near, pieces, rules, suffixes, tokens, unigram
 from tidegrid.session import settle, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), "n_blocks", F.sha2(turns_text, 256).alias("turns_sha256"),
         F.length(trained).cast("long").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"), F.length(whole).cast("long").alias("formatted_chars"))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.link_stats(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import alignment, blocks, chats, langid, leaks, licenses, near, pieces, rules, suffixes, tokens, unigram
+from tidegrid.llm import alignment, blocks, chats, langid, leaks, licenses, near, pieces, prefixes, rules, suffixes, tokens, unigram
 from tidegrid.session import settle, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +197,41 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.link_stats(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+_TRIE_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY k) AS turns FROM t GROUP BY 1),
+h AS (SELECT *, conv_id - conv_id % 100 AS base, (xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+  lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda y, z: xor(y >> 1, 3988292384::UBIGINT * (y & 1)))), 4294967295::UBIGINT) % 6)::BIGINT AS h FROM own),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN own b ON b.conv_id = h.base),
+m AS (SELECT conv_id, d AS depth, turns[1:d] AS seq, len(turns) = d AS ends FROM r, LATERAL (SELECT unnest(range(0, len(turns) + 1)) AS d)),
+n AS (SELECT seq, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+k AS (SELECT seq[1:depth - 1] AS seq, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+c AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (seq, depth)),
+s AS (SELECT seq[1:a] AS seq, a AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * CASE WHEN depth > 0 THEN length(seq[depth].text) ELSE 0 END)::BIGINT AS saved_tokens
+  FROM c, LATERAL (SELECT unnest(range(0, depth + 1)) AS a) GROUP BY 1, 2)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+FROM c JOIN s USING (seq, depth) LEFT JOIN n p ON p.seq = c.seq[1:c.depth - 1] AND p.depth = c.depth - 1"""
+
+
+def _regrafted(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every conversation c with the first h turns of conversation c - c % 100 in
+    place of its own first h, h = crc32(c) % 6; and all conversations."""
+    turns = settle(prefixes.numbered(turns), "turns")
+    c = F.col("conv_id")
+    h = F.crc32(c.cast("string").cast("binary")) % 6
+    convs = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    base = convs.select(c.alias("base"), F.col("n").alias("n_base"))
+    # Turns that a conversation takes over: all of the base's, or h of them.
+    convs = settle(convs.select("conv_id", (c - c % 100).alias("base"), h.alias("h")).join(base, "base", "left").select(
+        "conv_id", "base", F.least("h", F.coalesce("n_base", F.lit(0))).alias("taken"), "h"), "convs")
+    head = turns.where("pos < 5").withColumnRenamed("conv_id", "base").join(convs.select("conv_id", "base", "taken"), "base").where("pos < taken")
+    tail = turns.where(F.col("pos") >= h).join(convs.select("conv_id", "taken", "h"), "conv_id").withColumn("pos", F.col("pos") - F.col("h") + F.col("taken"))
+    cols = ["conv_id", "pos", "role", "text"]
+    return head.select(*cols).unionAll(tail.select(*cols)), convs
+
+
+@query("op13_prefix_trie", _TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(*_regrafted(table(spark, sf_dir, "conversations")))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.text import U, Rolling, flat, mix, small_batches, texts_of
+from tidegrid.llm.text import U, Rolling, flat, mix, range_hashes, small_batches, texts_of
 
 SPACE_MARK, LITERAL_MARK = 0x2581, 0x110001
 LONG_CHUNK, SLICE = 64, 1 << 21
@@ -246,7 +246,7 @@ def _encode(m: Model, drop: _Dropout | None, seed: int, data: np.ndarray, off: n
     cut[off[:-1][off[:-1] < len(code)]] = True
     first = np.append(np.flatnonzero(cut), len(code))
     doc_first = np.searchsorted(first, off)
-    h = Rolling(mix(code.astype(U) + U(77)))(first[:-1], first[1:])
+    h = range_hashes(mix(code.astype(U) + U(77)), code, first[:-1], first[1:])
     distinct, some, back = np.unique(h, return_index=True, return_inverse=True)
     if drop and drop.p > 0:
         doc = mix(Rolling(mix(code.astype(U) + U(77)))(off[:-1], off[1:]) + U(seed * 0x9E3779B97F4A7C15 % (1 << 64)))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.text import BYTES, U, Rolling, Words, flat, mix, small_batches, spread, sum_by, texts_of
+from tidegrid.llm.text import BYTES, U, Rolling, Words, flat, mix, range_hashes, small_batches, spread, sum_by, texts_of
 
 #: Words of the `insults` rule, in lower case.
 INSULTS = ("trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron")
@@ -114,7 +114,7 @@ def _measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     black = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
     start, end = start[black], end[black]
     line_doc = np.searchsorted(off, start, "right") - 1
-    again = _seen(_of_doc(Rolling(BYTES[data])(start, end), line_doc))[0]
+    again = _seen(_of_doc(range_hashes(BYTES[data], data, start, end), line_doc))[0]
     by_line = lambda v: np.bincount(line_doc, v, len(off) - 1).astype(np.int64)
 
     lower = w.hashes(lower=True)

@@ -9,6 +9,7 @@ other than space, tab, line feed, vertical tab, form feed and carriage return
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +79,21 @@ class Rolling:
         return mix(out)
 
 
+#: Longest range that the polynomial alone tells apart. Modulo a power of two it
+#: repeats itself on some patterns, from 1,024 values on whatever the base.
+SURE = 64
+
+
+def range_hashes(values: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of a text, equal where the ranges are: by the
+    polynomial of `values`, those over SURE by a digest of `raw`, the elements
+    that the values stand for."""
+    out = Rolling(values)(start, end)
+    for i in np.flatnonzero(end - start > SURE).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -119,7 +135,7 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         data = LOWER[self.data] if lower else self.data
-        return Rolling(BYTES[data])(self.start, self.end)
+        return range_hashes(BYTES[data], data, self.start, self.end)
 
     def within(self, n: int, docs: np.ndarray | None = None) -> np.ndarray:
         """For each word: is there a run of n words of its document from here?"""

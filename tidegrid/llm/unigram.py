@@ -163,7 +163,6 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 words = [chr(MARK) + raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist())]
                 codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
                 score, tokens = trie_counts(p, codes, np.append(0, np.cumsum([len(x) for x in words])).astype(np.int64))
-                sums = np.append(0, np.cumsum(score[back]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts), pa.array(sum_by(tokens[back], w.first)), pa.array(sums[w.first[1:]] - sums[w.first[:-1]])], names=["doc_id", "n_words", "n_tokens", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts), pa.array(sum_by(tokens[back], w.first)), pa.array(np.bincount(w.docs(), score[back], w.n_docs))], names=["doc_id", "n_words", "n_tokens", "score"])
 
     return docs.mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long, score double").withColumnRenamed("doc_id", id_col)

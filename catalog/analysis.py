@@ -677,7 +677,7 @@ def _(t):
 
 @query("st14_pc_influence")
 def _(t):
-    return rounded(multivar.pc_influence(t.embedded, "subject", "time_idx", "f1", 500), "similarity")
+    return rounded(multivar.pc_influence(t.embedded, "subject", "time_idx", "f1"), "similarity")
 
 
 @query("st15_spread", f"WITH {EMB} SELECT time_idx, {q('stddev_samp(f1)', 'sd')}, {q('avg(abs(d))', 'mad')} FROM (SELECT *, f1 - avg(f1) OVER (PARTITION BY time_idx) AS d FROM emb) GROUP BY time_idx")
@@ -719,18 +719,22 @@ def _(t):
     return rounded(stats.coupling_by_region(c, ["region"]), "mean_r", "sd_r")
 
 
-@query("st20_state_fc", f"""WITH {POWER} SELECT a.recording, a.label AS state, a.channel AS a, b.channel AS b, count(*) AS n, {q('corr(a.value, b.value)', 'r', 4)} FROM pw a JOIN pw b ON a.recording = b.recording AND a.window_idx = b.window_idx AND a.channel < b.channel GROUP BY ALL HAVING count(*) > 3""")
+# Missing where a side is constant but for rounding: windows that share their samples.
+PAIR_R = "CASE WHEN " + " AND ".join(f"max({s}.value) - min({s}.value) > 1e-11 * max(abs({s}.value))" for s in "ab") + " THEN corr(a.value, b.value) END"
+
+
+@query("st20_state_fc", f"""WITH {POWER} SELECT a.recording, a.label AS state, a.channel AS a, b.channel AS b, count(*) AS n, {q(PAIR_R, 'r')} FROM pw a JOIN pw b ON a.recording = b.recording AND a.window_idx = b.window_idx AND a.channel < b.channel GROUP BY ALL HAVING count(*) > 1""")
 def _(t):
     d = stats.state_fc(_power(t).withColumnRenamed("label", "state"), ["recording"], "state", "channel", "window_idx", "value")
-    return rounded(d.filter("n > 3"), "r", digits=4)
+    return rounded(d, "r")
 
 
-@query("st20_group_fc", f"""WITH {POWER}, k AS (SELECT a.label AS s, a.channel AS ca, b.channel AS cb, a.recording, corr(a.value, b.value) AS r FROM pw a JOIN pw b ON a.recording = b.recording AND a.window_idx = b.window_idx AND a.channel < b.channel GROUP BY ALL HAVING count(*) > 3)
-  SELECT ca AS region_a, cb AS region_b, {q("avg(r) FILTER (s LIKE 'Int%')", 'r_int', 4)}, {q("avg(r) FILTER (s LIKE 'Ext%')", 'r_ext', 4)}, {q("avg(r) FILTER (s LIKE 'Int%') - avg(r) FILTER (s LIKE 'Ext%')", 'r_diff', 4)} FROM k GROUP BY ALL""")
+@query("st20_group_fc", f"""WITH {POWER}, k AS (SELECT a.label AS s, a.channel AS ca, b.channel AS cb, a.recording, {PAIR_R} AS r FROM pw a JOIN pw b ON a.recording = b.recording AND a.window_idx = b.window_idx AND a.channel < b.channel GROUP BY ALL HAVING count(*) > 1)
+  SELECT ca AS region_a, cb AS region_b, {q("avg(r) FILTER (s LIKE 'Int%')", 'r_int')}, {q("avg(r) FILTER (s LIKE 'Ext%')", 'r_ext')}, {q("avg(r) FILTER (s LIKE 'Int%') - avg(r) FILTER (s LIKE 'Ext%')", 'r_diff')} FROM k GROUP BY ALL""")
 def _(t):
-    fc = stats.state_fc(_power(t).withColumnRenamed("label", "state"), ["recording"], "state", "channel", "window_idx", "value").filter("n > 3")
+    fc = stats.state_fc(_power(t).withColumnRenamed("label", "state"), ["recording"], "state", "channel", "window_idx", "value")
     fc = fc.withColumnsRenamed({"a": "region_a", "b": "region_b"})
-    return rounded(stats.group_fc(fc, "state", states.INTERNAL, states.EXTERNAL), "r_int", "r_ext", "r_diff", digits=4)
+    return rounded(stats.group_fc(fc, "state", states.INTERNAL, states.EXTERNAL), "r_int", "r_ext", "r_diff")
 
 
 @query("st21_corr_of_means", f"WITH {EMB}, m AS (SELECT time_idx, avg(f1) AS a, avg(f2) AS b FROM emb GROUP BY 1) SELECT {q('corr(a, b)', 'r')} FROM m")

@@ -270,7 +270,7 @@ def test_pca_and_influence(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(12, 6)) + np.outer(rng.normal(size=12), np.arange(6))
     d = spark.createDataFrame(pd.DataFrame([(f"s{i}", t, x[i, t]) for i in range(12) for t in range(6)], columns=["s", "t", "v"]))
-    got = {r.s: r.similarity for r in multivar.pc_influence(d, "s", "t", "v", 6).collect()}
+    got = {r.s: r.similarity for r in multivar.pc_influence(d, "s", "t", "v").collect()}
 
     def pc(m):
         return np.linalg.svd(m - m.mean(0))[2][0]

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections import deque
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.operators.scan import cut, fold, pieces, scan
+from tidegrid.operators.pairwise import moments_corr, pairwise_moments
+from tidegrid.operators.scan import cut, fold, scan
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -318,56 +317,6 @@ def pick_best(df: DataFrame, keys: list[str], score: Column, item: str, unique:
     return out.withColumn(item, F.when(F.col("n_best") == 1, F.col(item))) if unique else out
 
 
-def pairwise_moments(df: DataFrame, by: list[str], entity: str, time: str, value: str, block: int = 4096) -> DataFrame:
-    """Sums over shared times for every pair of entities a < b within `by`:
-    n, sx, sy, sxx, syy, sxy, over pairwise complete samples.
-
-    A group is split into blocks of time; each task multiplies its small
-    entity-by-time matrix and sends one row per pair, not one per sample.
-    `time` is an integer index.
-    """
-    types = dict(df.dtypes)
-    base = df.select(*by, entity, F.col(time).alias("__time"), F.col(value).cast("double").alias("__v")).filter("__v is not null")
-    base = base.withColumn("__block", F.floor(F.col("__time") / block))
-    group = [*by, "__block"]
-    measures = ("n", "sx", "sy", "sxx", "syy", "sxy")
-
-    def sums(batches):
-        for table, starts in pieces(batches, group):
-            who, when, v = (table.column(c).to_numpy() for c in (entity, "__time", "__v"))
-            kind = table.schema.field(entity).type
-            heads, a, b, out = [], [], [], {m: [] for m in measures}
-            for s, e in zip(starts, [*starts[1:], table.num_rows]):
-                names, j = np.unique(who[s:e], return_inverse=True)
-                times, i = np.unique(when[s:e], return_inverse=True)
-                x, m = np.zeros((len(times), len(names))), np.zeros((len(times), len(names)))
-                x[i, j], m[i, j] = v[s:e], 1.0
-                up = np.triu_indices(len(names), 1)
-                n = (m.T @ m)[up]
-                met = n > 0
-                heads.append(np.full(int(met.sum()), s))
-                a.append(names[up[0]][met]), b.append(names[up[1]][met])
-                for k, g in zip(measures, (m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x)):
-                    out[k].append(g[up][met])
-            rows = table.take(pa.array(np.concatenate(heads))).select(by)
-            rows = rows.append_column("a", pa.array(np.concatenate(a), type=kind)).append_column("b", pa.array(np.concatenate(b), type=kind))
-            for k in measures:
-                rows = rows.append_column(k, pa.array(np.concatenate(out[k])))
-            yield from rows.to_batches()
-
-    schema = ", ".join([f"`{k}` {types[k]}" for k in by] + [f"a {types[entity]}", f"b {types[entity]}"] + [f"{m} double" for m in measures])
-    parts = base.repartition(*group).sortWithinPartitions(*group).mapInArrow(sums, schema)
-    return parts.groupBy(*by, "a", "b").agg(*[F.sum(s).alias(s) for s in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-
-
-def moments_corr() -> Column:
-    """Pearson r from pairwise moments; null where a side is constant."""
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    vx, vy = F.col("sxx") - sx * sx / n, F.col("syy") - sy * sy / n
-    scale = F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0)))
-    return (F.col("sxy") - sx * sy / n) / F.when(scale > 0, scale)
-
-
 def pairs(df: DataFrame, by: list[str], entity: str, time: str, value: str) -> DataFrame:
     """Correlation of every pair of entities within `by`."""
     return pairwise_moments(df, by, entity, time, value).withColumn("r", moments_corr()).select(*by, "a", "b", F.col("n").cast("long").alias("n"), "r")

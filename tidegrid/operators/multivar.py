@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.operators.group import with_row
+from tidegrid.operators.group import with_row, with_stats
+from tidegrid.operators.pairwise import pairwise_moments
 from tidegrid.session import settle
 
 
@@ -152,50 +153,70 @@ def vif(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, vif double")
 
 
-def pc_influence(df: DataFrame, subject: str, time: str, value: str, n_times: int) -> DataFrame:
+def pc_influence(df: DataFrame, subject: str, time: str, value: str) -> DataFrame:
     """Cosine between the first component over time with and without each
-    subject; influential when below mean - 2 sd.
-
-    The time grid is the film's windows, so one T x T sum serves everybody: each
-    task takes the subject's own product off it. Times missing for any subject
-    are left out.
-    """
-    full = df.filter(F.col(value).isNotNull()).groupBy(time).agg(F.count(F.lit(1)).alias("__n"))
-    n_sub = df.select(subject).distinct().count()
-    times = full.filter(F.col("__n") == n_sub).select(time)
-    if times.count() > n_times:
-        raise ValueError("more timepoints than the stated grid")
-    rows = df.join(times, time).groupBy(subject).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(time, value))), lambda s: s[value].cast("double")).alias("x")
-    )
-    rows = settle(rows, "subjects")
-    T = times.count()
-
-    def moments(batches):
-        g, s = np.zeros((T, T)), np.zeros(T)
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["x"].to_numpy())
-                g, s = g + x.T @ x, s + x.sum(axis=0)
-        yield pd.DataFrame({"i": range(T), "g": list(g), "s": s})
-
-    parts = rows.mapInPandas(moments, "i int, g array<double>, s double").groupBy("i").agg(
-        F.array(*[F.sum(F.col("g")[j]) for j in range(T)]).alias("g"), F.sum("s").alias("s")
-    ).orderBy("i").collect()
-    gram, total = np.array([r["g"] for r in parts]), np.array([r["s"] for r in parts])
-
-    def first_pc(g, s, n):
-        v = np.linalg.eigh(g / n - np.outer(s, s) / n**2)[1][:, -1]
-        return v * np.sign(v[np.abs(v).argmax()])
-
-    whole = first_pc(gram, total, n_sub)
-
-    def leave_out(batches):
-        for pdf in batches:
-            cos = [abs(float(whole @ first_pc(gram - np.outer(x, x), total - x, n_sub - 1))) for x in pdf["x"]]
-            yield pd.DataFrame({subject: pdf[subject], "similarity": cos})
-
-    out = rows.mapInPandas(leave_out, f"`{subject}` {dict(df.dtypes)[subject]}, similarity double")
-    out = settle(out, "influence")
+    subject; influential when below mean - 2 sd. `time` is an integer index;
+    times missing for any subject are left out, and so are rows with a null.
+
+    With each time's mean taken off, the scatter over time is the sum of the
+    subjects' own products. It has the same spectrum as the products between
+    subjects, which one pass over blocks of time sums, whatever the number of
+    times. Leaving a subject out takes a multiple of its own product off, so its
+    first component is a root of one equation in the whole set's components:
+    a rank-one change, solved for all subjects at once. One number per pair of
+    subjects reaches the driver, none per time.
+
+    Below three subjects, or where the whole doesn't vary, the cosine is null;
+    if two components tie for the first, it refers to one of them."""
+    d = df.select(F.col(subject).alias("__who"), F.col(time).alias("__t"), F.col(value).cast("double").alias("__v")).dropna()
+    d = with_row(d, d.agg(F.countDistinct("__who").alias("__all")))
+    d = with_stats(d, ["__t"], {"__here": F.count(F.lit(1)), "__m": F.avg("__v")}).where("__here = __all")
+    d = d.select("__who", "__t", (F.col("__v") - F.col("__m")).alias("__v"), F.lit(0).alias("__set"))
+    products = pairwise_moments(d, ["__set"], "__who", "__t", "__v", centre=False, diagonal=True)
+    rows = products.select("a", "b", "sxy").collect()
+    names = sorted({r["a"] for r in rows})
+    place = {name: i for i, name in enumerate(names)}
+    gram = np.zeros((len(names), len(names)))
+    for r in rows:
+        gram[place[r["a"]], place[r["b"]]] = gram[place[r["b"]], place[r["a"]]] = r["sxy"]
+    cos = _left_out(gram).tolist()
+    schema = f"`{subject}` {dict(df.dtypes)[subject]}, similarity double"
+    out = df.sparkSession.createDataFrame([(n, None if c != c else c) for n, c in zip(names, cos)], schema)
     cut = out.agg((F.avg("similarity") - 2 * F.stddev_samp("similarity")).alias("__cut"))
     return with_row(out, cut).withColumn("influential", F.col("similarity") < F.col("__cut")).drop("__cut")
+
+
+def _left_out(gram: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """For each row: |cosine| between the first component of the whole and that
+    of the others, from the products of the centred rows.
+
+    Let l_k be the whole's eigenvalues and z_k the row's coordinates. Without
+    the row the first eigenvalue is l_1 - t with
+    n / (n - 1) * (z_1^2 / t - sum_k>1 z_k^2 / (l_1 - l_k - t)) = 1, which falls
+    in t, and the component's coordinates are z_1 / t and -z_k / (l_1 - l_k - t)."""
+    n = len(gram)
+    if n < 3:
+        return np.full(n, np.nan)
+    w, v = np.linalg.eigh(gram)
+    w, v = np.maximum(w[::-1], 0), v[:, ::-1]
+    if w[0] <= 0:
+        return np.full(n, np.nan)
+    z, gap = v * np.sqrt(w), w[0] - w[1:]
+
+    def sides(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rest = gap - t[:, None]
+            return np.where(z[:, 0] == 0, 0, z[:, 0] / t), np.where(z[:, 1:] == 0, 0, z[:, 1:] / rest)
+
+    low, high = np.zeros(n), np.full(n, gap[0])
+    for _ in range(rounds):
+        t = (low + high) / 2
+        first, rest = sides(t)
+        up = n / (n - 1) * (z[:, 0] * first - (z[:, 1:] * rest).sum(axis=1)) > 1
+        low, high = np.where(up, t, low), np.where(up, high, t)
+    first, rest = sides(high)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cos = np.abs(first) / np.sqrt(first**2 + (rest**2).sum(axis=1))
+    # A row without a part in the first component leaves it as it is; where no
+    # root lies before the second eigenvalue, the second component takes over.
+    return np.where(z[:, 0] == 0, 1.0, np.where((low >= gap[0] * (1 - 1e-15)) & (z[:, 1] == 0), 0.0, cos))

@@ -12,7 +12,7 @@ from tidegrid.functions.scalars import unit_hash
 from tidegrid.functions.special import p_two_sided_t, p_upper_chi2, p_upper_f
 from tidegrid.operators.multivar import product_sums
 from tidegrid.operators.group import average_rank, with_row, with_stats
-from tidegrid.operators.joins import moments_corr, pairwise_moments
+from tidegrid.operators.pairwise import moments_corr, pairwise_moments
 from tidegrid.operators.scan import cut, scan
 from tidegrid.operators.series import zscore
 
@@ -253,7 +253,7 @@ def region_fc(power: DataFrame, by: list[str], region: str, channel: str, time:
     z = zscore(power, [*by, channel], [value], 0).filter(F.col(f"{value}_z").isNotNull())
     size = z.select(*by, region, channel).distinct().groupBy(*by, region).agg(F.count(F.lit(1)).alias("n_channels"))
     sums = z.groupBy(*by, region, time).agg(F.sum(f"{value}_z").alias("__s"))
-    off = pairwise_moments(sums, by, region, time, "__s").select(*by, "a", "b", (F.col("sxy") / F.col("n")).alias("__t"))
+    off = pairwise_moments(sums, by, region, time, "__s", centre=False).select(*by, "a", "b", (F.col("sxy") / F.col("n")).alias("__t"))
     own = sums.groupBy(*by, region).agg(F.avg(F.col("__s") * F.col("__s")).alias("__t"))
     na = size.select(*by, F.col(region).alias("a"), F.col("n_channels").alias("__na"))
     nb = size.select(*by, F.col(region).alias("b"), F.col("n_channels").alias("__nb"))

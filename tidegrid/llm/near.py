@@ -37,7 +37,7 @@ SHINGLE = 5
 #: Symbols of the longest signature.
 MOST = 65
 #: Signatures in a block of a bucket; documents and shingles in a block of a cluster.
-BUCKET_BLOCK, CLUSTER_DOCS, CLUSTER_SHINGLES = 4096, 2000, 1_000_000
+BUCKET_BLOCK, CLUSTER_DOCS, CLUSTER_SHINGLES = 4096, 2000, 400_000
 _RNG = np.random.Generator(np.random.PCG64(7))
 MULT = _RNG.integers(1, 1 << 63, MOST, dtype=np.uint64) * U(2) + U(1)
 ADD = _RNG.integers(0, 1 << 63, MOST, dtype=np.uint64)

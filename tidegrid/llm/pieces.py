@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from tidegrid.llm.text import U, Rolling, flat, mix, range_hashes, small_batches, texts_of
 
 SPACE_MARK, LITERAL_MARK = 0x2581, 0x110001
-LONG_CHUNK, SLICE = 64, 1 << 21
+LONG_CHUNK, SLICE = 64, 1 << 19
 _NONE = np.int64(1 << 40)
 _SLOT = U(0x9E3779B97F4A7C15)
 

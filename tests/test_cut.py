@@ -311,3 +311,58 @@ def test_overlap_join(spark):
     for r in b.itertuples():
         want = sum(max(0, min(x.e, r.b1) - max(x.s, r.b0)) for x in a.itertuples() if x.k == r.k and x.bad)
         assert got.loc[r.id, "overlap_sec"] == pytest.approx(want, abs=1e-6)
+
+
+def _leap_plain(t, gap):
+    keep, last = [], -np.inf
+    for i, x in enumerate(t):
+        if x - last >= gap:
+            keep.append(i)
+            last = x
+    return keep
+
+
+@pytest.mark.parametrize("name, t, gap", [
+    ("periodic", np.arange(4000) * 1.0, 1.5), ("tenths", np.arange(900) / 10.0, 0.3), ("wide", np.sort(np.random.default_rng(1).random(700) * 50), 3.0),
+    ("ties", np.repeat(np.arange(60.0), 11), 2.0), ("longer than all", np.arange(300.0), 1e9), ("sparse", np.arange(200) * 7.0, 1.0)])
+def test_leap_in_few_rounds(spark, monkeypatch, name, t, gap):
+    """Kept rows, and doublings of the pointers: at most 2 log2(pieces)."""
+    from tidegrid.operators import chains
+
+    written, settle = [], chains.settle
+    monkeypatch.setattr(chains, "settle", lambda df, name="part": (written.append(name), settle(df, name))[1])
+    d = spark.createDataFrame(pd.DataFrame({"k": 1, "i": range(len(t)), "t": t}))
+    got = filters.debounce(d.unionAll(d.where("i < 40").withColumn("k", F.lit(2))), ["k"], "t", gap, "i", rows=len(t) // 60).collect()
+    assert sorted(r["i"] for r in got if r["k"] == 1) == _leap_plain(t, gap)
+    assert sorted(r["i"] for r in got if r["k"] == 2) == _leap_plain(t[:40], gap)
+    assert 0 < written.count("jumps") / 2 <= 2 * np.log2(60)  # a doubling writes the path and the pointers
+
+
+def test_clamped(spark):
+    from tidegrid.operators import chains
+
+    r = np.random.default_rng(4)
+    low = r.integers(-9, 9, 400)
+    high = low + r.integers(0, 6, 400)
+    d = pd.DataFrame({"k": np.repeat([1, 2], [350, 50]), "i": np.append(np.arange(350), np.arange(50)), "lo": low, "hi": high})
+    want, x = [], {}
+    for row in d.itertuples():
+        before = x.get(row.k, 3)
+        x[row.k] = min(max(before, row.lo), row.hi)
+        want.append((row.k, row.i, before, x[row.k]))
+    for rows in (7, 1000):
+        got = chains.clamped(spark.createDataFrame(d), ["k"], "i", F.col("lo"), F.col("hi"), "y", "y0", 3, rows)
+        assert sorted((r.k, r.i, r.y0, r.y) for r in got.collect()) == want
+
+
+def test_queue_that_never_empties(spark):
+    """Bursts of targets far ahead of their responses, cut within the burst."""
+    t = [(1, float(i // 40), i) for i in range(200)]
+    rs = [(1, 3.0 + i / 50, i) for i in range(230)]
+    got = joins.match_responses(spark.createDataFrame(t, "k int, t double, id int"), spark.createDataFrame(rs, "k int, t double, id int"), ["k"], "t", "id", 4.0, rows=9)
+    waiting, want = list(t), {}
+    for _, now, i in rs:
+        waiting = [w for w in waiting if w[1] + 4.0 >= now]
+        if waiting and waiting[0][1] <= now:
+            want[waiting.pop(0)[2]] = i
+    assert {r["id"]: r["response_id"] for r in got.collect() if r["hit"]} == want and len(want) > 50

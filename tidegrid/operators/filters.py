@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalars import unit_hash
+from tidegrid.operators.chains import leap
 from tidegrid.operators.group import with_stats
-from tidegrid.operators.scan import cut, fold, scan
+from tidegrid.operators.scan import cut, scan
 
 
 def usable_channels(signal: DataFrame, meta: DataFrame, bad: DataFrame, *, keys: list[str], channel: str,
@@ -72,17 +73,9 @@ def having_min(df: DataFrame, keys: list[str], minima: dict[str, tuple[Column, i
 
 def debounce(df: DataFrame, keys: list[str], t: str, gap: float, tie: str, rows: int | None = None) -> DataFrame:
     """Keep an event only if it comes at least `gap` after the last kept one."""
-
-    def kernel(cols, carry):
-        last = float("-inf") if carry is None else carry
-        keep = []
-        for i, now in enumerate(cols[t].tolist()):
-            if now - last >= gap:
-                keep.append(i)
-                last = now
-        return keep, {}, (None if last == float("-inf") else last)
-
-    return fold(cut(df, keys, [t, tie], rows), kernel, [t])
+    if gap <= 0:
+        return df.filter(F.col(t).isNotNull())
+    return leap(cut(df.filter(F.col(t).isNotNull()), keys, [t, tie], rows), t, gap)
 
 
 def stride(df: DataFrame, idx: str, k: int, offset: int = 0) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections import deque
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.operators.chains import clamped
 from tidegrid.operators.pairwise import moments_corr, pairwise_moments
-from tidegrid.operators.scan import cut, fold, scan
+from tidegrid.operators.scan import cut, scan
+from tidegrid.session import settle
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -179,29 +180,30 @@ def match_responses(targets: DataFrame, responses: DataFrame, by: list[str], t:
     """One-to-one: in time order each target takes its first unused response
     within the window, both ends included.
 
-    Seen from the responses this is a queue: each response goes to the oldest
-    target still waiting. Only that queue crosses from piece to piece.
+    Seen from the responses this is a queue: each goes to the oldest target still
+    waiting. Targets leave the queue in their order, so its state is one number,
+    the targets used or expired so far: at a response it is raised to the
+    expired ones, then by one if a target has come. Less the number of responses
+    it is only ever clamped, which composes (`clamped`): nothing else crosses
+    from piece to piece, and no queue is carried.
     """
-    both = targets.select(*by, F.col(t).alias("__t"), F.lit(0).alias("__side"), F.col(id_).alias("__id")).unionByName(
-        responses.select(*by, F.col(t).alias("__t"), F.lit(1).alias("__side"), F.col(id_).alias("__id"))
-    )
+    at, who = F.col(t).cast("double"), F.col(id_).alias("__id")
+
+    def marks(df: DataFrame, time: Column, side: int) -> DataFrame:
+        return df.where(F.col(t).isNotNull()).select(*by, time.alias("__t"), F.lit(side).alias("__side"), who)
+
+    # At the same time a target comes before a response, and expires after it.
+    both = marks(targets, at, 0).unionByName(marks(responses, at, 1)).unionByName(marks(targets, at + window, 2))
+
+    def of(side: int) -> Column:
+        return F.when(F.col("__side") == side, 1).otherwise(0).cast("long")
 
-    def kernel(cols, carry):
-        waiting = deque(tuple(x) for x in (carry or []))
-        hits, whose = [], []
-        for i, (now, side, who) in enumerate(zip(cols["__t"].tolist(), cols["__side"].tolist(), cols["__id"].tolist())):
-            while waiting and waiting[0][0] + window < now:
-                waiting.popleft()
-            if side == 0:
-                waiting.append((now, who))
-            elif waiting:
-                hits.append(i)
-                whose.append(waiting.popleft()[1])
-        return hits, {"__target": whose}, (list(waiting) or None)
-
-    c = cut(both.withColumn("__t", F.col("__t").cast("double")), by, ["__t", "__side", "__id"], rows)
-    hits = fold(c, kernel, ["__t", "__side", "__id"], {"__target": dict(both.dtypes)["__id"]}).select(
-        *by, F.col("__target").alias(id_), F.col("__id").alias("response_id"), F.col("__t").alias("response_t"))
+    seen = settle(scan(cut(both, by, ["__t", "__side", "__id"], rows), total={"__come": of(0), "__k": of(1), "__over": of(2)}).where("__side < 2"), "queue")
+    k = F.col("__k")
+    queue = clamped(seen.where("__side = 1").withColumn("__i", k - 1), by, "__i", F.col("__over") - (k - 1), F.col("__come") - k, "__y", "__y0", rows=rows)
+    used = F.greatest(F.col("__y0") + k - 1, "__over")
+    hits = queue.where(F.col("__y") + k == used + 1).select(*by, (used + 1).alias("__come"), F.col("__id").alias("response_id"), F.col("__t").alias("response_t"))
+    hits = seen.where("__side = 0").select(*by, "__come", F.col("__id").alias(id_)).join(hits, [*by, "__come"]).drop("__come")
     return targets.join(hits, [*by, id_], "left").withColumn("latency", F.col("response_t") - F.col(t)).withColumn(
         "hit", F.col("response_t").isNotNull()
     )

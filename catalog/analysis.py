@@ -598,12 +598,12 @@ HASH = "CAST(('0x' || substr(md5({}), 1, 12)) AS BIGINT) / 281474976710656.0::DO
 
 
 @query("st06_permutation_test", f"""WITH d AS (SELECT event_type AS region, event_id, value, user_id % 3 = 0 AS a FROM events), o AS (SELECT region, avg(value) FILTER (a) - avg(value) FILTER (NOT a) AS observed, count(*) FILTER (a) AS na FROM d GROUP BY 1),
-  p AS (SELECT d.*, perm, row_number() OVER (PARTITION BY region, perm ORDER BY {HASH.format("'7-' || perm || '-' || event_id")}, event_id) AS rn FROM d, (SELECT unnest(range(1, 11)) AS perm)),
+  p AS (SELECT d.*, perm, row_number() OVER (PARTITION BY region, perm ORDER BY {HASH.format("'7-' || perm || '-' || event_id")}, event_id) AS rn FROM d, (SELECT unnest(range(1, 1001)) AS perm)),
   n AS (SELECT region, perm, avg(value) FILTER (rn <= na) - avg(value) FILTER (rn > na) AS diff, any_value(observed) AS observed FROM p JOIN o USING (region) GROUP BY ALL)
   SELECT region, {q('any_value(observed)', 'observed')}, count(*) FILTER (abs(diff) >= abs(observed)) AS n_extreme, {q('(count(*) FILTER (abs(diff) >= abs(observed)) + 1) / (count(*) + 1)', 'p')} FROM n GROUP BY region""")
 def _(t):
     d = t.events.select(F.col("event_type").alias("region"), "event_id", "value", "user_id")
-    return rounded(stats.permutation_test(d, ["region"], "value", F.col("user_id") % 3 == 0, "event_id", 10, 7), "observed", "p")
+    return rounded(stats.permutation_test(d, ["region"], "value", F.col("user_id") % 3 == 0, "event_id", 1000, 7), "observed", "p")
 
 
 MSQ = "gm AS (SELECT {g} AS g, count({v}) AS n, avg({v}) AS m, var_pop({v}) AS v FROM {t} GROUP BY 1), tm AS (SELECT sum(n * m) / sum(n) AS gm FROM gm), ms AS (SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_obs, sum(n * power(m - gm, 2)) / (count(*) - 1) AS b, sum(n * v) / (sum(n) - count(*)) AS w FROM gm, tm)"

@@ -366,3 +366,66 @@ def test_queue_that_never_empties(spark):
         if waiting and waiting[0][1] <= now:
             want[waiting.pop(0)[2]] = i
     assert {r["id"]: r["response_id"] for r in got.collect() if r["hit"]} == want and len(want) > 50
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_adjust_one_family_in_pieces(spark, by):
+    from tidegrid.operators import stats
+
+    r = np.random.default_rng(8)
+    d = pd.DataFrame({"g": r.integers(0, 3, 400), "i": range(400), "p": np.round(r.random(400) ** 2, 2)})
+    d.loc[d.i % 13 == 0, "p"] = np.nan
+    df = spark.createDataFrame(d).withColumn("p", F.when(~F.isnan("p"), F.col("p")))
+    got = {x.i: x.p_adj for x in stats.adjust(df, by, "p", "i", rows=11).collect()}
+    plan = stats.adjust(df, by, "p", "i", rows=11)._jdf.queryExecution().toString()
+    assert len(got) == 400
+    for _, f in d.groupby("g") if by else [(0, d)]:
+        f = f.dropna().sort_values(["p", "i"])
+        want = np.minimum(1, np.minimum.accumulate((f.p * len(f) / np.arange(1, len(f) + 1)).to_numpy()[::-1])[::-1])
+        assert [got[i] for i in f.i] == pytest.approx(want)
+    assert all(got[i] is None for i in d.i[d.p.isna()])
+    one = stats.adjust(df, by, "p", "i", "bonferroni", rows=11).where("p is not null").first()
+    assert one.p_adj == pytest.approx(min(1, one.p * (d.p.notna() & ((d.g == one.g) if by else True)).sum()))
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_permutations_by_threshold(spark, repeated):
+    """Against a full sort of each permutation; one id for many rows misses the bracket."""
+    import hashlib
+
+    from tidegrid.operators import stats
+
+    r = np.random.default_rng(9)
+    n = 3000
+    d = pd.DataFrame({"g": (np.arange(n) % 4 == 0).astype(int), "i": np.arange(n) % (7 if repeated else n), "a": r.random(n) < 0.3})
+    d["v"] = np.round(d.i % 5 + r.random(n), 3) if not repeated else (d.i * 1.0)  # rows of an id are alike
+    df = spark.createDataFrame(d).withColumn("v", F.when(F.col("v") != 2.5, F.col("v")))
+    got = {x.g: x for x in stats.permutation_test(df, ["g"], "v", F.col("a"), "i", 40, 5).collect()}
+    for g, f in d.groupby("g"):
+        na, want = int(f.a.sum()), []
+        for p in range(1, 41):
+            h = [int(hashlib.md5(f"5-{p}-{i}".encode()).hexdigest()[:12], 16) for i in f.i]
+            v = f.v.to_numpy()[np.lexsort((f.i, h))]
+            want.append(v[:na].mean() - v[na:].mean())
+        seen = f.v[f.a].mean() - f.v[~f.a].mean()
+        assert got[g].observed == pytest.approx(seen) and got[g].n_extreme == (np.abs(want) >= abs(seen)).sum()
+        assert got[g].p == pytest.approx((got[g].n_extreme + 1) / 41)
+    none = stats.permutation_test(df.where("a"), ["g"], "v", F.col("a"), "i", 5, 5).collect()
+    assert [(x.observed, x.p) for x in none] == [(None, None)] * 2
+
+
+def test_running_median_is_fast_and_exact():
+    import time
+
+    r, m = np.random.default_rng(1), events.Median()
+    for k, x in enumerate(r.normal(size=300).tolist()):
+        m.add(x)
+        if k % 50 == 0:
+            m = events.Median(m.below(), m.above())
+    assert m.value() == pytest.approx(np.median(np.random.default_rng(1).normal(size=300)))
+    t0 = time.time()
+    m = events.Median()
+    for x in r.permutation(200_000).tolist():
+        m.add(float(x))
+        m.value()
+    assert m.value() == 99_999.5 and time.time() - t0 < 10

@@ -56,11 +56,21 @@ def zscore_of(x: Column, mean: Column, sd: Column) -> Column:
     return (x - mean) / F.when(sd != 0, sd)
 
 
+def hash_digits(*parts: Column) -> Column:
+    """48 repeatable random bits of any values as 12 hex digits, whose order as
+    text is that of the numbers."""
+    return F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 12)
+
+
+def unit_digits(x: Column) -> Column:
+    """A number in [0, 1] in the form of hash_digits."""
+    return F.lower(F.lpad(F.hex(F.least(F.floor(x * float(2**48)), F.lit(2**48 - 1)).cast("long")), 12, "0"))
+
+
 def unit_hash(*parts: Column) -> Column:
     """A repeatable number in [0, 1) from any values, the same in every run
     and on every machine."""
-    digest = F.md5(F.concat_ws("-", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
+    return F.conv(hash_digits(*parts), 16, 10).cast("double") / F.lit(float(2**48))
 
 
 def to_degrees(pixels: Column, distance: Column, size: float, n_pixels: float) -> Column:

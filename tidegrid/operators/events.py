@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,21 +60,22 @@ def split_on_drift(df: DataFrame, keys: list[str], idx: str, freq: str, tol: flo
     opens an event of its own.
 
     `keys` includes run_id. A long run is cut into pieces of windows; what
-    passes from one to the next is the open event's count of each frequency.
+    passes from one to the next is the open event's frequencies in two halves.
     """
 
     def kernel(cols, carry):
-        start, seen = (carry[0], {v: n for v, n in carry[1]}) if carry else (None, {})
+        event = Median(carry[1], carry[2]) if carry else Median()
+        start = carry[0] if carry else None
         ids = []
         for i, f in zip(cols[idx].tolist(), cols[freq].tolist()):
+            event.add(f)
             if start is None:
-                start, seen = i, {f: 1}
-            else:
-                seen[f] = seen.get(f, 0) + 1
-                if abs(f - weighted_median(seen)) > tol:
-                    start, seen = i, {f: 1}
+                start = i
+            elif abs(f - event.value()) > tol:
+                start, event = i, Median()
+                event.add(f)
             ids.append(start)
-        return np.arange(len(ids)), {"event_id": ids}, [start, sorted(seen.items())]
+        return np.arange(len(ids)), {"event_id": ids}, [start, event.below(), event.above()]
 
     out = fold(cut_dense(df, keys, idx, rows), kernel, [idx, freq], {"event_id": "bigint"})
     if not compat:
@@ -82,15 +85,33 @@ def split_on_drift(df: DataFrame, keys: list[str], idx: str, freq: str, tol: flo
     return out.filter(~lone).drop("__last", "__first")
 
 
-def weighted_median(counts: dict[float, int]) -> float:
-    n, below, lo = sum(counts.values()), 0, None
-    for v in sorted(counts):
-        below += counts[v]
-        if lo is None and below > (n - 1) // 2:
-            lo = v
-        if below > n // 2:
-            return (lo + v) / 2.0
-    return float("nan")
+class Median:
+    """The running median of added values, in O(log n) each: the lower half as a
+    heap of negated values, the upper half as a heap; the lower has as many or
+    one more."""
+
+    def __init__(self, below: list[float] | None = None, above: list[float] | None = None):
+        # Sorted lists are heaps.
+        self.low, self.high = [-x for x in reversed(below or [])], list(above or [])
+
+    def add(self, x: float) -> None:
+        if self.low and x > -self.low[0]:
+            heapq.heappush(self.high, x)
+        else:
+            heapq.heappush(self.low, -x)
+        if len(self.low) > len(self.high) + 1:
+            heapq.heappush(self.high, -heapq.heappop(self.low))
+        elif len(self.high) > len(self.low):
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+
+    def value(self) -> float:
+        return -self.low[0] if len(self.low) > len(self.high) else (self.high[0] - self.low[0]) / 2.0
+
+    def below(self) -> list[float]:
+        return sorted(-x for x in self.low)
+
+    def above(self) -> list[float]:
+        return sorted(self.high)
 
 
 def events_from_runs(df: DataFrame, keys: list[str], run: str, idx: str, freq: str, amp: str, exponent: str,

@@ -72,19 +72,21 @@ def scan(
     first_from: dict[str, Column] | None = None,
     first_after: dict[str, Column] | None = None,
     total: dict[str, Column] | None = None,
+    least_from: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Running values along each series, all in one pass over the pieces.
 
     last / last_before: latest non-null value up to / before the row;
     first_from / first_after: next non-null value from / after the row;
-    total: running sum including the row.
+    total: running sum including the row;
+    least_from: smallest non-null value from the row on.
     """
     back = {**(last or {}), **(last_before or {})}
     ahead = {**(first_from or {}), **(first_after or {})}
-    sums = total or {}
-    src = {n: f"__v_{n}" for n in [*back, *ahead, *sums]}
+    sums, least = total or {}, least_from or {}
+    src = {n: f"__v_{n}" for n in [*back, *ahead, *sums, *least]}
     df = c.df
-    for n, col in [*back.items(), *ahead.items(), *sums.items()]:
+    for n, col in [*back.items(), *ahead.items(), *sums.items(), *least.items()]:
         df = df.withColumn(src[n], col)
 
     def carried(n: str, local: Column, combine) -> Column:
@@ -101,6 +103,8 @@ def scan(
             aggs.append(F.min_by(v, F.when(v.isNotNull(), place)).alias(f"__s_{n}"))
         for n in sums:
             aggs.append(F.sum(src[n]).alias(f"__s_{n}"))
+        for n in least:
+            aggs.append(F.min(src[n]).alias(f"__s_{n}"))
         seg_up = Window.partitionBy(*c.keys).orderBy(F.col(SEG)).rowsBetween(Window.unboundedPreceding, -1)
         seg_down = Window.partitionBy(*c.keys).orderBy(F.col(SEG).desc()).rowsBetween(Window.unboundedPreceding, -1)
         carry = df.groupBy(*c.keys, SEG).agg(*aggs)
@@ -110,6 +114,7 @@ def scan(
             *[F.last(f"__s_{n}", True).over(seg_up).alias(f"__c_{n}") for n in back],
             *[F.last(f"__s_{n}", True).over(seg_down).alias(f"__c_{n}") for n in ahead],
             *[F.coalesce(F.sum(f"__s_{n}").over(seg_up), F.lit(0)).alias(f"__c_{n}") for n in sums],
+            *[F.min(f"__s_{n}").over(seg_down).alias(f"__c_{n}") for n in least],
         )
         df = df.join(carry, [*c.keys, SEG], "left")
 
@@ -124,6 +129,8 @@ def scan(
         out[n] = carried(n, F.last(src[n], True).over(w), F.coalesce)
     for n in sums:
         out[n] = carried(n, F.coalesce(F.sum(src[n]).over(up.rowsBetween(start, 0)), F.lit(0)), Column.__add__)
+    for n in least:
+        out[n] = carried(n, F.min(src[n]).over(down.rowsBetween(start, 0)), F.least)
     kept = [col for col in c.df.columns if col != SEG and col not in out]
     return df.select(*kept, *[v.alias(n) for n, v in out.items()])
 

@@ -8,13 +8,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.scalars import unit_hash
+from tidegrid.functions.scalars import hash_digits, unit_digits, unit_hash
 from tidegrid.functions.special import p_two_sided_t, p_upper_chi2, p_upper_f
 from tidegrid.operators.multivar import product_sums
 from tidegrid.operators.group import average_rank, with_row, with_stats
 from tidegrid.operators.pairwise import moments_corr, pairwise_moments
-from tidegrid.operators.scan import cut, scan
+from tidegrid.operators.scan import SEG, Cut, cut, scan
 from tidegrid.operators.series import zscore
+from tidegrid.session import settle
 
 
 def ttest_1samp(df: DataFrame, by: list[str], col: str, min_n: int = 3) -> DataFrame:
@@ -49,43 +50,78 @@ def ttest_ind(df: DataFrame, by: list[str], col: str, side: Column, equal_var: b
     return d.withColumn("t", (F.col("mean_a") - F.col("mean_b")) / F.when(se > 0, se)).withColumn("dof", dof).drop("__va", "__vb")
 
 
-def adjust(df: DataFrame, by: list[str], p: str, tie: str, method: str = "fdr_bh", out: str = "p_adj") -> DataFrame:
-    """Corrected p over the non-missing tests of each family. Tests are rows
-    of a result table (one per region and band), so a family is one window."""
-    fam = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    m = F.count(p).over(fam)
+def adjust(df: DataFrame, by: list[str], p: str, tie: str, method: str = "fdr_bh", out: str = "p_adj", rows: int | None = None) -> DataFrame:
+    """Corrected p over the non-missing tests of each family; `tie` orders equal
+    ones and is unique in a family. Ranks and the running minimum from the
+    largest p down go piece by piece, so a family may hold all rows."""
+    there = df.filter(F.col(p).isNotNull())
+    d = with_stats(there, by, {"__m": F.count(F.lit(1))})
     if method == "bonferroni":
-        return df.withColumn(out, F.least(F.col(p) * m, F.lit(1.0)))
-    up = fam.orderBy(F.col(p).asc_nulls_last(), tie)
-    down = fam.orderBy(F.col(p).desc_nulls_first(), F.col(tie).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumns({"__m": m, "__rank": F.row_number().over(up)})
-    d = d.withColumn("__raw", F.when(F.col(p).isNotNull(), F.col(p) * F.col("__m") / F.col("__rank")))
-    q = F.least(F.min("__raw").over(down), F.lit(1.0))
-    return d.withColumn(out, F.when(F.col(p).isNotNull(), q)).drop("__m", "__rank", "__raw")
+        d = d.withColumn(out, F.least(F.col(p) * F.col("__m"), F.lit(1.0))).drop("__m")
+    else:
+        family = by or ["__all"]
+        d = d if by else d.withColumn("__all", F.lit(0))
+        # One cut serves both directions: ranks first, then minima on the same pieces.
+        c = cut(d, family, [p, tie], rows)
+        ranked = scan(Cut(c.df.withColumn("__piece", F.col(SEG)), family, [p, tie], c.single), total={"__rank": F.lit(1).cast("long")})
+        ranked = ranked.withColumnRenamed("__piece", SEG)
+        raw = F.col(p) * F.col("__m") / F.col("__rank")
+        d = scan(Cut(ranked, family, [p, tie], c.single), least_from={out: raw}).withColumn(out, F.least(out, F.lit(1.0))).drop("__m", "__rank", "__all")
+    missing = df.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return d.select(*missing.columns).unionAll(missing)
 
 
 def permutation_test(df: DataFrame, by: list[str], value: str, side: Column, id_: str, n_perm: int, seed: int) -> DataFrame:
     """Mean difference of pooled values against random splits of the same
     sizes: empirical two-sided p with one added to both counts.
 
-    In each permutation rows are ordered by a hash of (seed, permutation, id)
-    and the first n_a form side a. The order is taken piecewise, so a region
-    with most of the values is not one task.
-    """
-    d = df.withColumn("__a", side).select(*by, id_, F.col(value).alias("__v"), "__a")
-    obs = d.groupBy(*by).agg(
-        (F.avg(F.when(F.col("__a"), F.col("__v"))) - F.avg(F.when(~F.col("__a"), F.col("__v")))).alias("observed"), F.count_if("__a").alias("__na")
-    )
-    reps = d.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    reps = reps.withColumn("__h", unit_hash(F.lit(seed), F.col("perm"), F.col(id_)))
+    In each permutation the n_a rows of smallest hash of (seed, permutation, id)
+    form side a. The n_a-th smallest of n uniform hashes lies close to n_a / n,
+    so in the scan rows well below it are summed, rows well above it dropped,
+    and only the rows between, some sqrt(n), are put in order. Rows are repeated
+    per permutation inside the task only; a counter per permutation and those
+    few rows leave it. Where the bracket misses (ids that repeat a lot), the
+    permutation is done again over all its rows. Without rows on both sides
+    `observed` and p are null. `by` names one column at least."""
+    d = df.withColumn("__a", side).select(*by, id_, F.col(value).cast("double").alias("__v"), "__a")
+    a = F.col("__a")
+    obs = settle(d.groupBy(*by).agg(
+        (F.avg(F.when(a, F.col("__v"))) - F.avg(F.when(~a, F.col("__v")))).alias("observed"), F.count_if(a).alias("__na"), F.count(F.lit(1)).alias("__n"),
+        F.sum("__v").alias("__sum"), F.count("__v").alias("__there")), "observed")
+    share, n = F.col("__na") / F.col("__n"), F.col("__n")
+    reach = 8 * F.sqrt(share * (1 - share) / n) + 64 / n
+    perms = F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm")
     keys = [*by, "perm"]
-    ranked = scan(cut(reps, keys, ["__h", id_]), total={"__rn": F.lit(1).cast("long")}).join(obs, by)
-    first = F.col("__rn") <= F.col("__na")
-    null = ranked.groupBy(*keys).agg(
-        (F.avg(F.when(first, F.col("__v"))) - F.avg(F.when(~first, F.col("__v")))).alias("diff"), F.first("observed").alias("observed")
-    )
+
+    def split(reps: DataFrame) -> DataFrame:
+        h = reps.withColumn("__h", hash_digits(F.lit(seed), F.col("perm"), F.col(id_))).where("__h <= __hi")
+        inside = F.col("__h") >= F.col("__lo")
+        cells = h.groupBy(*keys, F.when(inside, F.col("__h")).alias("__cell"), F.when(inside, F.col(id_)).alias("__id")).agg(
+            F.count(F.lit(1)).alias("__c"), F.sum("__v").alias("__s"), F.count("__v").alias("__k"), F.first("__na").alias("__na"))
+        upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy(F.col("__cell").asc_nulls_first(), F.col("__id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+        first = F.least(F.col("__c"), F.col("__na") - F.col("__upto") + F.col("__c"))  # of the cell's rows, how many belong to side a
+        part = F.when(first > 0, first / F.col("__c")).otherwise(0.0)
+        return cells.withColumn("__upto", upto).groupBy(*keys).agg(
+            F.sum(part * F.col("__s")).alias("__sa"), F.sum(part * F.col("__k")).alias("__ka"),
+            # The bracket holds the rank: it is not inside the rows summed as one, nor beyond the last one seen.
+            ((F.max("__upto") >= F.max("__na")) & (F.coalesce(F.max(F.when(F.col("__cell").isNull(), F.col("__c"))), F.lit(0)) <= F.max("__na"))).alias("__met"))
+
+    rows = d.select(*by, id_, "__v").join(obs.select(*by, "__na", unit_digits(F.greatest(share - reach, F.lit(0.0))).alias("__lo"), unit_digits(F.least(share + reach, F.lit(1.0))).alias("__hi")), by)
+    # The work is n_perm times the rows: dealt out evenly, whatever files they come from.
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    null = settle(split(rows.select("*", perms)), "null")
+    if not null.where("not __met").isEmpty():
+        again = null.where("not __met").select(*keys)
+        whole = rows.withColumns({"__lo": F.lit(""), "__hi": F.lit("g")}).join(again, by)
+        null = null.where("__met").unionAll(split(whole))
+    null = null.join(obs, by)
+    sb, kb = F.col("__sum") - F.col("__sa"), F.col("__there") - F.col("__ka")
+    null = null.withColumn("diff", F.col("__sa") / F.when(F.col("__ka") > 0, F.col("__ka")) - sb / F.when(kb > 0, kb))
     hits = F.count_if(F.abs("diff") >= F.abs("observed"))
-    return null.groupBy(*by).agg(F.first("observed").alias("observed"), hits.alias("n_extreme"), ((hits + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    null = null.groupBy(*by).agg(hits.alias("n_extreme"))
+    extreme = F.coalesce("n_extreme", F.lit(0)).cast("long")
+    p = F.when(F.col("observed").isNotNull(), (extreme + 1) / F.lit(n_perm + 1.0))
+    return obs.join(null, by, "left").select(*by, "observed", extreme.alias("n_extreme"), p.alias("p"))
 
 
 def _between(df: DataFrame, group: list[str], col: str, by: list[str]) -> DataFrame:

@@ -135,6 +135,15 @@ def _(t):
     return rounded(spectral.compare_fits(a, b, ["recording"], ["offset", "exponent"]), "r", "bias", digits=5)
 
 
+@query("sp11_bias_against", f"""WITH {SIG}, {PSD}, {FIT}, u AS (SELECT l1.recording, l1.a AS a1, -l1.b AS b1, l2.a AS a2, -l2.b AS b2, v FROM l1 JOIN l2 USING (recording) LEFT JOIN (SELECT recording, avg(value) AS v FROM sig GROUP BY 1) USING (recording))
+  SELECT 'offset' AS output, {q('corr(a1, a2)', 'r', 5)}, {q('avg(a1 - a2)', 'bias', 5)}, count(*) AS n, {q('corr(a1 - a2, v)', 'r_level', 5)} FROM u UNION ALL SELECT 'exponent', {q('corr(b1, b2)', 'r', 5)}, {q('avg(b1 - b2)', 'bias', 5)}, count(*), {q('corr(b1 - b2, v)', 'r_level', 5)} FROM u""")
+def _(t):
+    psd = _psd(t)
+    a, b = (spectral.aperiodic_fit(psd, ["recording"], 0.5, 4, refit=x) for x in (False, True))
+    level = t.signal.groupBy("recording").agg(F.avg("value").alias("level"))
+    return rounded(spectral.compare_fits(a, b, ["recording"], ["offset", "exponent"], level, ["level"]), "r", "bias", "r_level", digits=5)
+
+
 # ---- aggregations
 
 
@@ -278,6 +287,22 @@ def _(t):
     return aggs.pair_counts(c, ["g"], "c_mktsegment")
 
 
+SUBJECTS = "SELECT {by}, {mean}, min(n) AS min, max(n) AS max, {sd}, count(*) AS n_subjects FROM c GROUP BY ALL"
+
+
+@query("ag15_contact_summary", f"""WITH c AS (SELECT c_nationkey AS g, c_mktsegment AS region, count(*) AS n FROM customer GROUP BY ALL) {SUBJECTS.format(by='region', mean=q('avg(n)', 'mean'), sd=q('stddev_samp(n)', 'sd'))}""")
+def _(t):
+    c = aggs.contact_counts(t.customer.select(F.col("c_nationkey").alias("g"), F.col("c_mktsegment").alias("region")), ["g"], "region")
+    return rounded(aggs.over_subjects(c, ["region"], "n_contacts"), "mean", "sd")
+
+
+@query("ag15_pair_summary", f"""WITH k AS (SELECT c_nationkey AS g, c_mktsegment AS s, count(*) AS n FROM customer GROUP BY ALL),
+  c AS (SELECT a.s AS region_a, b.s AS region_b, CASE WHEN a.s = b.s THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS n FROM k a JOIN k b ON a.g = b.g AND a.s <= b.s) {SUBJECTS.format(by='region_a, region_b', mean=q('avg(n)', 'mean'), sd=q('stddev_samp(n)', 'sd'))}""")
+def _(t):
+    c = aggs.contact_counts(t.customer.select(F.col("c_nationkey").alias("g"), F.col("c_mktsegment").alias("region")), ["g"], "region")
+    return rounded(aggs.over_subjects(aggs.pair_counts(c, ["g"], "region"), ["region_a", "region_b"], "n_pairs"), "mean", "sd")
+
+
 CT = f"{EMB}, ct AS (SELECT time_idx FROM emb GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT subject) FROM emb)), ce AS (SELECT * FROM emb SEMI JOIN ct USING (time_idx))"
 
 

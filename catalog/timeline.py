@@ -361,6 +361,31 @@ def _(t):
     return windows.epochs(t.signal, ev, ["recording"], "sample_idx", "onset", "epoch", 2.0, -6.0, -0.5).select("epoch", "sample_idx", "offset", "value")
 
 
+# Spans around `error` events are annotated as bad, in seconds at 2 samples each.
+FATES = f"""{SIG}, n AS (SELECT recording, max(sample_idx) + 1 AS n FROM sig GROUP BY recording), e AS (SELECT recording, event_id, sample_idx AS mid FROM sig WHERE channel = 'view'),
+  b AS (SELECT recording, sample_idx / 2.0 - 0.5 AS s, sample_idx / 2.0 + 0.75 AS f FROM sig WHERE channel = 'error' AND event_id % 4 = 0),
+  fate AS (SELECT e.*, CASE WHEN mid - 12 < 0 OR mid - 1 >= n THEN 'short' WHEN EXISTS (SELECT 1 FROM b WHERE b.recording = e.recording AND b.s <= (mid - 1) / 2.0 AND b.f > (mid - 12) / 2.0) THEN 'bad' ELSE 'kept' END AS fate FROM e JOIN n USING (recording))"""
+
+
+def _epoch_args(t):
+    ev = t.signal.filter("channel = 'view'").select("recording", F.col("event_id").alias("epoch"), (F.col("sample_idx") / 2.0).alias("onset"))
+    at = F.col("sample_idx") / 2.0
+    bad = t.signal.filter("channel = 'error' AND event_id % 4 = 0").select("recording", (at - 0.5).alias("start"), (at + 0.75).alias("end"))
+    return (t.signal, ev, ["recording"], "sample_idx", "onset", "epoch", 2.0, -6.0, -0.5), bad
+
+
+@query("wi21_epochs_clean", f"""WITH {FATES} SELECT f.event_id AS epoch, s.sample_idx, s.sample_idx - mid AS "offset", s.value FROM fate f JOIN sig s ON s.recording = f.recording AND s.sample_idx BETWEEN mid - 12 AND mid - 1 WHERE fate = 'kept'""")
+def _(t):
+    args, bad = _epoch_args(t)
+    return windows.epochs(*args, bad).select("epoch", "sample_idx", "offset", "value")
+
+
+@query("wi21_epoch_report", f"""WITH {FATES} SELECT recording, count(*) AS n_events, count(*) FILTER (fate = 'kept') AS n_kept, count(*) FILTER (fate = 'short') AS n_short, count(*) FILTER (fate = 'bad') AS n_bad FROM fate GROUP BY 1""")
+def _(t):
+    args, bad = _epoch_args(t)
+    return windows.epoch_report(windows.epoch_fates(*args, bad), ["recording"])
+
+
 @query("wi22_label_pulses", f"""WITH {SIG}, p AS (SELECT *, t - lag(t) OVER w AS gap, row_number() OVER w AS a, row_number() OVER (PARTITION BY recording ORDER BY t DESC, event_id DESC) AS z FROM sig WINDOW w AS (PARTITION BY recording ORDER BY t, event_id))
   SELECT event_id, {q('gap', 'gap_before')}, CASE WHEN z = 1 THEN 'end' WHEN a = 1 THEN 'start' WHEN gap > 43200 AND (recording % 2 = 1 OR t >= 500000) THEN 'probe_onset' ELSE 'other' END AS label FROM p""")
 def _(t):

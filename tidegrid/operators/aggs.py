@@ -142,6 +142,14 @@ def pair_counts(counts: DataFrame, by: list[str], region: str) -> DataFrame:
     return met.select(*by, "region_a", "region_b", n.cast("long").alias("n_pairs"))
 
 
+def over_subjects(counts: DataFrame, by: list[str], n: str) -> DataFrame:
+    """Mean, least, most and sd of a count over the subjects that have it, and
+    how many do; `by` names the region, or both of a pair."""
+    v = F.col(n)
+    return counts.where(v.isNotNull()).groupBy(*by).agg(
+        F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_samp(v).alias("sd"), F.count(v).alias("n_subjects"))
+
+
 def recording_descriptives(df: DataFrame, keys: list[str], cols: list[str], medians: bool = True) -> DataFrame:
     """Count, sum, mean, sd and median of several columns in one row."""
     base = df.groupBy(*keys).agg(*[

@@ -267,9 +267,18 @@ def local_peaks(flat: DataFrame, keys: list[str], min_height: float, df: float)
     return j.select(*keys, F.col("freq").alias("cf"), F.col("flat").alias("height"), (hi - lo).alias("width"))
 
 
-def compare_fits(a: DataFrame, b: DataFrame, on: list[str], cols: list[str]) -> DataFrame:
-    """Agreement of two fits per output: r, mean difference, n."""
+def compare_fits(a: DataFrame, b: DataFrame, on: list[str], cols: list[str], third: DataFrame | None = None, against: list[str] | None = None) -> DataFrame:
+    """Agreement of two fits per output: r, mean difference, n. With a `third`
+    table (on, and the columns `against`) also r_<column>, the correlation of the
+    difference a - b with it: does the disagreement depend on something else?
+    Rows without a partner there count for r, bias and n only."""
+    against = against or []
     met = a.select(*on, *[F.col(c).alias(f"{c}_a") for c in cols]).join(b.select(*on, *[F.col(c).alias(f"{c}_b") for c in cols]), on)
+    if third is not None:
+        met = met.join(third.select(*on, *[F.col(c).alias(f"__x{i}") for i, c in enumerate(against)]), on, "left")
     cells = F.array(*[F.struct(F.lit(c).alias("output"), F.col(f"{c}_a").alias("a"), F.col(f"{c}_b").alias("b")) for c in cols])
-    long = met.select(F.explode(cells).alias("c")).select("c.*")
-    return long.groupBy("output").agg(F.corr("a", "b").alias("r"), F.avg(F.col("a") - F.col("b")).alias("bias"), F.count(F.lit(1)).alias("n"))
+    beside = [f"__x{i}" for i in range(len(against))]
+    long = met.select(F.explode(cells).alias("c"), *beside).select("c.*", *beside)
+    return long.groupBy("output").agg(
+        F.corr("a", "b").alias("r"), F.avg(F.col("a") - F.col("b")).alias("bias"), F.count(F.lit(1)).alias("n"),
+        *[F.corr(F.col("a") - F.col("b"), F.col(x)).alias(f"r_{c}") for x, c in zip(beside, against)])

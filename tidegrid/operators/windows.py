@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.group import with_stats
-from tidegrid.operators.scan import cut_dense, framed, scan
+from tidegrid.operators.scan import cut, cut_dense, framed, scan
 
 
 def assign_windows(df: DataFrame, idx: str, size: int, step: int, first: int = 0) -> DataFrame:
@@ -243,23 +243,58 @@ def center_on_group(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     return out.withColumns({f"{c}_dev": F.col(c) - F.col(f"{c}_gmean") for c in cols})
 
 
-def epochs(signal: DataFrame, events: DataFrame, by: list[str], idx: str, onset: str, event_id: str, fs: float,
-           tmin: float, tmax: float) -> DataFrame:
-    """Samples from tmin to tmax around each event, ends included. Events
-    whose epoch does not fit whole in the recording are left out."""
+def epoch_fates(signal: DataFrame, events: DataFrame, by: list[str], idx: str, onset: str, event_id: str, fs: float,
+                tmin: float, tmax: float, bad: DataFrame | None = None) -> DataFrame:
+    """by, event_id, __at (the event's sample) and fate of each event: 'short' if
+    the epoch from tmin to tmax does not fit whole in the recording, 'bad' if it
+    meets a span of `bad` (by, start, end in seconds, the end excluded),
+    otherwise 'kept'. An event without a time or recording is short.
+
+    Spans are met without pairs: those that begin up to the epoch's end, less
+    those that are over at its begin, from running counts."""
     at = F.round(F.col(onset) * F.lit(float(fs))).cast("long")
     a, b = round(tmin * fs), round(tmax * fs)
     n = signal.groupBy(*by).agg((F.max(idx) + 1).alias("__n"))
-    fits = events.withColumn("__at", at).join(n, by).filter((F.col("__at") + a >= 0) & (F.col("__at") + b < F.col("__n")))
-    picks = fits.select(*by, event_id, "__at", F.explode(F.sequence(F.col("__at") + a, F.col("__at") + b)).alias(idx))
+    d = events.select(*by, event_id, at.alias("__at")).join(n, by, "left")
+    fits = F.coalesce((F.col("__at") + a >= 0) & (F.col("__at") + b < F.col("__n")), F.lit(False))
+    d = d.withColumn("fate", F.when(fits, "kept").otherwise("short")).drop("__n")
+    if bad is None:
+        return d
+
+    def marks(df: DataFrame, x: Column, side: int, id_: Column) -> DataFrame:
+        return df.select(*by, x.cast("double").alias("__x"), F.lit(side).alias("__side"), id_.alias("__id"))
+
+    spans, kept, who, nobody = bad.where(F.col("start") < F.col("end")), d.where("fate = 'kept'"), F.col(event_id), F.lit(None).cast(dict(events.dtypes)[event_id])
+    both = marks(spans, F.col("start"), 0, nobody).unionAll(marks(spans, F.col("end"), 1, nobody)).unionAll(
+        marks(kept, (F.col("__at") + a) / F.lit(float(fs)), 2, who)).unionAll(marks(kept, (F.col("__at") + b) / F.lit(float(fs)), 3, who))
+    seen = scan(cut(both, by, ["__x", "__side", "__id"]), total={
+        "__begun": (F.col("__side") == 0).cast("long"), "__over": (F.col("__side") == 1).cast("long")}).where("__side > 1")
+    met = seen.groupBy(*by, F.col("__id").alias(event_id)).agg(
+        (F.max(F.when(F.col("__side") == 3, F.col("__begun"))) - F.max(F.when(F.col("__side") == 2, F.col("__over"))) > 0).alias("__met"))
+    fate = F.when((F.col("fate") == "kept") & F.coalesce("__met", F.lit(False)), "bad").otherwise(F.col("fate"))
+    return d.join(met, [*by, event_id], "left").select(*by, event_id, "__at", fate.alias("fate"))
+
+
+def epochs(signal: DataFrame, events: DataFrame, by: list[str], idx: str, onset: str, event_id: str, fs: float,
+           tmin: float, tmax: float, bad: DataFrame | None = None) -> DataFrame:
+    """Samples from tmin to tmax around each event, ends included. Events
+    whose epoch does not fit whole in the recording, or meets a span of `bad`,
+    are left out (see epoch_fates; epoch_report counts them)."""
+    a, b = round(tmin * fs), round(tmax * fs)
+    kept = epoch_fates(signal, events, by, idx, onset, event_id, fs, tmin, tmax, bad).where("fate = 'kept'")
+    picks = kept.select(*by, event_id, "__at", F.explode(F.sequence(F.col("__at") + a, F.col("__at") + b)).alias(idx))
     return picks.join(signal, [*by, idx]).withColumn("offset", F.col(idx) - F.col("__at")).drop("__at")
 
 
+def epoch_report(fates: DataFrame, by: list[str]) -> DataFrame:
+    """Per recording: events, epochs kept, and those dropped by reason."""
+    return fates.groupBy(*by).agg(F.count(F.lit(1)).alias("n_events"), *[
+        F.count_if(F.col("fate") == f).alias(f"n_{f}") for f in ("kept", "short", "bad")])
+
+
 def label_pulses(df: DataFrame, keys: list[str], t: str, tie: str, gap: float, start_at: DataFrame | None = None) -> DataFrame:
     """First pulse 'start', last 'end', a pulse more than `gap` after the one
     before 'probe_onset' (from `start_at`.min_time on, where given)."""
-    from tidegrid.operators.scan import cut
-
     here = F.struct(F.col(t).alias("t"))
     d = scan(cut(df, keys, [t, tie]), last_before={"__p": here}, first_after={"__n": here})
     d = d.withColumn("gap_before", F.col(t) - F.col("__p.t"))

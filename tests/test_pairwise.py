@@ -79,3 +79,26 @@ def test_left_out_edges():
     # Two subjects carry the first component alone, two others the second.
     x = np.array([[3.0, 0], [-3, 0], [0, 1], [0, -1]])
     assert multivar._left_out(x @ x.T)[2:].tolist() == pytest.approx([1, 1])
+
+
+@pytest.mark.parametrize("chunk, bytes_", [(3, 400), (256, 1 << 25)])
+def test_turned_series(spark, monkeypatch, chunk, bytes_):
+    """Against turned copies, with a constant series and several chunks and blocks."""
+    from tidegrid.operators import stats
+
+    monkeypatch.setattr(stats, "CHUNK", chunk)
+    monkeypatch.setattr(stats, "SUM_BYTES", bytes_)
+    rng = np.random.default_rng(11)
+    d = pd.DataFrame([(f"s{e}", t, *rng.normal(size=2)) for e in range(8) for t in range(17)], columns=["who", "t", "x", "y"])
+    df = spark.createDataFrame(d)
+    got = stats.isc_null(df, "who", "t", ["x", "y"], 6, 3)
+    turned = df.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    turned = turned.withColumn("t", F.pmod(F.col("t") - stats.shift_of(F.col("who"), F.col("perm"), F.lit(17), 3), F.lit(17)))
+    want = {(r.perm, r.who): (r.n_times, r.isc) for r in stats.isc(turned, "who", "t", ["x", "y"], ["perm"]).collect()}
+    rows = got.collect()
+    assert len(rows) == len(want) == 48
+    for r in rows:
+        assert (r.n_times, r.isc) == pytest.approx(want[r.perm, r.who])
+    flat = df.withColumn("x", F.when(F.col("who") == "s1", 1.0).otherwise(F.col("x")))
+    assert {r.who for r in stats.isc_null(flat, "who", "t", ["x", "y"], 2, 3).where("isc is null").collect()} == {"s1"}
+    assert stats.isc_null(df.where("false"), "who", "t", ["x"], 2, 3).count() == 0

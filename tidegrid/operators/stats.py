@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from tidegrid.functions.special import p_two_sided_t, p_upper_chi2, p_upper_f
 from tidegrid.operators.multivar import product_sums
 from tidegrid.operators.group import average_rank, with_row, with_stats
 from tidegrid.operators.pairwise import moments_corr, pairwise_moments
-from tidegrid.operators.scan import SEG, Cut, cut, scan
+from tidegrid.operators.scan import SEG, Cut, cut, pieces, scan
 from tidegrid.operators.series import zscore
 from tidegrid.session import settle
 
@@ -234,13 +235,95 @@ def shift_of(entity: Column, perm: Column, n: Column, seed: int) -> Column:
     return F.floor(unit_hash(F.lit(seed), entity, perm) * n)
 
 
+#: Entities whose series meet in a task, and bytes of group sums that do.
+CHUNK, SUM_BYTES = 256, 1 << 25
+
+
 def isc_null(df: DataFrame, entity: str, time: str, cols: list[str], n_perm: int, seed: int) -> DataFrame:
     """isc after turning every series by its own random number of samples,
-    n_perm times. `time` is a 0-based index."""
-    d = with_stats(df, [entity], {"__n": F.max(time) + 1}).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    k = shift_of(F.col(entity), F.col("perm"), F.col("__n"), seed)
-    d = d.withColumn(time, F.pmod(F.col(time) - k, F.col("__n"))).drop("__n")
-    return isc(d, entity, time, cols, ["perm"])
+    n_perm times. `time` is a 0-based index, on a grid that all entities share:
+    a series on it is one cell.
+
+    Turning changes neither mean nor spread, so series are scaled once. A task
+    adds up the turned series that it holds and hands on one sum per permutation,
+    never a turned copy; then chunks of entities meet blocks of the whole sums
+    and take their products. What is shuffled grows with times x permutations
+    for each chunk of entities, not with rows x permutations."""
+    z = zscore(df.select(entity, time, *cols), [entity], cols, 0)
+    n_all, grid = z.agg(F.countDistinct(entity), F.max(time) + 1).first()
+    if not n_all:
+        return df.select(F.lit(0).alias("perm"), entity, F.lit(0).cast("long").alias("n_times"), F.lit(0.0).alias("isc")).where("false")
+    kind, c = dict(df.dtypes)[entity], len(cols)
+    rows = z.select(entity, F.col(time).cast("long").alias("__t"), *[F.col(f"{x}_z").alias(f"__z{i}") for i, x in enumerate(cols)])
+
+    def pack(batches):
+        for table, starts in pieces(batches, [entity]):
+            t, v = table.column("__t").to_numpy(), [table.column(f"__z{i}").to_numpy() for i in range(c)]
+            blobs, size, present = [], [], []
+            for s, e in zip(starts, [*starts[1:], table.num_rows]):
+                m = np.full((c, int(t[s:e].max()) + 1), np.nan)
+                for i in range(c):
+                    m[i, t[s:e]] = v[i][s:e]
+                blobs.append(m.tobytes()), size.append(m.shape[1]), present.append(int(e - s))
+            heads = table.take(pa.array(starts)).select([entity])
+            for name, col in (("__n", pa.array(size, pa.int64())), ("n_times", pa.array(present, pa.int64())), ("__z", pa.array(blobs, pa.binary()))):
+                heads = heads.append_column(name, col)
+            yield from heads.to_batches()
+
+    series = rows.repartition(entity).sortWithinPartitions(entity, "__t").mapInArrow(pack, f"`{entity}` {kind}, __n long, n_times long, __z binary")
+    chunks = -(-n_all // CHUNK)
+    turns = F.transform(F.sequence(F.lit(1), F.lit(n_perm)), lambda p: shift_of(F.col(entity), p, F.col("__n"), seed))
+    series = settle(series.withColumns({"__k": turns, "__chunk": F.pmod(F.xxhash64(entity), F.lit(chunks)).cast("int")}), "series")
+
+    def load(table):
+        n = table.column("__n").to_numpy()
+        z = [np.frombuffer(b.as_py()).reshape(c, -1) for b in table.column("__z")]
+        k = table.column("__k").combine_chunks() if isinstance(table, pa.Table) else table.column("__k")
+        k = k.chunk(0) if isinstance(k, pa.ChunkedArray) else k
+        return n, z, k.flatten().to_numpy().reshape(len(n), n_perm)
+
+    def add(batches):
+        for batch in batches:
+            n, z, k = load(batch)
+            full = [np.nan_to_num(m) for m in z]
+            for p in range(n_perm) if len(n) else ():
+                total = np.zeros((c, grid))
+                for e, m in enumerate(full):
+                    total[:, : n[e]] += np.roll(m, -k[e, p], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([p + 1], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["perm", "s"])
+
+    def total(table):
+        out = np.zeros(c * grid)
+        for b in table.column("s"):
+            out += np.frombuffer(b.as_py())
+        return pa.table({"perm": table.column("perm").slice(0, 1), "s": pa.array([out.tobytes()], pa.binary())})
+
+    sums = settle(series.select("__n", "__z", "__k").mapInArrow(add, "perm int, s binary").groupBy("perm").applyInArrow(total, "perm int, s binary"), "sums")
+    block = max(1, SUM_BYTES // (8 * c * grid))
+    blocks = -(-n_perm // block)
+    left = series.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = sums.withColumn("__block", F.floor((F.col("perm") - 1) / block).cast("int")).withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def products(own, whole):
+        n, z, k = load(own)
+        full, there = [np.nan_to_num(m) for m in z], [np.isfinite(m).sum(axis=1) for m in z]
+        square = [(m * m).sum(axis=1) for m in full]
+        perm = whole.column("perm").to_numpy()
+        out = np.full((len(perm), len(n)), np.nan)
+        for i, b in enumerate(whole.column("s")):
+            s = np.frombuffer(b.as_py()).reshape(c, grid)
+            for e, m in enumerate(full):
+                both = (m * np.roll(s[:, : n[e]], k[e, perm[i] - 1], axis=1)).sum(axis=1) - square[e]
+                if there[e].all() and n_all > 1:
+                    out[i, e] = (both / there[e]).mean() / (n_all - 1)
+        rows = own.take(pa.array(np.tile(np.arange(len(n)), len(perm)))).select([entity, "n_times"])
+        rows = rows.add_column(0, "perm", pa.array(np.repeat(perm, len(n)), pa.int32()))
+        return rows.append_column("isc", pa.array(out.ravel(), from_pandas=True))
+
+    by = ["__chunk", "__block"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(
+        lambda own, whole: products(own, whole) if own.num_rows else pa.table({"perm": pa.array([], pa.int32()), entity: own.column(entity), "n_times": own.column("n_times"), "isc": pa.array([], pa.float64())}),
+        f"perm int, `{entity}` {kind}, n_times long, isc double")
 
 
 def mean_pairwise_corr(df: DataFrame, entity: str, time: str, col: str, by: list[str] | None = None) -> DataFrame:

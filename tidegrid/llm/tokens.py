@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.text import BYTES, U, Rolling, Words, flat, small_batches, texts_of
+from tidegrid.llm.text import BYTES, U, Words, flat, range_hashes, small_batches, texts_of
 from tidegrid.session import settle
 
 MAX_LENGTH, BLOCK = 16, 512
@@ -117,13 +117,21 @@ class Encoder:
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and where each row's begin."""
         data, start, end, first_atom = _atoms(*flat(column))
-        keys, at, back = np.unique(Rolling(BYTES[data])(start, end), return_index=True, return_inverse=True)
-        keys, raw = keys.tolist(), data.tobytes()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
+        # Atoms and what stands between them, in turn, as one string array.
+        bounds = np.empty(2 * len(start), np.int64)
+        bounds[::2], bounds[1::2] = start, end
+        both = pa.Array.from_buffers(pa.large_string(), max(0, len(bounds) - 1), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())])
+        coded = both.take(pa.array(np.arange(0, len(both), 2))).dictionary_encode()
+        back, (raw, at) = coded.indices.to_numpy(), flat(coded.dictionary)
+        keys = range_hashes(BYTES[raw], raw, at[:-1], at[1:]).tolist()
+        lists = [self.known.get(k) for k in keys]
+        new = [i for i, x in enumerate(lists) if x is None]
         if len(self.known) + len(new) > self.KEEP:
             self.known, new = {}, range(len(keys))
-        self._learn([(keys[i], raw[start[at[i]] : end[at[i]]].decode()) for i in new])
-        lists = [self.known[k] for k in keys]
+        text = raw.tobytes()
+        self._learn([(keys[i], text[at[i] : at[i + 1]].decode()) for i in new])
+        for i in new:
+            lists[i] = self.known[keys[i]]
         n = np.fromiter(map(len, lists), np.int64, len(lists)) // self.type.itemsize
         ids = np.frombuffer(b"".join(lists), self.type)
         first = np.append(0, np.cumsum(n))

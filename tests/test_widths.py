@@ -57,3 +57,18 @@ def test_split_without_convergence_is_an_error(wide):
     df, cols, _, _ = wide
     with pytest.raises(RuntimeError):
         multivar.robust_pca(df, "id", cols, iters=1)
+
+
+def test_inflation_and_loadings(wide):
+    df, cols, x, _ = wide
+    got = dict(multivar.vif(df, cols).collect())
+    for k in (0, 7, P - 1):
+        others = np.delete(x, k, axis=1)
+        left = x[:, k] - others @ np.linalg.lstsq(others, x[:, k], rcond=None)[0]
+        assert got[cols[k]] == pytest.approx((x[:, k] ** 2).sum() / (left**2).sum())
+    load = multivar.loadings_table(df, cols, 3).toPandas()
+    _, s, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    for j in range(3):
+        mine = load[load.component == f"PC{j + 1}"]
+        assert abs(mine.loading.to_numpy() @ v[j]) == pytest.approx(1) and mine.explained.iloc[0] == pytest.approx(s[j] ** 2 / (s**2).sum())
+        assert mine.loading.iloc[np.abs(mine.loading).argmax()] > 0

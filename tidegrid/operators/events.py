@@ -14,10 +14,12 @@ from tidegrid.operators.scan import cut_dense, fold, framed, scan
 from tidegrid.session import settle
 
 
-def skeleton(peaks: DataFrame, keys: list[str], carried: list[str], order: str, kept: Column) -> DataFrame:
+def skeleton(peaks: DataFrame, keys: list[str], carried: list[str], order: str | list[str], kept: Column) -> DataFrame:
     """One row per window: the first non-null value of each carried column in
-    peak order, and the number of kept peaks."""
-    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in carried]
+    peak order, and the number of kept peaks. `order` may name several columns;
+    among peaks equal in all of them the smallest value counts as first."""
+    order = [order] if isinstance(order, str) else order
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order, c))).alias(c) for c in carried]
     return peaks.groupBy(*keys).agg(*first, F.count_if(kept).alias("n_peaks_total"))
 
 

@@ -429,3 +429,15 @@ def test_running_median_is_fast_and_exact():
         m.add(float(x))
         m.value()
     assert m.value() == 99_999.5 and time.time() - t0 < 10
+
+
+def test_pieces_stay_small_beyond_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(scan, "MAX_PIECES", 3)
+    t = np.random.default_rng(3).permutation(500) // 7
+    d = spark.createDataFrame(pd.DataFrame({"k": (np.arange(500) < 450).astype(int), "t": t, "i": range(500)}))
+    c = scan.cut(d, ["k"], ["t", "i"], 20)
+    size = c.df.groupBy("k", scan.SEG).count().agg(F.max("count"), F.count("*")).first()
+    assert size[0] <= 20 and size[1] >= 25
+    got = scan.time_index(d, ["k"], ["t", "i"], "pos", 20).toPandas()
+    for _, g in got.groupby("k"):
+        assert g.sort_values(["t", "i"]).pos.tolist() == list(range(len(g)))

@@ -24,7 +24,9 @@ SEGMENT_ROWS = 200_000
 SEG = "__seg"
 
 
+#: Range partitions of a cut; a partition of more rows than a piece is cut again.
 MAX_PIECES = 20_000
+PER_RANGE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -44,18 +46,22 @@ class Cut:
 
 def cut(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None) -> Cut:
     """Cut an irregular series. If no series is longer than `rows` each is one
-    piece. Otherwise rows are range-partitioned on (keys, order) and the
-    partition number is the piece: pieces are even whatever the timestamps do,
-    as a series, a burst or even a single instant may be split. The ranges come
-    from a sample, so the tagged rows are written once and all later passes
-    read the same pieces."""
+    piece. Otherwise rows are range-partitioned on (keys, order), MAX_PIECES
+    partitions at most, and each sorted partition is cut every `rows` rows: pieces
+    stay small whatever the total, and even whatever the timestamps do, as a
+    series, a burst or even a single instant may be split. The ranges come from
+    a sample, so the tagged rows are written once and all later passes read the
+    same pieces."""
     rows = rows or SEGMENT_ROWS
     longest, total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
     if (longest or 0) <= rows:
         return Cut(df.withColumn(SEG, F.lit(0).cast("long")), list(keys), list(order), True)
     n = min(-(-total // rows), MAX_PIECES)
-    ranged = df.repartitionByRange(n, *keys, *order).withColumn(SEG, F.spark_partition_id().cast("long"))
-    return Cut(settle(ranged, "pieces"), list(keys), list(order))
+    ranged = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+    # The id holds the partition and, in its lower 33 bits, the row's place in it.
+    place = F.monotonically_increasing_id()
+    piece = F.shiftright(place, 33) * F.lit(PER_RANGE) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(rows))
+    return Cut(settle(ranged.withColumn(SEG, piece.cast("long")), "pieces"), list(keys), list(order))
 
 
 def cut_dense(df: DataFrame, keys: list[str], idx: str, rows: int | None = None) -> Cut:

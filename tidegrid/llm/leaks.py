@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.llm.text import LOWER, U, Rolling, Words, flat, small_batches, texts_of
+from tidegrid.operators.scan import time_index
+from tidegrid.session import settle
 
 K1, B = 1.2, 0.75
 SEGMENT, SHINGLE, BLOCK = 64, 5, 8
@@ -164,7 +166,8 @@ def _search(data: np.ndarray, off: np.ndarray, s: Shard, threshold: float, overl
 def _index(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[Shard, dict]]:
     """The shards of the index; each with the ids of its items."""
     items = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").distinct()
-    items = items.withColumn("item", F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 40) - 1)))
+    # Numbered, as a hash short enough for the keys below would meet another one.
+    items = settle(time_index(items.withColumn("all", F.lit(0)), ["all"], ["text", "id"], out="item").select("id", "text", F.col("item").cast("long").alias("item")), "items")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,6 +33,7 @@ TEMPLATES = {
     "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "Reserved": "All rights reserved.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 #: A word: ASCII letters and digits and all beyond ASCII, in lower case.
@@ -43,9 +44,9 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), GAP), lambda w: w != "")
 
 
-def shingles(w: Column) -> Column:
-    """Hashes of the runs of SHINGLE words; of fewer words, one of them all."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - SHINGLE + 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(SHINGLE)), " ")))
+def shingles(w: Column, n: int = SHINGLE) -> Column:
+    """Hashes of the runs of n words; of fewer words, one of them all."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " ")))
     return F.when(F.size(w) > 0, runs).otherwise(F.array().cast("array<long>"))
 
 
@@ -62,10 +63,10 @@ def stride(size: int) -> int:
     return size * 3 // 8
 
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+def template_table(spark: SparkSession, templates: dict[str, str], n: int = SHINGLE) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(v).alias("text")) for k, v in templates.items()])
     t = spark.range(1).select(F.explode(rows).alias("t")).select("t.template", words(F.col("t.text")).alias("w"))
-    return t.select("template", "w", F.array_distinct(shingles(F.col("w"))).alias("template_shingles"))
+    return t.select("template", "w", F.array_distinct(shingles(F.col("w"), n)).alias("template_shingles"))
 
 
 def gate_words(shingled: list[list[str]]) -> list[list[str]]:
@@ -86,40 +87,49 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     n_windows that verify, and first_word (0-based) of the first of them.
 
     Punctuation and case don't count. A null or blank text holds nothing; rows
-    of one id, null included, count as one document; templates need SHINGLE
-    words at least. The templates are a parameter of fixed size: their table
-    is the only thing broadcast."""
-    spark = docs.sparkSession
-    table = template_table(spark, templates)
+    of one id, null included, count as one document. A template of fewer than
+    SHINGLE words is one shingle of its own length, and those of each length are
+    looked for with shingles of that length; one without words raises an error.
+    The templates are a parameter of fixed size: their table is the only thing
+    broadcast."""
+    n_words = {k: int(r) for k, r in template_table(docs.sparkSession, templates).select("template", F.size("w")).collect()}
+    if blank := [k for k, n in n_words.items() if n == 0]:
+        raise ValueError(f"templates without words: {blank}")
+    by_length: dict[int, dict[str, str]] = {}
+    for name, text in templates.items():
+        by_length.setdefault(min(SHINGLE, n_words[name]), {})[name] = text
+    return reduce(DataFrame.unionAll, [_scan(docs, some, n, id_col, text_col, containment) for n, some in sorted(by_length.items())])
+
+
+def _scan(docs: DataFrame, templates: dict[str, str], n: int, id_col: str, text_col: str, containment: float) -> DataFrame:
+    """scan() of templates that all have shingles of n words."""
+    table = template_table(docs.sparkSession, templates, n)
     known = {r["template"]: (r["w"], r["template_shingles"]) for r in table.collect()}
-    short = [k for k, (w, _) in known.items() if len(w) < SHINGLE]
-    if short:
-        raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
     size_of = F.create_map(*[F.lit(x) for k, (w, _) in known.items() for x in (k, class_of(len(w)))])
     table = table.withColumn("size", size_of[F.col("template")])
     sizes = sorted({class_of(len(w)) for w, _ in known.values()})
     wanted = sorted({s for _, sh in known.values() for s in sh})
-    gate = gate_words([w[i : i + SHINGLE] for w, _ in known.values() for i in range(len(w) - SHINGLE + 1)])
+    gate = gate_words([w[i : i + n] for w, _ in known.values() for i in range(len(w) - n + 1)])
 
     text = F.lower(F.col(text_col))
     some = F.lit(False)
     for each in gate:
         some = some | reduce(and_, [F.contains(text, F.lit(word)) for word in each])
     w = docs.where(some).select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    sh = w.select("doc_id", shingles(F.col("w")).alias("sh"))
+    sh = w.select("doc_id", shingles(F.col("w"), n).alias("sh"))
     at = F.filter(F.transform("sh", lambda x, i: F.when(x.isin(wanted), i)), lambda i: i.isNotNull())
     hit = sh.withColumn("at", at)
 
     def windows(i: Column, size: int) -> Column:
         """Windows whose shingles include the one at i."""
         step = stride(size)
-        low = F.greatest(F.lit(0), F.ceil((i - (size - SHINGLE)) / F.lit(step)).cast("int"))
+        low = F.greatest(F.lit(0), F.ceil((i - (size - n)) / F.lit(step)).cast("int"))
         return F.transform(F.sequence(low, F.floor(i / F.lit(step)).cast("int")), lambda k: F.struct(F.lit(size).alias("size"), (k * step).alias("begin")))
 
     around = F.array_distinct(F.flatten(F.transform("at", lambda i: F.flatten(F.array(*[windows(i, s) for s in sizes])))))
     # A filter here would be pushed down with the expressions that make the
     # arrays, and evaluate them for each element: explode_outer infers none.
-    win = hit.select("doc_id", "sh", F.explode_outer(around).alias("x")).select("doc_id", "x.size", "x.begin", F.slice("sh", F.col("x.begin") + 1, F.col("x.size") - SHINGLE + 1).alias("held"))
+    win = hit.select("doc_id", "sh", F.explode_outer(around).alias("x")).select("doc_id", "x.size", "x.begin", F.slice("sh", F.col("x.begin") + 1, F.col("x.size") - n + 1).alias("held"))
     keys = F.posexplode(bands(F.col("held"))).alias("band", "value")
     own = F.posexplode(bands(F.col("template_shingles"))).alias("band", "value")
     met = win.select("doc_id", "size", "begin", "held", keys).join(F.broadcast(table.select("template", "size", "template_shingles", own)), ["size", "band", "value"])

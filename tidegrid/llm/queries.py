@@ -67,14 +67,21 @@ def _rules(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
         "failed_bits", "n_lines", "n_stutter", "n_upper", "n_letters", "n_letter_words", "n_insults")
 
 
-@query("op10_quality_rules", _RULES_SQL.replace("@MASK", str(rules.POLICIES["prose"][1])))
+@query("op10_quality_rules", _RULES_SQL.replace("@MASK", str(rules.POLICIES["strict"][1])))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`kept` by the policy `strict`, which rejects toxic documents too."""
+    return _rules(spark, sf_dir, "strict")
+
+
+@query("op10_quality_rules_prose", _RULES_SQL.replace("@MASK", str(rules.POLICIES["prose"][1])))
+def op10_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With `kept` by the policy `prose`, which leaves the rule on insults out."""
     return _rules(spark, sf_dir, "prose")
 
 
 @query("op10_quality_rules_strict", _RULES_SQL.replace("@MASK", str(rules.POLICIES["strict"][1])))
 def op10_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With `kept` by the policy of the pipeline, which rejects toxic documents too."""
+    """The same as op10_quality_rules; kept under its earlier name."""
     return _rules(spark, sf_dir, "strict")
 
 
@@ -147,16 +154,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _licenses_sql() -> str:
-    rows = ", ".join(f"('{k}', '{v}', {licenses.class_of(len(words))}, {licenses.stride(licenses.class_of(len(words)))})" for k, v in licenses.TEMPLATES.items() for words in [[w for w in re.split(licenses.GAP, v.lower()) if w]])
+    rows, lengths = [], set()
+    for k, v in licenses.TEMPLATES.items():
+        n = len([w for w in re.split(licenses.GAP, v.lower()) if w])
+        size = licenses.class_of(n)
+        lengths.add(min(licenses.SHINGLE, n))
+        rows.append(f"('{k}', '{v}', {size}, {licenses.stride(size)}, {min(licenses.SHINGLE, n)})")
     return r"""
-WITH t AS (SELECT template, size, step, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM (VALUES @ROWS) AS v(template, text, size, step)),
-ts AS (SELECT DISTINCT template, size, step, w[i:i + 4] AS g FROM t, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
+WITH t AS (SELECT template, size, step, k, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM (VALUES @ROWS) AS v(template, text, size, step, k)),
+ts AS (SELECT DISTINCT template, size, step, k, w[i:i + k - 1] AS g FROM t, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
 n AS (SELECT template, count(*) AS n FROM ts GROUP BY 1),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
-s AS (SELECT doc_id, i - 1 AS i, w[i:i + 4] AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
-hit AS (SELECT doc_id, template, g, size, step, i FROM s JOIN ts USING (g)),
-win AS (SELECT doc_id, template, k * step AS first, count(DISTINCT g) AS c FROM hit, LATERAL (SELECT unnest(range(greatest(0, ceil((i - (size - 5)) / step))::BIGINT, (i // step) + 1)) AS k) GROUP BY ALL)
-SELECT doc_id, template, max(c / n) AS containment, count(*) AS n_windows, min(first) AS first_word FROM win JOIN n USING (template) WHERE c / n >= 0.8 GROUP BY 1, 2""".replace("@ROWS", rows)
+s AS (SELECT doc_id, i - 1 AS i, w[i:i + k - 1] AS g FROM d, (SELECT unnest([@LENGTHS]) AS k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+hit AS (SELECT doc_id, template, g, size, step, k, i FROM s JOIN ts USING (g)),
+win AS (SELECT doc_id, template, j * step AS first, count(DISTINCT g) AS c FROM hit, LATERAL (SELECT unnest(range(greatest(0, ceil((i - (size - k)) / step))::BIGINT, (i // step) + 1)) AS j) GROUP BY ALL)
+SELECT doc_id, template, max(c / n) AS containment, count(*) AS n_windows, min(first) AS first_word FROM win JOIN n USING (template) WHERE c / n >= 0.8 GROUP BY 1, 2""".replace(
+        "@ROWS", ", ".join(rows)).replace("@LENGTHS", ", ".join(map(str, sorted(lengths))))
 
 
 @query("op4_license_scan", _licenses_sql())

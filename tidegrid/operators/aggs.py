@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.scalars import mmss
 from tidegrid.operators.group import percentiles, with_row, with_stats
 from tidegrid.operators.series import robust_z
+from tidegrid.session import settle
 
 
 def summary(df: DataFrame, by: list[str], col: str) -> DataFrame:
@@ -107,7 +108,9 @@ def region_series(df: DataFrame, keys: list[str], channel: str, value: str, min_
 
 def region_spectrogram(tf: DataFrame, series: list[str], at: list[str], value: str, bad: Column) -> DataFrame:
     """Robust z per channel and frequency scaled on good windows, averaged per
-    region; bad windows are missing."""
+    region; bad windows are missing. The windows are stored once, as scaling reads
+    them several times."""
+    tf = settle(tf, "power")
     z = robust_z(tf, series, value, "__z", ref=~bad, zero="one")
     return z.groupBy(*at).agg(F.avg(F.when(~bad, F.col("__z"))).alias("mean_z"))
 
@@ -151,14 +154,18 @@ def over_subjects(counts: DataFrame, by: list[str], n: str) -> DataFrame:
 
 
 def recording_descriptives(df: DataFrame, keys: list[str], cols: list[str], medians: bool = True) -> DataFrame:
-    """Count, sum, mean, sd and median of several columns in one row."""
+    """Count, sum, mean, sd and median of several columns in one row. The medians
+    of all columns come from one chain over (key, column)."""
     base = df.groupBy(*keys).agg(*[
         e for c in cols for e in (
             F.count(c).alias(f"n_{c}"), F.sum(c).alias(f"sum_{c}"), F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}")
         )
     ])
     if medians:
-        base = reduce(lambda d, c: d.join(percentiles(df, keys, c, {f"median_{c}": 0.5}), keys, "left"), cols, base)
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("__col"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(cols)])).alias("__cell")
+        mid = percentiles(df.select(*keys, cells).select(*keys, "__cell.*"), [*keys, "__col"], "__v", {"__median": 0.5})
+        mid = mid.groupBy(*keys).agg(*[F.max(F.when(F.col("__col") == i, F.col("__median"))).alias(f"median_{c}") for i, c in enumerate(cols)])
+        base = base.join(mid, keys, "left")
     return base
 
 

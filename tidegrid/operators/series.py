@@ -12,6 +12,7 @@ from tidegrid.operators.scan import cut, cut_dense, framed, scan
 from tidegrid.session import settle
 
 MAD_TO_SD = 1.4826
+GRID_BLOCK = 4096
 
 
 def robust_stats(df: DataFrame, keys: list[str], value: str, ref: Column | None = None) -> DataFrame:
@@ -401,9 +402,11 @@ def align_average(df: DataFrame, series: str, t: str, value: str, dt: float) ->
     span = df.groupBy(series).agg(F.min(t).alias("__a"), F.max(t).alias("__b"))
     lo, hi = span.agg(F.max("__a"), F.min("__b")).first()
     n = int((hi - lo) // dt) if lo is not None else -1
-    steps = F.explode(F.sequence(F.lit(0), F.lit(n)).cast("array<bigint>") if n >= 0 else F.array().cast("array<bigint>"))
+    # By blocks of the grid, so that no array holds all of it.
+    first = F.explode(F.sequence(F.lit(0), F.lit(n), F.lit(GRID_BLOCK)).cast("array<bigint>") if n >= 0 else F.array().cast("array<bigint>"))
+    steps = F.explode(F.sequence(F.col("__first"), F.least(F.col("__first") + GRID_BLOCK - 1, F.lit(n).cast("bigint"))))
     at = F.lit(lo) + F.col("grid_idx") * F.lit(float(dt))
-    points = span.select(series, steps.alias("grid_idx")).withColumn(t, at)
+    points = span.select(series, first.alias("__first")).select(series, steps.alias("grid_idx")).withColumn(t, at)
     got = resample(df, points, [series], t, value).withColumn("grid_idx", F.round((F.col(t) - F.lit(lo)) / F.lit(float(dt))).cast("long"))
     return got.groupBy("grid_idx").agg(F.first(t).alias(t), F.avg(value).alias("mean"), F.count(value).alias("n_series"))
 

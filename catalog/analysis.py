@@ -10,6 +10,7 @@ from catalog.inputs import DAY_SQL, META_SQL, PEAKS, _day_power, _label_meta, _p
 from tidegrid.functions import scalars
 from tidegrid.operators import aggs, events, filters, joins, multivar, quality, reshape, series, spectral, states, stats, windows
 from tidegrid.plans import flows
+from tidegrid.session import settle
 
 
 # ---- spectra. The signal per channel at 8 samples per second, segments of 16.
@@ -105,7 +106,7 @@ def _(t):
 
 
 def _flat(t):
-    psd = _psd(t)
+    psd = settle(_psd(t), "psd")
     return spectral.flatten(psd, spectral.aperiodic_fit(psd, ["recording"], 0.5, 4), ["recording"], 0.5, 4)
 
 
@@ -130,7 +131,7 @@ def _(t):
 @query("sp11_compare_fits", f"""WITH {SIG}, {PSD}, {FIT}, u AS (SELECT l1.recording, l1.a AS a1, -l1.b AS b1, l2.a AS a2, -l2.b AS b2 FROM l1 JOIN l2 USING (recording))
   SELECT 'offset' AS output, {q('corr(a1, a2)', 'r', 5)}, {q('avg(a1 - a2)', 'bias', 5)}, count(*) AS n FROM u UNION ALL SELECT 'exponent', {q('corr(b1, b2)', 'r', 5)}, {q('avg(b1 - b2)', 'bias', 5)}, count(*) FROM u""")
 def _(t):
-    psd = _psd(t)
+    psd = settle(_psd(t), "psd")
     a, b = (spectral.aperiodic_fit(psd, ["recording"], 0.5, 4, refit=x) for x in (False, True))
     return rounded(spectral.compare_fits(a, b, ["recording"], ["offset", "exponent"]), "r", "bias", digits=5)
 
@@ -138,7 +139,7 @@ def _(t):
 @query("sp11_bias_against", f"""WITH {SIG}, {PSD}, {FIT}, u AS (SELECT l1.recording, l1.a AS a1, -l1.b AS b1, l2.a AS a2, -l2.b AS b2, v FROM l1 JOIN l2 USING (recording) LEFT JOIN (SELECT recording, avg(value) AS v FROM sig GROUP BY 1) USING (recording))
   SELECT 'offset' AS output, {q('corr(a1, a2)', 'r', 5)}, {q('avg(a1 - a2)', 'bias', 5)}, count(*) AS n, {q('corr(a1 - a2, v)', 'r_level', 5)} FROM u UNION ALL SELECT 'exponent', {q('corr(b1, b2)', 'r', 5)}, {q('avg(b1 - b2)', 'bias', 5)}, count(*), {q('corr(b1 - b2, v)', 'r_level', 5)} FROM u""")
 def _(t):
-    psd = _psd(t)
+    psd = settle(_psd(t), "psd")
     a, b = (spectral.aperiodic_fit(psd, ["recording"], 0.5, 4, refit=x) for x in (False, True))
     level = t.signal.groupBy("recording").agg(F.avg("value").alias("level"))
     return rounded(spectral.compare_fits(a, b, ["recording"], ["offset", "exponent"], level, ["level"]), "r", "bias", "r_level", digits=5)
@@ -208,7 +209,6 @@ def _labelled(t):
 
 def _window_labels(t):
     if "_labels_table" not in t.__dict__:
-        from tidegrid.session import settle
         t.__dict__["_labels_table"] = settle(_labelled(t), "labels")
     return t.__dict__["_labels_table"]
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators.group import percentiles, with_stats
 from tidegrid.operators.scan import framed
+from tidegrid.session import settle
 
 # Analysis bands (Hz) and their sub-bin widths.
 POWER_BANDS = {
@@ -193,8 +194,9 @@ def band_ratio(psd: DataFrame, keys: list[str], num: tuple[float, float], den: t
 
 def psd_outliers(psd: DataFrame, channel: list[str], by: list[str], thr: float = 5.0) -> DataFrame:
     """Channels whose dB spectrum strays over thr sd from the median channel."""
-    d = psd.withColumn("db", F.log10("power") * 10)
     at = [*by, "freq"]
+    # Stored once: three passes read it, and a spectrum is a Python node.
+    d = settle(psd.select(*dict.fromkeys([*channel, *at]), (F.log10("power") * 10).alias("db")), "spectrum")
     d = with_stats(d, at, {"__sd": F.stddev_pop("db")}).join(percentiles(d, at, "db", {"__med": 0.5}), at)
     z = F.abs((F.col("db") - F.col("__med")) / F.when(F.col("__sd") > 0, F.col("__sd")))
     return d.groupBy(*channel).agg(F.max(z).alias("max_z")).withColumn("outlier", F.coalesce(F.col("max_z") > thr, F.lit(False)))
@@ -206,7 +208,8 @@ def aperiodic_fit(psd: DataFrame, keys: list[str], lo: float, hi: float, refit:
     first line is within the lowest `keep` share plus all below it, so peaks
     do not lift the line."""
     d = psd.filter(F.col("freq").between(lo, hi) & (F.col("freq") > 0) & (F.col("power") > 0))
-    d = d.select(*keys, F.log10("freq").alias("__x"), F.log10("power").alias("__y"))
+    # Stored once: both fits, the cut and the error read it.
+    d = settle(d.select(*keys, F.log10("freq").alias("__x"), F.log10("power").alias("__y")), "spectrum")
 
     def fit(rows):
         return rows.groupBy(*keys).agg(F.regr_intercept("__y", "__x").alias("__a"), F.regr_slope("__y", "__x").alias("__b"))
@@ -249,7 +252,7 @@ def band_readout(flat: DataFrame, keys: list[str], bands: dict[str, tuple[float,
 def local_peaks(flat: DataFrame, keys: list[str], min_height: float, df: float) -> DataFrame:
     """Local maxima of the flat spectrum with centre, height and full width at
     half height, found among each spectrum's own points."""
-    d = flat.withColumn("__k", F.round(F.col("freq") / F.lit(float(df))).cast("long"))
+    d = settle(flat.withColumn("__k", F.round(F.col("freq") / F.lit(float(df))).cast("long")), "flat")
 
     def sides(w):
         return {"__l": F.lag("flat").over(w.rowsBetween(-1, -1)), "__r": F.lead("flat").over(w.rowsBetween(1, 1))}

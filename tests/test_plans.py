@@ -2,6 +2,7 @@
 
 import pytest
 
+from catalog import analysis  # noqa: F401
 from catalog.base import QUERIES
 
 SF = "/root/testdata/sf0.001"

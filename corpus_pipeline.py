@@ -17,6 +17,11 @@ from tidegrid.session import settle, shared_dir
 ORACLE_SQL = None
 
 
+def _free(name: str) -> str:
+    """A column name that no table has."""
+    return f"__{name}_{uuid.uuid4().hex}"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the policy `strict`: `prose`, and no insults."""
     return rules.passing(docs, "strict")
@@ -25,23 +30,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (a similarity of 0.8 or
     more), the one with the smallest id; of rows with the same id and text one, of rows without an id all."""
-    found = near.near_duplicates(docs, percent=80).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
+    own, kept, n = _free("id"), _free("kept"), _free("n")
+    found = near.near_duplicates(docs, percent=80).where("doc_id is not null").groupBy(F.col("doc_id").alias(own))
     # Merged, not broadcast, so that the plan is the same at every size.
-    found = settle(found.agg(F.max("kept").alias("__kept"), F.count("*").alias("__n")), "kept")
-    out = docs.join(found.hint("merge"), docs.doc_id == found["__id"], "left").where("__id is null or __kept")
-    if found.where("__n > 1").isEmpty():
+    found = settle(found.agg(F.max("kept").alias(kept), F.count("*").alias(n)), "kept")
+    out = docs.join(found.hint("merge"), docs.doc_id == found[own], "left").where(F.col(own).isNull() | F.col(kept))
+    twice = F.col(n) > 1
+    if found.where(twice).isEmpty():
         return out.select(*docs.columns)
-    again = out.where("__n > 1").dropDuplicates(["doc_id", "text"])
-    return out.where("__id is null or __n = 1").unionAll(again).select(*docs.columns)
+    again = out.where(twice).dropDuplicates(["doc_id", "text"])
+    return out.where(F.col(own).isNull() | ~twice).unionAll(again).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 35 words or more that occur elsewhere.
-    n_chars follows where a text was cut; a document that lost all its words goes."""
-    cut = blocks.repeats(docs.withColumn("__was", F.xxhash64("text")), cut=True)
-    same = F.xxhash64("text") == F.col("__was")
+    n_chars, where there is one, follows a text that was cut; a document that lost
+    all its words goes."""
+    was = _free("was")
+    cut = blocks.repeats(docs.withColumn(was, F.xxhash64("text")), cut=True)
+    same = F.xxhash64("text") == F.col(was)
     cut = cut.where(same | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    return cut.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,21 +186,28 @@ def _by_tile(df: DataFrame, link: Callable[[np.ndarray, pa.RecordBatch], Iterato
 
 
 def _forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Component of each of n members; near(x, rest) tells which of the rest are
-    linked with x. Members already reached are not compared again."""
-    label, rest = np.arange(n), np.arange(n)
-    while len(rest):
-        root, rest = rest[0], rest[1:]
+    """Component of each of n members; near(x, free) gives those linked with x
+    among the members that are still free. Members already reached are not
+    compared again."""
+    label, free, left = np.arange(n), np.ones(n, bool), n
+    for root in range(n):
+        if not free[root]:
+            continue
+        free[root], left = False, left - 1
         todo = [root]
-        while todo and len(rest):
-            hit = near(todo.pop(), rest)
-            new = rest[hit]
-            label[new] = root
+        while todo and left:
+            new = near(todo.pop(), free)
+            free[new], label[new], left = False, root, left - len(new)
             todo += new.tolist()
-            rest = rest[~hit]
     return label
 
 
+def _spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The places start[0] to stop[0] - 1, start[1] to stop[1] - 1 and so on."""
+    size = stop - start
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 def _linked_signatures(form: Layout) -> Callable:
     def link(cuts: np.ndarray, rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids = rows.column("class_id").to_numpy()
@@ -211,7 +218,12 @@ def _linked_signatures(form: Layout) -> Callable:
         yield ids[two[near]], ids[two[near] + 1]
         for at, m in zip(cuts[:-1][size > 2], size[size > 2]):
             own, mine = sig[at : at + m], ids[at : at + m]
-            label = _forest(m, lambda x, rest: (own[rest] != own[x]).sum(axis=1) <= form.reach)
+
+            def close(x: int, free: np.ndarray) -> np.ndarray:
+                rest = np.flatnonzero(free)
+                return rest[(own[rest] != own[x]).sum(axis=1) <= form.reach]
+
+            label = _forest(m, close)
             far = np.flatnonzero(label != np.arange(m))
             if len(far):
                 yield mine[label[far]], mine[far]
@@ -220,6 +232,12 @@ def _linked_signatures(form: Layout) -> Callable:
 
 
 def _linked_sets(percent: int) -> Callable:
+    """Links of the sets of a tile. Ordered from the tile's rarest shingle to its
+    commonest, two sets that are linked share one of their first
+    size - ceil(percent * size / 100) + 1 shingles. So a member only meets those
+    that it shares one of these with, and members that are alike in their common
+    shingles alone never meet."""
+
     def link(cuts: np.ndarray, rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids, (raw, off) = rows.column("class_id").to_numpy(), flat(rows.column("shingles"))
         values, off = np.frombuffer(raw.tobytes(), U), off // 8
@@ -229,21 +247,29 @@ def _linked_sets(percent: int) -> Callable:
                 continue
             first = off[lo : hi + 1] - off[lo]
             size = np.diff(first)
-            _, dense = np.unique(values[off[lo] : off[hi]], return_inverse=True)
-            mark = np.zeros(len(dense), bool)
-            state = {"members": np.arange(m), "dense": dense, "first": first}
-
-            def near(x: int, rest: np.ndarray) -> np.ndarray:
-                s = state
-                if len(rest) < 0.6 * len(s["members"]):
-                    take = np.concatenate([np.arange(first[r], first[r + 1]) for r in rest])
-                    s |= {"members": rest, "dense": dense[take], "first": np.append(0, np.cumsum(size[rest]))}
-                own = dense[first[x] : first[x + 1]]
+            _, dense, count = np.unique(values[off[lo] : off[hi]], return_inverse=True, return_counts=True)
+            rank = np.empty(len(count), np.int64)
+            rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+            member = np.repeat(np.arange(m), size)
+            ranks = np.sort(member * len(count) + rank[dense]) - member * len(count)
+            lead = size - (percent * size + 99) // 100 + 1
+            ahead = np.arange(len(ranks)) - first[member] < lead[member]
+            order = np.argsort(ranks[ahead], kind="stable")
+            post = member[ahead][order]
+            start = np.searchsorted(ranks[ahead][order], np.arange(len(count) + 1))
+            mark = np.zeros(len(count), bool)
+
+            def near(x: int, free: np.ndarray) -> np.ndarray:
+                own = ranks[first[x] : first[x + 1]]
+                met = post[_spans(start[own[: lead[x]]], start[own[: lead[x]] + 1])]
+                met = np.unique(met[free[met]])
+                met = met[100 * np.minimum(size[met], size[x]) >= percent * np.maximum(size[met], size[x])]
+                if not len(met):
+                    return met
                 mark[own] = True
-                both = np.add.reduceat(mark[s["dense"]], s["first"][:-1], dtype=np.int64)
+                both = np.add.reduceat(mark[ranks[_spans(first[met], first[met + 1])]], np.cumsum(size[met]) - size[met], dtype=np.int64)
                 mark[own] = False
-                both = both[np.searchsorted(s["members"], rest)]
-                return 100 * both >= percent * (size[x] + size[rest] - both)
+                return met[100 * both >= percent * (size[x] + size[met] - both)]
 
             label = _forest(m, near)
             far = np.flatnonzero(label != np.arange(m))

@@ -57,6 +57,42 @@ def test_components(spark):
     assert pairs(got, "id", "label") == {x: (y,) for x, y in label.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
+@pytest.mark.parametrize("shares", [1, 4, 64])
+def test_components_of_hubs(spark, monkeypatch, shares):
+    """Hubs whose id is the smallest, the largest and in between, joined by chains."""
+    monkeypatch.setattr(graph, "SHARES", shares)
+    edges = [(0, 100 + k) for k in range(300)] + [(9000, 1000 + k) for k in range(300)] + [(1150, 1500 + k) for k in range(300)] + [(399, 5000), (5000, 5001), (5001, 1299)]
+    got = graph.components(spark.createDataFrame(edges + [(7001, 7000)], "a long, b long"))
+    assert pairs(got, "id", "label") == {x: (0,) for e in edges for x in e} | {7000: (7000,), 7001: (7000,)}
+
+
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_links_of_a_tile(percent):
+    """Sets over few values, so that many pairs lie on either side of the bound; two tiles, one of a single set."""
+    rng = random.Random(percent)
+    base = [{rng.randrange(300) for _ in range(rng.randrange(1, 60))} for _ in range(4)]
+    sets = []
+    for _ in range(120):
+        s = set(rng.choice(base))
+        for _ in range(rng.randrange(8)):
+            s.add(rng.randrange(400))
+            s.discard(rng.choice(sorted(s)) if len(s) > 1 and rng.random() < 0.5 else None)
+        sets.append(np.array(sorted(s), np.uint64))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(121)), pa.array([s.tobytes() for s in [*sets, sets[0]]], pa.binary())], names=["class_id", "shingles"])
+    label = list(range(121))
+    for a, b in near._linked_sets(percent)(np.array([0, 120, 121]), rows):
+        for x, y in zip(a.tolist(), b.tolist()):
+            label[y] = x
+    want = list(range(121))
+    for i in range(120):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                lo, hi = sorted((want[i], want[j]))
+                want = [lo if x == hi else x for x in want]
+    assert label == want and 1 < len(set(want)) < 121
+
+
 def test_rules(spark, texts):
     got = rules.ledger(frame(spark, texts), keep=True)
     by_id = {r["doc_id"]: r for r in got.collect()}

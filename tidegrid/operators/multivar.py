@@ -82,79 +82,67 @@ def loadings_table(df: DataFrame, cols: list[str], k: int) -> DataFrame:
 
 
 def robust_pca(df: DataFrame, id_: str, cols: list[str], lam: float | None = None, mu: float | None = None,
-               iters: int = 1000, tol: float = 1e-7, stride: int = 8) -> DataFrame:
+               iters: int = 1000, tol: float = 1e-7) -> DataFrame:
     """Split the feature matrix into low rank + sparse by alternating
     directions, until what both leave is below tol of the whole; an error if
     `iters` rounds don't get there. Returns id, <col>_low and <col>_sparse.
-    Rows with a missing feature are left out.
 
     Singular values are shrunk through the p x p Gram matrix: for A = U S V',
     the shrunk A is A V max(1 - tau/S, 0) V', a p x p map applied row by row.
-    So a row's parts after any round follow from the row and the maps of the
-    rounds so far. A round is one aggregate (the Gram matrix, and what is left):
-    it replays the maps kept since the last written state on its rows, and
-    writes nothing. Every `stride` rounds the state is written to the shared
-    folder, which bounds the replay, the maps sent and what a lost executor costs.
+    Each round is one aggregate (the Gram matrix, and what the last round left)
+    and one narrow pass; state is written to
+    the shared folder every round, so a lost executor costs one round.
     """
     p = len(cols)
-    base = df.dropna(subset=cols).select(F.col(id_).alias("__id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("__m"))
-    zero = F.array(*[F.lit(0.0)] * p)
-    state = settle(base.select("__id", "__m", zero.alias("__s"), zero.alias("__y")), "split")
-    n, absum, sq = state.select(F.explode("__m").alias("x")).agg(F.count(F.lit(1)), F.sum(F.abs("x")), F.sum(F.col("x") * F.col("x"))).first()
-    if not absum:
-        raise ValueError("no complete row with a value other than 0")
+    base = df.dropna(subset=cols).select(id_, F.array(*[F.col(c).cast("double") for c in cols]).alias("m"))
+    n, absum, sq = base.select(F.explode("m").alias("x")).agg(F.count(F.lit(1)), F.sum(F.abs("x")), F.sum(F.col("x") * F.col("x"))).first()
     mu = mu or n / (4.0 * absum)
     lam = lam or 1.0 / np.sqrt(max(n / p, p))
     id_type = dict(df.dtypes)[id_]
-
-    def replay(batch, maps):
-        m, s, y = (batch.column(c).flatten().to_numpy().reshape(-1, p) for c in ("__m", "__s", "__y"))
-        low = np.zeros_like(m)
-        for shrink in maps:
-            low = (m - s + y / mu) @ shrink
-            t = m - low + y / mu
-            s = np.sign(t) * np.maximum(np.abs(t) - lam / mu, 0)
-            y = y + mu * (m - low - s)
-        return {"__m": m, "__s": s, "__y": y, "__low": low}
-
-    def gram(maps):
-        def run(batches):
-            g = np.zeros(p * p + 1)
-            for batch in batches:
-                d = replay(batch, maps)
-                a = d["__m"] - d["__s"]
-                g[-1] += ((a - d["__low"]) ** 2).sum()
-                a += d["__y"] / mu
+    state_schema = f"`{id_}` {id_type}, m array<double>, s array<double>, y array<double>, low array<double>"
+    zero = F.array(*[F.lit(0.0)] * p)
+    state = settle(base.select(id_, "m", zero.alias("s"), zero.alias("y"), zero.alias("low")), "split")
+
+    def stacked(pdf, name):
+        return np.stack(pdf[name].to_numpy())
+
+    def gram(batches):
+        g = np.zeros(p * p + 1)
+        for pdf in batches:
+            if len(pdf):
+                a = stacked(pdf, "m") - stacked(pdf, "s")
+                g[-1] += ((a - stacked(pdf, "low")) ** 2).sum()
+                a += stacked(pdf, "y") / mu
                 g[:-1] += (a.T @ a).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(g))), pa.array(g)], names=["cell", "g"])
-        return state.mapInArrow(run, "cell long, g double").groupBy("cell").agg(F.sum("g"))
+        yield pd.DataFrame({"cell": np.arange(len(g)), "g": g})
 
-    def after(maps, parts):
+    def step(shrink):
         def run(batches):
-            for batch in batches:
-                d, off = replay(batch, maps), np.arange(batch.num_rows + 1, dtype=np.int32) * p
-                lists = [pa.ListArray.from_arrays(pa.array(off), pa.array(d[c].ravel())) for c in parts]
-                yield pa.RecordBatch.from_arrays([batch.column("__id"), *lists], names=["__id", *parts])
-        return state.mapInArrow(run, f"__id {id_type}, " + ", ".join(f"{c} array<double>" for c in parts))
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                m, s, y = (stacked(pdf, c) for c in ("m", "s", "y"))
+                low = (m - s + y / mu) @ shrink
+                t = m - low + y / mu
+                s = np.sign(t) * np.maximum(np.abs(t) - lam / mu, 0)
+                y = y + mu * (m - low - s)
+                yield pd.DataFrame({id_: pdf[id_], "m": list(m), "s": list(s), "y": list(y), "low": list(low)})
+        return run
 
-    maps: list[np.ndarray] = []
     for round_ in range(iters + 1):
         cells = np.zeros(p * p + 1)
-        for cell, g in gram(maps).collect():
+        for cell, g in state.mapInPandas(gram, "cell long, g double").groupBy("cell").agg(F.sum("g")).collect():
             cells[cell] = g
         if round_ and np.sqrt(cells[-1]) <= tol * np.sqrt(sq):
             break
         if round_ == iters:
             raise RuntimeError(f"no split after {iters} rounds: {np.sqrt(cells[-1] / sq):.3g} left")
-        if len(maps) >= stride:
-            state, maps = settle(after(maps, ["__m", "__s", "__y"]), "split"), []
         g = cells[:-1].reshape(p, p)
         w, v = np.linalg.eigh((g + g.T) / 2)
         s = np.sqrt(np.maximum(w, 0))
         keep = np.where(s > 0, np.maximum(1 - (1 / mu) / np.where(s > 0, s, 1), 0), 0)
-        maps = [*maps, v @ np.diag(keep) @ v.T]
-    out = after(maps, ["__low", "__s"])
-    return out.select(F.col("__id").alias(id_), *[F.col("__low")[i].alias(f"{c}_low") for i, c in enumerate(cols)], *[F.col("__s")[i].alias(f"{c}_sparse") for i, c in enumerate(cols)])
+        state = settle(state.mapInPandas(step(v @ np.diag(keep) @ v.T), state_schema), "split")
+    return state.select(id_, *[F.col("low")[i].alias(f"{c}_low") for i, c in enumerate(cols)], *[F.col("s")[i].alias(f"{c}_sparse") for i, c in enumerate(cols)])
 
 
 def vif(df: DataFrame, cols: list[str]) -> DataFrame:

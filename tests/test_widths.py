@@ -59,6 +59,15 @@ def test_split_without_convergence_is_an_error(wide):
         multivar.robust_pca(df, "id", cols, iters=1)
 
 
+def test_split_writes_few_states(wide, monkeypatch):
+    df, cols, _, _ = wide
+    written, settle = [], multivar.settle
+    monkeypatch.setattr(multivar, "settle", lambda d, name: written.append(name) or settle(d, name))
+    with pytest.raises(RuntimeError):
+        multivar.robust_pca(df, "id", cols, iters=20, tol=0)
+    assert len(written) == 1 + 19 // multivar.REPLAY
+
+
 def test_inflation_and_loadings(wide):
     df, cols, x, _ = wide
     got = dict(multivar.vif(df, cols).collect())

@@ -81,6 +81,10 @@ def loadings_table(df: DataFrame, cols: list[str], k: int) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "component string, feature string, loading double, explained double")
 
 
+#: Rounds of the split between two written states.
+REPLAY = 8
+
+
 def robust_pca(df: DataFrame, id_: str, cols: list[str], lam: float | None = None, mu: float | None = None,
                iters: int = 1000, tol: float = 1e-7) -> DataFrame:
     """Split the feature matrix into low rank + sparse by alternating
@@ -89,50 +93,64 @@ def robust_pca(df: DataFrame, id_: str, cols: list[str], lam: float | None = Non
 
     Singular values are shrunk through the p x p Gram matrix: for A = U S V',
     the shrunk A is A V max(1 - tau/S, 0) V', a p x p map applied row by row.
-    Each round is one aggregate (the Gram matrix, and what the last round left)
-    and one narrow pass; state is written to
-    the shared folder every round, so a lost executor costs one round.
+    With t = m - low + y/mu the sparse part is t shrunk by lam/mu and y/mu is
+    what that takes off, so t is all the state there is. A round is one job
+    without a shuffle: a task applies the maps since the last written state to
+    its rows and hands on its Gram matrix and what the last round left. State is
+    written to the shared folder every REPLAY rounds, so a lost executor costs
+    one round.
     """
     p = len(cols)
     base = df.dropna(subset=cols).select(id_, F.array(*[F.col(c).cast("double") for c in cols]).alias("m"))
     n, absum, sq = base.select(F.explode("m").alias("x")).agg(F.count(F.lit(1)), F.sum(F.abs("x")), F.sum(F.col("x") * F.col("x"))).first()
     mu = mu or n / (4.0 * absum)
     lam = lam or 1.0 / np.sqrt(max(n / p, p))
+    reach = lam / mu
     id_type = dict(df.dtypes)[id_]
-    state_schema = f"`{id_}` {id_type}, m array<double>, s array<double>, y array<double>, low array<double>"
-    zero = F.array(*[F.lit(0.0)] * p)
-    state = settle(base.select(id_, "m", zero.alias("s"), zero.alias("y"), zero.alias("low")), "split")
-
-    def stacked(pdf, name):
-        return np.stack(pdf[name].to_numpy())
-
-    def gram(batches):
-        g = np.zeros(p * p + 1)
-        for pdf in batches:
-            if len(pdf):
-                a = stacked(pdf, "m") - stacked(pdf, "s")
-                g[-1] += ((a - stacked(pdf, "low")) ** 2).sum()
-                a += stacked(pdf, "y") / mu
+    state = settle(base.select(id_, "m", F.array(*[F.lit(0.0)] * p).alias("t")), "split")
+
+    def replayed(batches, maps):
+        """Per batch: ids, m, and low and t after the maps."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, t = (batch.column(c).flatten().to_numpy().reshape(-1, p) for c in ("m", "t"))
+            low = np.zeros_like(m)
+            for shrink in maps:
+                y = np.clip(t, -reach, reach)
+                low = (m - (t - y) + y) @ shrink
+                t = m - low + y
+            yield batch.column(id_), m, low, t
+
+    def lists(x):
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, p), pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
+
+    def gram(maps):
+        def run(batches):
+            g = np.zeros(p * p + 1)
+            for _, m, low, t in replayed(batches, maps):
+                y = np.clip(t, -reach, reach)
+                g[-1] += ((m - low - (t - y)) ** 2).sum()
+                a = m - (t - y) + y
                 g[:-1] += (a.T @ a).ravel()
-        yield pd.DataFrame({"cell": np.arange(len(g)), "g": g})
+            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], names=["g"])
+        return run
+
+    def write(maps):
+        def run(batches):
+            for ids, m, _, t in replayed(batches, maps):
+                yield pa.RecordBatch.from_arrays([ids, lists(m), lists(t)], names=[id_, "m", "t"])
+        return run
 
-    def step(shrink):
+    def parts(maps):
         def run(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                m, s, y = (stacked(pdf, c) for c in ("m", "s", "y"))
-                low = (m - s + y / mu) @ shrink
-                t = m - low + y / mu
-                s = np.sign(t) * np.maximum(np.abs(t) - lam / mu, 0)
-                y = y + mu * (m - low - s)
-                yield pd.DataFrame({id_: pdf[id_], "m": list(m), "s": list(s), "y": list(y), "low": list(low)})
+            for ids, _, low, t in replayed(batches, maps):
+                yield pa.RecordBatch.from_arrays([ids, lists(low), lists(t - np.clip(t, -reach, reach))], names=[id_, "low", "s"])
         return run
 
+    maps = []
     for round_ in range(iters + 1):
-        cells = np.zeros(p * p + 1)
-        for cell, g in state.mapInPandas(gram, "cell long, g double").groupBy("cell").agg(F.sum("g")).collect():
-            cells[cell] = g
+        cells = sum((np.frombuffer(row["g"]) for row in state.select(id_, "m", "t").mapInArrow(gram(maps), "g binary").collect()), np.zeros(p * p + 1))
         if round_ and np.sqrt(cells[-1]) <= tol * np.sqrt(sq):
             break
         if round_ == iters:
@@ -141,8 +159,11 @@ def robust_pca(df: DataFrame, id_: str, cols: list[str], lam: float | None = Non
         w, v = np.linalg.eigh((g + g.T) / 2)
         s = np.sqrt(np.maximum(w, 0))
         keep = np.where(s > 0, np.maximum(1 - (1 / mu) / np.where(s > 0, s, 1), 0), 0)
-        state = settle(state.mapInPandas(step(v @ np.diag(keep) @ v.T), state_schema), "split")
-    return state.select(id_, *[F.col("low")[i].alias(f"{c}_low") for i, c in enumerate(cols)], *[F.col("s")[i].alias(f"{c}_sparse") for i, c in enumerate(cols)])
+        if len(maps) == REPLAY:
+            state, maps = settle(state.mapInArrow(write(maps), f"`{id_}` {id_type}, m array<double>, t array<double>"), "split"), []
+        maps = [*maps, v @ np.diag(keep) @ v.T]
+    out = settle(state.mapInArrow(parts(maps), f"`{id_}` {id_type}, low array<double>, s array<double>"), "split")
+    return out.select(id_, *[F.col("low")[i].alias(f"{c}_low") for i, c in enumerate(cols)], *[F.col("s")[i].alias(f"{c}_sparse") for i, c in enumerate(cols)])
 
 
 def vif(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -322,3 +322,13 @@ def test_shape_matches_pandas(spark):
     x = np.random.default_rng(11).exponential(size=50)
     r = aggs.shape(spark.createDataFrame(pd.DataFrame({"k": "a", "v": x})), ["k"], "v").first()
     assert r["skew"] == pytest.approx(pd.Series(x).skew()) and r["kurtosis"] == pytest.approx(pd.Series(x).kurt())
+
+
+def test_corr_without_spread(spark):
+    """A constant side gives NaN, as SQL does; no division by zero, and rows with one side alone don't count."""
+    d = spark.createDataFrame(
+        [("flat", 1.0, 2.0), ("flat", 1.0, 3.0), ("one", 1.0, 2.0), ("none", None, 2.0), ("part", 1.0, 2.0), ("part", 1.0, 4.0), ("part", 9.0, None),
+         ("line", 1.0, 2.0), ("line", 2.0, 4.0), ("line", 4.0, 8.0)], "k string, a double, b double")
+    got = {r["k"]: r["r"] for r in stats.band_coupling(d, ["k"], "a", "b").collect()}
+    assert all(np.isnan(got[k]) for k in ("flat", "one", "part")) and got["none"] is None and got["line"] == pytest.approx(1)
+    assert [r["r"] for r in stats.corr_by(d, ["k"], "a", "b").where("k = 'part'").collect()] == [pytest.approx(np.nan, nan_ok=True)]

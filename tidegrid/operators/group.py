@@ -26,6 +26,14 @@ def with_stats(df: DataFrame, keys: list[str], stats: dict[str, Column]) -> Data
     return df.join(one, keys, "left") if keys else with_row(df, one)
 
 
+def corr_of(a: str | Column, b: str | Column) -> Column:
+    """Pearson r over the rows that have both, as an aggregate. NaN, as in SQL,
+    where a side doesn't vary (a division by zero to F.corr); null without rows."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.when(spread != 0, F.covar_pop(a, b) / spread).when(spread == 0, float("nan"))
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one row per group.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.aggs import proportions
-from tidegrid.operators.group import percentiles, with_stats
+from tidegrid.operators.group import corr_of, percentiles, with_stats
 from tidegrid.operators.multivar import moment_matrix
 from tidegrid.operators.series import zscore
 
@@ -159,7 +159,7 @@ def agreement(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 
 def align_sign(df: DataFrame, by: list[str], pc: str, ref: str) -> DataFrame:
     """Turn the component round where it correlates positively with ref."""
-    d = with_stats(df, by, {"__r": F.corr(pc, ref)})
+    d = with_stats(df, by, {"__r": corr_of(pc, ref)})
     return d.withColumn(pc, F.when(F.col("__r") > 0, -F.col(pc)).otherwise(F.col(pc))).drop("__r")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.scalars import hash_digits, unit_digits, unit_hash
 from tidegrid.functions.special import p_two_sided_t, p_upper_chi2, p_upper_f
 from tidegrid.operators.multivar import product_sums
-from tidegrid.operators.group import average_rank, with_row, with_stats
+from tidegrid.operators.group import average_rank, corr_of, with_row, with_stats
 from tidegrid.operators.pairwise import moments_corr, pairwise_moments
 from tidegrid.operators.scan import SEG, Cut, cut, pieces, scan
 from tidegrid.operators.series import zscore
@@ -186,13 +186,13 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def corr_by(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.corr(a, b).alias("r"))
+    return df.groupBy(*by).agg(corr_of(a, b).alias("r"))
 
 
 def corr_of_means(df: DataFrame, by: list[str], time: str, a: str, b: str) -> DataFrame:
     """Correlation of two group-mean timecourses."""
     means = df.groupBy(*by, time).agg(F.avg(a).alias("__a"), F.avg(b).alias("__b"))
-    return means.groupBy(*by).agg(F.corr("__a", "__b").alias("r"))
+    return means.groupBy(*by).agg(corr_of("__a", "__b").alias("r"))
 
 
 def complete_times(df: DataFrame, by: list[str], entity: str, time: str, cols: list[str]) -> DataFrame:
@@ -342,7 +342,7 @@ def intersubject_variability(df: DataFrame, entity: str, time: str, col: str) ->
 
 
 def band_coupling(both: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    return both.groupBy(*keys).agg(F.corr(a, b).alias("r"), F.count(F.lit(1)).alias("n_windows"))
+    return both.groupBy(*keys).agg(corr_of(a, b).alias("r"), F.count(F.lit(1)).alias("n_windows"))
 
 
 def coupling_by_region(coupling: DataFrame, by: list[str]) -> DataFrame:

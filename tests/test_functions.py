@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions import ids, scalars, special
-from tidegrid.operators import aggs, events, joins, multivar, quality, reshape, series, spectral, states, stats, windows
+from tidegrid.operators import aggs, events, group, joins, multivar, quality, reshape, series, spectral, states, stats, windows
 from tidegrid.sources import tables, textfiles, wide
 
 
@@ -332,3 +332,18 @@ def test_corr_without_spread(spark):
     got = {r["k"]: r["r"] for r in stats.band_coupling(d, ["k"], "a", "b").collect()}
     assert all(np.isnan(got[k]) for k in ("flat", "one", "part")) and got["none"] is None and got["line"] == pytest.approx(1)
     assert [r["r"] for r in stats.corr_by(d, ["k"], "a", "b").where("k = 'part'").collect()] == [pytest.approx(np.nan, nan_ok=True)]
+
+
+def test_quantiles_round_as_sql(spark):
+    """Neighbours that differ by rounding alone, values far apart, and one infinite."""
+    import duckdb
+
+    rng = np.random.default_rng(4)
+    low = np.round(rng.uniform(0, 150, 400), 3)
+    high = np.where(np.arange(400) % 2, np.nextafter(low, 999), low + rng.uniform(0, 30, 400))
+    low[2], high[2] = 1.0, np.inf
+    d = pd.DataFrame({"k": np.repeat(np.arange(400), 4), "v": np.column_stack([low - 1, low, high, high + 1]).ravel()})
+    probs = {"a": 0.25, "b": 0.4, "c": 0.5, "d": 0.75, "e": 0.9}
+    got = group.percentiles(spark.createDataFrame(d), ["k"], "v", probs).toPandas().set_index("k").sort_index()
+    want = duckdb.sql("SELECT k, " + ", ".join(f"quantile_cont(v, {p}) AS {n}" for n, p in probs.items()) + " FROM d GROUP BY k").df().set_index("k").sort_index()
+    pd.testing.assert_frame_equal(got, want[got.columns], check_exact=True, check_index_type=False)

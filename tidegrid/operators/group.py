@@ -34,6 +34,27 @@ def corr_of(a: str | Column, b: str | Column) -> Column:
     return F.when(spread != 0, F.covar_pop(a, b) / spread).when(spread == 0, float("nan"))
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """x as a sum of two numbers of 26 bits, whose products are exact."""
+    big = x * F.lit(134217729.0)
+    high = big - (big - x)
+    return high, x - high
+
+
+def between(low: Column, high: Column, part: Column) -> Column:
+    """low * (1 - part) + high * part as SQL's quantile_cont rounds it: the first
+    product enters the sum unrounded. Where the two differ by rounding alone, any
+    other order may end at the other of them, and a comparison with it flips."""
+    rest = F.lit(1.0) - part
+    (a1, a2), (b1, b2) = _halves(low), _halves(rest)
+    p, c = low * rest, high * part
+    lost = ((a1 * b1 - p) + a1 * b2 + a2 * b1) + a2 * b2
+    s = p + c
+    back = s - p
+    exact = s + (((p - (s - back)) + (c - back)) + lost)
+    return F.when(part == 0, low).when(F.greatest(F.abs(low), F.abs(high)) < 1e290, exact).otherwise(s)
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one row per group.
 
@@ -93,12 +114,10 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
         at = F.min(F.when(mine & (F.col("__cum") > F.floor(pos)), F.col("__cell")))
         nxt = F.min(F.when(mine & (F.col("__cum") > F.ceil(pos)), F.col("__cell")))
         part = F.max(F.when(mine, pos - F.floor(pos)))
-        out = at + (nxt - at) * part
-        aggs.append(
-            F.when(missed | nxt.isNull(), F.raise_error(F.lit("quantile bracket missed its rank"))).otherwise(out)
-            .cast("double").alias(name)
-        )
-    return cells.groupBy(*keys).agg(*aggs)
+        ends = F.struct(at.alias("at"), nxt.alias("nxt"), part.alias("part"))
+        aggs.append(F.when(missed | nxt.isNull(), F.raise_error(F.lit("quantile bracket missed its rank"))).otherwise(ends).alias(name))
+    got = cells.groupBy(*keys).agg(*aggs)
+    return got.select(*keys, *[between(F.col(name)["at"], F.col(name)["nxt"], F.col(name)["part"]).alias(name) for name, _ in wanted])
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:

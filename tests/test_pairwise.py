@@ -37,6 +37,20 @@ def test_tiles(spark, tile, block):
                 assert r.r == pytest.approx(want.iloc[r.a, r.b], abs=1e-7)
 
 
+@pytest.mark.parametrize("block", [5, 1000])
+def test_constant_where_shared(spark, block):
+    """A series that varies, but not at the times that it shares with another, has no r with that one."""
+    x = np.random.default_rng(5).normal(size=(60, 4))
+    x[:30, 0], x[30:, 0] = 27.31, 1e4 * x[30:, 0]
+    x[:15, 0] += 1e-14
+    x[30:, 1] = np.nan
+    got = pairwise.pairwise_moments(spark.createDataFrame(long(x, g=1)), ["g"], "c", "i", "v", block, 2).withColumn("r", pairwise.moments_corr()).collect()
+    r = {(row["a"], row["b"]): row["r"] for row in got}
+    assert r.pop((0, 1)) is None and len(r) == 5
+    want = pd.DataFrame(x).corr()
+    assert all(v == pytest.approx(want.iloc[a, b], abs=1e-9) for (a, b), v in r.items())
+
+
 def test_diagonal_and_raw(spark):
     x = np.random.default_rng(3).normal(size=(30, 5))
     got = pairwise.pairwise_moments(spark.createDataFrame(long(x, g=1)), ["g"], "c", "i", "v", 8, 2, centre=False, diagonal=True).toPandas()

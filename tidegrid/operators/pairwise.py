@@ -12,27 +12,43 @@ from tidegrid.session import settle
 
 #: Entities on a side of a tile, and times of a block.
 TILE, BLOCK = 256, 4096
-MEASURES = ("n", "sx", "sy", "sxx", "syy", "sxy", "nx", "ny")
-#: Relative spread below which a series counts as constant: sums of equal values
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+ENDS = {"lx": F.min, "hx": F.max, "ly": F.min, "hy": F.max}
+#: Relative range up to which a series counts as constant: sums of equal values
 #: in another order differ by as much.
-NOISE = 1e-12
+NOISE = 1e-11
 
 
 def _numbered(base: DataFrame, by: list[str], entity: str, tile: int, centre: bool) -> DataFrame:
     """by, entity, its tile, the number of tiles of its group, its mean (0 if values
-    are not to be centred) and the square of its noise."""
+    are not to be centred) and its largest size."""
     mean = F.avg("__v") if centre else F.lit(0.0)
-    one = settle(base.groupBy(*by, entity).agg(mean.alias("__mean"), F.pow(F.max(F.abs("__v")) * NOISE, 2).alias("__noise")), "entities")
+    one = settle(base.groupBy(*by, entity).agg(mean.alias("__mean"), F.max(F.abs("__v")).alias("__peak")), "entities")
     one = time_index(one, by, [entity], out="__rank").withColumn("__tile", F.floor(F.col("__rank") / tile).cast("int"))
     tiles = one.groupBy(*by).agg((F.max("__tile") + 1).alias("__tiles"))
     return one.join(tiles, by).drop("__rank")
 
 
+def _extremes(x: np.ndarray, m: np.ndarray, k: np.ndarray, mean: np.ndarray, peak: np.ndarray, n: np.ndarray, s: np.ndarray, ss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest value of each left entity over the times it shares with
+    each right one, looked up only where its sums leave open whether it varies
+    there; infinite where they show that it does."""
+    low, high = np.full(n.shape, -np.inf), np.full(n.shape, np.inf)
+    spread = ss - s * s / np.maximum(n, 1)
+    open_ = (n > 0) & ((spread <= 1e-6 * ss) | (spread <= n * (1e-9 * peak[:, None]) ** 2))
+    for i in np.flatnonzero(open_.any(axis=1)):
+        j, at = np.flatnonzero(open_[i]), m[:, i] > 0
+        v, met = (x[at, i] + mean[i])[:, None], k[np.ix_(at, j)] > 0
+        low[i, j], high[i, j] = np.where(met, v, np.inf).min(axis=0), np.where(met, v, -np.inf).max(axis=0)
+    return low, high
+
+
 def pairwise_moments(df: DataFrame, by: list[str], entity: str, time: str, value: str, block: int | None = None, tile: int | None = None,
                      centre: bool = True, diagonal: bool = False) -> DataFrame:
     """Sums over shared times for every pair of entities a < b within `by` (a <= b
     with `diagonal`): n, sx, sy, sxx, syy, sxy, over pairwise complete samples, and
-    nx and ny, the squares that rounding alone may leave.
+    lx, hx, ly, hy, the least and largest of each side's own values over them
+    (infinite where a block's sums show that it varies).
     Each entity's values are taken less its mean unless `centre` is off, so that
     sums of squares don't cancel whatever the level, and those of the blocks add up.
 
@@ -47,28 +63,28 @@ def pairwise_moments(df: DataFrame, by: list[str], entity: str, time: str, value
     base = df.select(*by, entity, F.col(time).alias("__time"), F.col(value).cast("double").alias("__v")).dropna(subset=[*by, entity, "__v"])
     rows = base.join(_numbered(base, by, entity, tile, centre), [*by, entity]).withColumn("__v", F.col("__v") - F.col("__mean"))
     other = F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)).alias("__other")
-    rows = rows.select(*by, entity, "__time", "__v", "__noise", "__tile", F.floor(F.col("__time") / block).alias("__block"), other)
+    rows = rows.select(*by, entity, "__time", "__v", "__mean", "__peak", "__tile", F.floor(F.col("__time") / block).alias("__block"), other)
     rows = rows.withColumns({"__lo": F.least("__tile", "__other"), "__hi": F.greatest("__tile", "__other")}).drop("__other")
     group = [*by, "__block", "__lo", "__hi"]
 
-    def side(who: np.ndarray, at: np.ndarray, v: np.ndarray, noise: np.ndarray, n_times: int) -> tuple[np.ndarray, ...]:
+    def side(who: np.ndarray, at: np.ndarray, v: np.ndarray, mean: np.ndarray, peak: np.ndarray, n_times: int) -> tuple[np.ndarray, ...]:
         names, one, j = np.unique(who, return_index=True, return_inverse=True)
         x, m = np.zeros((n_times, len(names))), np.zeros((n_times, len(names)))
         x[at, j], m[at, j] = v, 1.0
-        return names, x, m, noise[one]
+        return names, x, m, mean[one], peak[one]
 
     def sums(batches):
         for table, starts in pieces(batches, group):
-            who, when, v, noise, mine, lo, hi = (table.column(c).to_numpy() for c in (entity, "__time", "__v", "__noise", "__tile", "__lo", "__hi"))
+            who, when, v, mean, peak, mine, lo, hi = (table.column(c).to_numpy() for c in (entity, "__time", "__v", "__mean", "__peak", "__tile", "__lo", "__hi"))
             kind = table.schema.field(entity).type
-            heads, a, b, out = [], [], [], {m: [] for m in MEASURES}
+            heads, a, b, out = [], [], [], {m: [] for m in (*SUMS, *ENDS)}
             for s, e in zip(starts, [*starts[1:], table.num_rows]):
                 times, at = np.unique(when[s:e], return_inverse=True)
                 first = mine[s:e] == lo[s]
-                left = side(who[s:e][first], at[first], v[s:e][first], noise[s:e][first], len(times))
+                left = side(*(c[s:e][first] if c is not at else at[first] for c in (who, at, v, mean, peak)), len(times))
                 same = lo[s] == hi[s]
-                right = left if same else side(who[s:e][~first], at[~first], v[s:e][~first], noise[s:e][~first], len(times))
-                (na, x, m, u), (nb, y, k, w) = left, right
+                right = left if same else side(*(c[s:e][~first] if c is not at else at[~first] for c in (who, at, v, mean, peak)), len(times))
+                (na, x, m, *u), (nb, y, k, *w) = left, right
                 n = m.T @ k
                 met = n > 0
                 if same:
@@ -76,23 +92,31 @@ def pairwise_moments(df: DataFrame, by: list[str], entity: str, time: str, value
                 i, j = np.nonzero(met)
                 heads.append(np.full(len(i), s))
                 a.append(na[i]), b.append(nb[j])
-                for name, g in zip(MEASURES, (n, x.T @ k, m.T @ y, (x * x).T @ k, m.T @ (y * y), x.T @ y, n * u[:, None], n * w)):
+                sx, sy, sxx, syy = x.T @ k, m.T @ y, (x * x).T @ k, m.T @ (y * y)
+                ends = [*_extremes(x, m, k, *u, n, sx, sxx), *(g.T for g in _extremes(y, k, m, *w, n.T, sy.T, syy.T))]
+                for name, g in zip(out, (n, sx, sy, sxx, syy, x.T @ y, *ends)):
                     out[name].append(g[i, j])
             rows = table.take(pa.array(np.concatenate(heads))).select(by)
             rows = rows.append_column("a", pa.array(np.concatenate(a), type=kind)).append_column("b", pa.array(np.concatenate(b), type=kind))
-            for name in MEASURES:
+            for name in out:
                 rows = rows.append_column(name, pa.array(np.concatenate(out[name])))
             yield from rows.to_batches()
 
-    schema = ", ".join([f"`{k}` {types[k]}" for k in by] + [f"a {types[entity]}", f"b {types[entity]}"] + [f"{m} double" for m in MEASURES])
+    schema = ", ".join([f"`{k}` {types[k]}" for k in by] + [f"a {types[entity]}", f"b {types[entity]}"] + [f"{m} double" for m in (*SUMS, *ENDS)])
     parts = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(sums, schema)
-    return parts.groupBy(*by, "a", "b").agg(*[F.sum(s).alias(s) for s in MEASURES])
+    return parts.groupBy(*by, "a", "b").agg(*[F.sum(s).alias(s) for s in SUMS], *[f(s).alias(s) for s, f in ENDS.items()])
 
 
 def moments_corr() -> Column:
-    """Pearson r from pairwise moments; null where a side is constant, that is
-    where what is left of its squares is rounding."""
+    """Pearson r from pairwise moments; null where a side is constant over
+    the times both have, but for rounding."""
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     vx, vy = F.col("sxx") - sx * sx / n, F.col("syy") - sy * sy / n
     r = (F.col("sxy") - sx * sy / n) / (F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0))))
-    return F.when((vx > F.col("nx")) & (vy > F.col("ny")), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+    def varies(low: str, high: str) -> Column:
+        lo, hi = F.col(low), F.col(high)
+        return (hi == float("inf")) | (hi - lo > NOISE * F.greatest(F.abs(lo), F.abs(hi)))
+
+    spread = (vx > 0) & (vy > 0) & varies("lx", "hx") & varies("ly", "hy")
+    return F.when(spread, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))

@@ -384,3 +384,11 @@ def test_fits_compared_with_one_point_left(spark):
     assert np.isnan(exponent) and np.isnan(fit["one"]["exponent"]) and fit["one"]["offset"] is offset is None and fit["one"]["n_freqs"] == 8
     got = {r["output"]: r for r in spectral.compare_fits(a, b, ["k"], ["offset", "exponent"]).collect()}
     assert np.isnan(got["exponent"]["r"]) and np.isnan(got["exponent"]["bias"]) and got["offset"]["n"] == 2 and np.isfinite(got["offset"]["bias"])
+
+
+def test_bias_against_with_one_point_left(spark):
+    psd = spark.createDataFrame(_one_below())
+    a, b = (spectral.aperiodic_fit(psd, ["k"], 0.5, 4, refit=x) for x in (False, True))
+    level = spark.createDataFrame([("one", 1.0), ("two", 2.0)], "k string, level double")
+    got = {r["output"]: r for r in spectral.compare_fits(a, b, ["k"], ["exponent"], level, ["level"]).collect()}
+    assert np.isnan(got["exponent"]["r_level"])

@@ -392,3 +392,24 @@ def test_bias_against_with_one_point_left(spark):
     level = spark.createDataFrame([("one", 1.0), ("two", 2.0)], "k string, level double")
     got = {r["output"]: r for r in spectral.compare_fits(a, b, ["k"], ["exponent"], level, ["level"]).collect()}
     assert np.isnan(got["exponent"]["r_level"])
+
+
+def test_equal_windows_have_no_spread(spark):
+    """Two of a channel's three windows are equal, their pane sums but for rounding: no scale, and no electrode."""
+    from tidegrid.plans import flows
+
+    rng, rows = np.random.default_rng(12), []
+    for v in np.round(rng.exponential(50, (5000, 8)), 2):
+        v[4], v[5] = np.round(v[0] + 1.37, 2), np.round(v[1] - 1.37, 2)
+        mid = sum(v.tolist()) / 8
+        a, b, c = ((v[i] - mid) + (v[i + 1] - mid) for i in (0, 2, 4))
+        if len(rows) < 240 and (v[0] + v[1]) + v[2] + v[3] == (v[2] + v[3]) + v[4] + v[5] and mid + (a + b) / 4 != mid + (b + c) / 4:
+            rows += [(len(rows) // 8, "c", i, float(x)) for i, x in enumerate(v)]
+    assert len(rows) == 240
+    sig = spark.createDataFrame(rows, "recording long, channel string, sample_idx long, value double").coalesce(1)
+    means = windows.window_means(sig, ["recording", "channel"], "sample_idx", "value", 4, 2)
+    got = {(r["recording"], r["window_idx"]): r["mean"] for r in means.collect()}
+    assert len(got) == 90 and all(got[(k, w)] == np.cumsum([x for *_, x in rows[8 * k + 2 * w:8 * k + 2 * w + 4]])[-1] / 4 for k, w in got)
+    lab = spark.createDataFrame([(k, w, (states.INTERNAL, states.EXTERNAL, states.EXTERNAL)[w]) for k in range(30) for w in range(3)], "recording long, window_idx long, label string")
+    meta = spark.createDataFrame([("c", "r")], "channel string, region string")
+    assert flows.power_contrast(sig, meta, lab, "recording", "channel", "sample_idx", "value", "region", 4, 2, min_n=1).collect() == []

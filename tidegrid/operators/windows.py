@@ -91,6 +91,18 @@ def window_moments(df: DataFrame, keys: list[str], idx: str, value: str, size: i
     )
 
 
+def window_means(df: DataFrame, keys: list[str], idx: str, value: str, size: int, step: int) -> DataFrame:
+    """Mean of each complete window, its values added one by one in index order,
+    as a plain sum rounds it. Pane sums (window_moments) differ from that in the
+    last digit, which decides whether the spread of few, equal windows is zero.
+    Samples are copied to the windows over them; a row holds one window."""
+    w = assign_windows(df.select(*keys, idx, F.col(value).cast("double").alias("__v")), idx, size, step)
+    w = w.groupBy(*keys, "window_idx").agg(F.array_sort(F.collect_list(F.struct(idx, "__v"))).alias("__s")).filter(F.size("__s") == size)
+    known = F.filter(F.col("__s.__v"), lambda v: v.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda a, v: a + v)
+    return w.select(*keys, "window_idx", (total / F.when(F.size(known) > 0, F.size(known))).alias("mean"))
+
+
 def grid(df: DataFrame, keys: list[str], idx: str, size: int, step: int) -> DataFrame:
     """The complete windows of each series, one row per window."""
     n = df.groupBy(*keys).agg((F.max(idx) + 1).alias("__n")).filter(F.col("__n") >= size)

@@ -15,9 +15,11 @@ def power_contrast(signal: DataFrame, meta: DataFrame, labels: DataFrame, record
     region -> t over recordings, corrected.
 
     The robust scale is affine, so windows are cut first and scaled after:
-    a quarter of the rows at 75 % overlap of a step-sized grid.
+    a quarter of the rows at 75 % overlap of a step-sized grid. Window means are
+    plain sums in order: where two of a channel's few windows are equal, their MAD
+    must not be a rounding error that blows up the third.
     """
-    win = windows.window_moments(signal, [recording, channel], idx, value, size, step)
+    win = windows.window_means(signal, [recording, channel], idx, value, size, step)
     win = settle(win, "windowed")
     z = series.robust_z(win, [recording, channel], "mean", "z")
     lab = joins.merge_labels(z, labels, [recording, "window_idx"])

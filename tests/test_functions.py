@@ -413,3 +413,36 @@ def test_equal_windows_have_no_spread(spark):
     lab = spark.createDataFrame([(k, w, (states.INTERNAL, states.EXTERNAL, states.EXTERNAL)[w]) for k in range(30) for w in range(3)], "recording long, window_idx long, label string")
     meta = spark.createDataFrame([("c", "r")], "channel string, region string")
     assert flows.power_contrast(sig, meta, lab, "recording", "channel", "sample_idx", "value", "region", 4, 2, min_n=1).collect() == []
+
+
+def test_digits_of_blocks_of_rows():
+    """Against hashlib: no tail, tails of several lengths in one block, and more than one block."""
+    import hashlib
+
+    from tidegrid.functions.digests import digits_48
+
+    rng, heads = np.random.default_rng(6), [b"7-1", b"7-23", b"7-1000", b"-12345-1"]
+    for widths in ([0, 0], [0, 1, 5, 47, 3], [52] * 3, [60] * 2, [130] * 2):
+        tails = [rng.integers(32, 120, w).astype(np.uint8).tobytes() for w in widths]
+        text = np.zeros((len(tails), max(widths)), dtype=np.uint8)
+        for row, x in zip(text, tails):
+            row[:len(x)] = list(x)
+        for head, got in zip(heads, digits_48(heads, text, np.array(widths))):
+            assert got.tolist() == [int(hashlib.md5(head + x).hexdigest()[:12], 16) for x in tails]
+
+
+def test_permutations_are_hashed_in_blocks(spark):
+    """Ids of several lengths, text and missing ones, by the digits of a plain digest a row; no such expression in the scan's plan."""
+    import hashlib
+
+    ids = [str(i) if i < 300 else "x" * 60 + str(i) for i in range(400)]
+    v = np.round(np.random.default_rng(8).normal(size=400), 3).tolist()
+    d = spark.createDataFrame([("g", i, x, k % 3 == 0) for k, (i, x) in enumerate(zip(ids, v))], "g string, i string, v double, a boolean")
+    got = stats.permutation_test(d, ["g"], "v", F.col("a"), "i", 30, 9).first()
+    a, diffs = np.arange(400) % 3 == 0, []
+    for p in range(1, 31):
+        order = sorted(range(400), key=lambda k: hashlib.md5(f"9-{p}-{ids[k]}".encode()).hexdigest()[:12])
+        x = np.array(v)[order]
+        diffs.append(x[:a.sum()].mean() - x[a.sum():].mean())
+    observed = np.array(v)[a].mean() - np.array(v)[~a].mean()
+    assert got["observed"] == pytest.approx(observed) and got["n_extreme"] == int((np.abs(diffs) >= abs(observed)).sum())

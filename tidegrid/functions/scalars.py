@@ -62,9 +62,9 @@ def hash_digits(*parts: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 12)
 
 
-def unit_digits(x: Column) -> Column:
-    """A number in [0, 1] in the form of hash_digits."""
-    return F.lower(F.lpad(F.hex(F.least(F.floor(x * float(2**48)), F.lit(2**48 - 1)).cast("long")), 12, "0"))
+def unit_bits(x: Column) -> Column:
+    """A number in [0, 1] as the whole number of 48 bits that hash_digits stand for."""
+    return F.least(F.floor(x * float(2**48)), F.lit(2**48 - 1)).cast("long")
 
 
 def unit_hash(*parts: Column) -> Column:

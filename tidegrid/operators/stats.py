@@ -6,10 +6,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.scalars import hash_digits, unit_digits, unit_hash
+from tidegrid.functions.digests import digits_48
+from tidegrid.functions.scalars import hash_digits, unit_bits, unit_hash
 from tidegrid.functions.special import p_two_sided_t, p_upper_chi2, p_upper_f
 from tidegrid.operators.multivar import product_sums
 from tidegrid.operators.group import average_rank, corr_of, with_row, with_stats
@@ -72,6 +74,61 @@ def adjust(df: DataFrame, by: list[str], p: str, tie: str, method: str = "fdr_bh
     return d.select(*missing.columns).unionAll(missing)
 
 
+#: Rows of a task's result that wait to be handed on.
+PENDING = 1 << 18
+
+
+def _cells(n_perm: int, seed: int):
+    """For each permutation the rows (__g, __id, __v, __tail, __lo, __hi) hashed: per
+    group one row of those below __lo, and each one up to __hi with its hash."""
+    heads = [f"{seed}-{p}".encode() for p in range(1, n_perm + 1)]
+    room = 55 - max(map(len, heads), default=0)  # with one block
+
+    def run(batches):
+        out, waiting = [], 0
+        for table, tails, width in (x for batch in batches if batch.num_rows for x in _by_width(batch, room)):
+            v, there = table.column("__v").to_numpy(zero_copy_only=False), table.column("__v").is_valid().to_numpy(zero_copy_only=False)
+            lo, hi = (table.column(x).to_numpy() for x in ("__lo", "__hi"))
+            groups, code = np.unique(table.column("__g").to_numpy(), return_inverse=True)
+            known, k = np.where(there, v, 0.0), len(groups)
+            for p, cell in enumerate(digits_48(heads, tails, width), 1):
+                below = cell < lo
+                at = np.flatnonzero((cell <= hi) & ~below)
+                own = code[below]
+                n = np.bincount(own, minlength=k)
+                some = np.flatnonzero(n)
+                sums, count = (np.bincount(own, weights=w, minlength=k)[some] for w in (known[below], there[below]))
+                size = len(some) + len(at)
+                out.append(pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([groups[some], groups[code[at]]])), pa.array(np.full(size, p, dtype=np.int32)),
+                    pa.array(np.concatenate([np.zeros(len(some), dtype=np.int64), cell[at]]), mask=np.arange(size) < len(some)),
+                    pa.concat_arrays([pa.nulls(len(some), table.column("__id").type), table.column("__id").take(pa.array(at))]),
+                    pa.array(np.concatenate([n[some], np.ones(len(at), dtype=np.int64)])), pa.array(np.concatenate([sums, known[at]])),
+                    pa.array(np.concatenate([count.astype(np.int64), there[at].astype(np.int64)]))], names=["__g", "perm", "__cell", "__id", "__c", "__s", "__k"]))
+                waiting += size
+                if waiting > PENDING:
+                    yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                    out, waiting = [], 0
+        if out:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    return run
+
+
+def _by_width(batch: pa.RecordBatch, room: int):
+    """The rows with __tail of up to `room` bytes at once, longer ones by their
+    length, with those bytes as a matrix and their number."""
+    tail = batch.column("__tail").cast(pa.large_binary())
+    width = pc.binary_length(tail).to_numpy().astype(np.int64)
+    kinds = np.where(width <= room, 0, width)
+    for kind in np.unique(kinds).tolist():
+        at = np.flatnonzero(kinds == kind)
+        w = width[at]
+        text = np.zeros((len(at), int(w.max())), dtype=np.uint8)
+        text[np.arange(text.shape[1]) < w[:, None]] = np.frombuffer(b"".join(tail.take(pa.array(at)).to_pylist()), dtype=np.uint8)
+        yield batch.take(pa.array(at)), text, w
+
+
 def permutation_test(df: DataFrame, by: list[str], value: str, side: Column, id_: str, n_perm: int, seed: int) -> DataFrame:
     """Mean difference of pooled values against random splits of the same
     sizes: empirical two-sided p with one added to both counts.
@@ -79,26 +136,24 @@ def permutation_test(df: DataFrame, by: list[str], value: str, side: Column, id_
     In each permutation the n_a rows of smallest hash of (seed, permutation, id)
     form side a. The n_a-th smallest of n uniform hashes lies close to n_a / n,
     so in the scan rows well below it are summed, rows well above it dropped,
-    and only the rows between, some sqrt(n), are put in order. Rows are repeated
-    per permutation inside the task only; a counter per permutation and those
+    and only the rows between, some sqrt(n), are put in order. Rows are hashed
+    per permutation inside the task only, a batch at a time in numpy; a counter per permutation and those
     few rows leave it. Where the bracket misses (ids that repeat a lot), the
     permutation is done again over all its rows. Without rows on both sides
     `observed` and p are null. `by` names one column at least."""
     d = df.withColumn("__a", side).select(*by, id_, F.col(value).cast("double").alias("__v"), "__a")
     a = F.col("__a")
-    obs = settle(d.groupBy(*by).agg(
-        (F.avg(F.when(a, F.col("__v"))) - F.avg(F.when(~a, F.col("__v")))).alias("observed"), F.count_if(a).alias("__na"), F.count(F.lit(1)).alias("__n"),
-        F.sum("__v").alias("__sum"), F.count("__v").alias("__there")), "observed")
     share, n = F.col("__na") / F.col("__n"), F.col("__n")
     reach = 8 * F.sqrt(share * (1 - share) / n) + 64 / n
-    perms = F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm")
-    keys = [*by, "perm"]
-
-    def split(reps: DataFrame) -> DataFrame:
-        h = reps.withColumn("__h", hash_digits(F.lit(seed), F.col("perm"), F.col(id_))).where("__h <= __hi")
-        inside = F.col("__h") >= F.col("__lo")
-        cells = h.groupBy(*keys, F.when(inside, F.col("__h")).alias("__cell"), F.when(inside, F.col(id_)).alias("__id")).agg(
-            F.count(F.lit(1)).alias("__c"), F.sum("__v").alias("__s"), F.count("__v").alias("__k"), F.first("__na").alias("__na"))
+    obs = d.groupBy(*by).agg(
+        (F.avg(F.when(a, F.col("__v"))) - F.avg(F.when(~a, F.col("__v")))).alias("observed"), F.count_if(a).alias("__na"), F.count(F.lit(1)).alias("__n"),
+        F.sum("__v").alias("__sum"), F.count("__v").alias("__there"))
+    obs = settle(obs.withColumns({
+        "__g": F.monotonically_increasing_id(), "__lo": unit_bits(F.greatest(share - reach, F.lit(0.0))), "__hi": unit_bits(F.least(share + reach, F.lit(1.0)))}), "observed")
+    keys = ["__g", "perm"]
+
+    def split(cells: DataFrame) -> DataFrame:
+        cells = cells.groupBy(*keys, "__cell", "__id").agg(F.sum("__c").alias("__c"), F.sum("__s").alias("__s"), F.sum("__k").alias("__k")).join(obs.select("__g", "__na"), "__g")
         upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy(F.col("__cell").asc_nulls_first(), F.col("__id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
         first = F.least(F.col("__c"), F.col("__na") - F.col("__upto") + F.col("__c"))  # of the cell's rows, how many belong to side a
         part = F.when(first > 0, first / F.col("__c")).otherwise(0.0)
@@ -107,15 +162,19 @@ def permutation_test(df: DataFrame, by: list[str], value: str, side: Column, id_
             # The bracket holds the rank: it is not inside the rows summed as one, nor beyond the last one seen.
             ((F.max("__upto") >= F.max("__na")) & (F.coalesce(F.max(F.when(F.col("__cell").isNull(), F.col("__c"))), F.lit(0)) <= F.max("__na"))).alias("__met"))
 
-    rows = d.select(*by, id_, "__v").join(obs.select(*by, "__na", unit_digits(F.greatest(share - reach, F.lit(0.0))).alias("__lo"), unit_digits(F.least(share + reach, F.lit(1.0))).alias("__hi")), by)
+    rows = d.select(*by, F.col(id_).alias("__id"), "__v").join(obs.select(*by, "__g", "__lo", "__hi"), by).drop(*by)
     # The work is n_perm times the rows: dealt out evenly, whatever files they come from.
     rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    null = settle(split(rows.select("*", perms)), "null")
+    # As concat_ws does, without a dash where there is no id.
+    tail = F.coalesce(F.concat(F.lit("-"), F.col("__id").cast("string")), F.lit("")).cast("binary").alias("__tail")
+    kind = d.schema[id_].dataType.simpleString()
+    null = settle(split(rows.select("*", tail).mapInArrow(_cells(n_perm, seed), f"__g long, perm int, __cell long, __id {kind}, __c long, __s double, __k long")), "null")
     if not null.where("not __met").isEmpty():
         again = null.where("not __met").select(*keys)
-        whole = rows.withColumns({"__lo": F.lit(""), "__hi": F.lit("g")}).join(again, by)
+        cell = F.conv(hash_digits(F.lit(seed), F.col("perm"), F.col("__id")), 16, 10).cast("long").alias("__cell")
+        whole = rows.join(again, "__g").select(*keys, cell, "__id", F.lit(1).cast("long").alias("__c"), F.col("__v").alias("__s"), F.col("__v").isNotNull().cast("long").alias("__k"))
         null = null.where("__met").unionAll(split(whole))
-    null = null.join(obs, by)
+    null = null.join(obs, "__g")
     sb, kb = F.col("__sum") - F.col("__sa"), F.col("__there") - F.col("__ka")
     null = null.withColumn("diff", F.col("__sa") / F.when(F.col("__ka") > 0, F.col("__ka")) - sb / F.when(kb > 0, kb))
     hits = F.count_if(F.abs("diff") >= F.abs("observed"))

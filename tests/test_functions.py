@@ -446,3 +446,11 @@ def test_permutations_are_hashed_in_blocks(spark):
         diffs.append(x[:a.sum()].mean() - x[a.sum():].mean())
     observed = np.array(v)[a].mean() - np.array(v)[~a].mean()
     assert got["observed"] == pytest.approx(observed) and got["n_extreme"] == int((np.abs(diffs) >= abs(observed)).sum())
+
+
+def test_rows_stay_in_place_beside_few_groups(spark):
+    """Three groups of some 60 MB of rows: their summary is broadcast, so that no task holds a group."""
+    d = spark.range(0, 4_000_000, 1, 8).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 4_000_037).cast("double").alias("v"))
+    got = group.with_stats(d, ["k"], {"m": F.max("v")})
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.agg(F.count("m")).first()[0] == 4_000_000

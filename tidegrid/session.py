@@ -45,7 +45,8 @@ def settle(df: DataFrame, name: str = "part") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-LARGE = 1 << 30
+#: Bytes by the planner's estimate, for files their compressed size.
+LARGE = 1 << 24
 
 
 def settle_summary(summary: DataFrame, source: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def piece_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """doc_id, lang, source, piece_ids with seeded merge dropout, their crc32,
     and whether decoding gives the text back."""
     path = vocabulary("piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text"), path, p=0.1, seed=1), path)
+    coded = pieces.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), path, p=0.1, seed=1)
     lossless = F.coalesce("text", F.lit("")) == F.col("decoded")
     return coded.select("doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), F.col("piece_ids_crc32").alias("ids_crc32"), lossless.alias("lossless"))
 

@@ -240,6 +240,18 @@ def test_pieces(spark, texts):
     assert len({tuple(lib.id_to_piece(i) for i in x) for x in np.split(ids, np.flatnonzero([lib.id_to_piece(int(i)).startswith("▁") for i in ids]))}) > 2
 
 
+def test_pieces_there_and_back_in_one_pass(spark, texts):
+    """The stage and the query have one Python node, so one worker a task with the model in it; rows are those of the two passes."""
+    docs = frame(spark, texts).withColumns({"lang": F.lit("x"), "source": F.lit("y"), "decoded": F.lit("old")})
+    both = pieces.encode_and_decode(docs, PIECES, p=0.3, seed=9)
+    apart = pieces.decode(pieces.encode(docs, PIECES, p=0.3, seed=9), PIECES)
+    assert both.columns == apart.columns and sorted(map(repr, both.collect())) == sorted(map(repr, apart.collect()))
+    with pytest.raises(ValueError):
+        pieces.encode_and_decode(docs, PIECES, out_col="text")
+    for df in (corpus_pipeline.piece_coding(spark, docs, SF), queries.QUERIES["op2_piece_coding"](spark, SF)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_each_occurrence_is_segmented_by_itself(spark):
     """Not one of a few draws, nor the same in every copy of a text; and as if each chunk had an agenda of its own."""
     rows = [(i, "segmentation of words") for i in range(300)] + [(7, "segmentation of words")]

@@ -25,7 +25,7 @@ from __future__ import annotations
 import heapq
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -278,19 +278,17 @@ def _lists(ids: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def encode(docs: DataFrame, path: str, p: float = 0.1, seed: int = 1, text_col: str = "text", ids_col: str = "piece_ids", id_col: str = "doc_id") -> DataFrame:
-    """All columns, with the piece ids of the text (array of int) and their
-    unsigned crc32 as little-endian 32-bit integers (`<ids_col>_crc32`); columns
-    of those names are replaced. `path` names the model file, the same on every
-    machine. A null or empty text has no ids. Rows of the same id and text, and
-    those of the same text without an id, get the same ids. No shuffle; rows
-    stay in place."""
+Batches = Iterator[pa.RecordBatch]
+
+
+def _to_encode(docs: DataFrame, path: str, p: float, seed: int, text_col: str, ids_col: str, id_col: str) -> tuple[DataFrame, T.StructType, Callable[[Batches], Batches]]:
+    """The rows with a key as their last column, the columns of the result, and the map from one to the other."""
     small_batches(docs)
     docs = docs.drop(ids_col, f"{ids_col}_crc32")
     out = T.StructType([*docs.schema, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(f"{ids_col}_crc32", T.LongType())])
     key = f"__{uuid.uuid4().hex}"  # after all other columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         m, drop = model(path), _Dropout(p)
         for batch in batches:
             for part in texts_of(batch, SLICE, text_col):
@@ -299,15 +297,14 @@ def encode(docs: DataFrame, path: str, p: float = 0.1, seed: int = 1, text_col:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists(ids, first), pa.array(crc, pa.int64())], names=out.names)
 
-    return docs.withColumn(key, F.xxhash64(id_col)).mapInArrow(run, out)
+    return docs.withColumn(key, F.xxhash64(id_col)), out, run
 
 
-def decode(rows: DataFrame, path: str, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
-    """All columns, with the text of the ids; null or no ids give an empty text."""
-    rows = rows.drop(out_col)
-    out = T.StructType([*rows.schema, T.StructField(out_col, T.StringType())])
+def _to_decode(fields: T.StructType, path: str, ids_col: str, out_col: str) -> tuple[T.StructType, Callable[[Batches], Batches]]:
+    """The columns of the result, and the map to it from rows of `fields`."""
+    out = T.StructType([*fields, T.StructField(out_col, T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         m = model(path)
         for batch in batches:
             col = batch.column(ids_col)
@@ -322,4 +319,33 @@ def decode(rows: DataFrame, path: str, ids_col: str = "piece_ids", out_col: str
             strings = pa.Array.from_buffers(pa.large_string(), batch.num_rows, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(text[keep].tobytes())])
             yield pa.RecordBatch.from_arrays([*batch.columns, strings.cast(pa.string())], names=out.names)
 
+    return out, run
+
+
+def encode(docs: DataFrame, path: str, p: float = 0.1, seed: int = 1, text_col: str = "text", ids_col: str = "piece_ids", id_col: str = "doc_id") -> DataFrame:
+    """All columns, with the piece ids of the text (array of int) and their
+    unsigned crc32 as little-endian 32-bit integers (`<ids_col>_crc32`); columns
+    of those names are replaced. `path` names the model file, the same on every
+    machine. A null or empty text has no ids. Rows of the same id and text, and
+    those of the same text without an id, get the same ids. No shuffle; rows
+    stay in place."""
+    keyed, out, run = _to_encode(docs, path, p, seed, text_col, ids_col, id_col)
+    return keyed.mapInArrow(run, out)
+
+
+def decode(rows: DataFrame, path: str, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
+    """All columns, with the text of the ids; null or no ids give an empty text."""
+    rows = rows.drop(out_col)
+    out, run = _to_decode(rows.schema, path, ids_col, out_col)
     return rows.mapInArrow(run, out)
+
+
+def encode_and_decode(docs: DataFrame, path: str, p: float = 0.1, seed: int = 1, text_col: str = "text", ids_col: str = "piece_ids", id_col: str = "doc_id", out_col: str = "decoded") -> DataFrame:
+    """decode(encode(docs)) in one pass: a task has one Python worker with the
+    model in it, not two, which an executor would keep after the stage. `out_col`
+    is neither the text nor the id."""
+    if out_col in (text_col, id_col):
+        raise ValueError("the decoded text takes a column of its own")
+    keyed, coded, there = _to_encode(docs.drop(out_col), path, p, seed, text_col, ids_col, id_col)
+    out, back = _to_decode(coded, path, ids_col, out_col)
+    return keyed.mapInArrow(lambda batches: back(there(batches)), out)

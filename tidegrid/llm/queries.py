@@ -127,8 +127,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_piece_coding")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model")
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, p=0.1, seed=1)
-    back = pieces.decode(coded, path)
+    back = pieces.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, p=0.1, seed=1)
     lossless = F.coalesce("text", F.lit("")) == F.col("decoded")
     return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.col("piece_ids_crc32").alias("ids_crc32"), lossless.alias("lossless"))
 

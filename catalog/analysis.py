@@ -436,9 +436,12 @@ def _(t):
     # Order lines as peaks of a window; a customer's orders in key order as windows.
     from tidegrid.operators.scan import time_index
     p = _peaks(t).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    ts = events.peaks_to_timeseries(p, ["o_custkey", "l_orderkey"], "cf", "amp", "bw", "l_linenumber", scalars.BANDS_CONTIGUOUS)
-    ts = time_index(ts, ["o_custkey"], ["l_orderkey"], out="window_idx").withColumn("exponent", F.col("n_peaks_total").cast("double"))
-    d = events.to_events(ts, ["o_custkey"], "window_idx", "exponent", ["theta", "alpha", "beta", "gamma"])
+    ts = events.peaks_to_timeseries(p, ["o_custkey", "l_orderkey"], "cf", "amp", None, "l_linenumber", scalars.BANDS_CONTIGUOUS)
+    bands = ["theta", "alpha", "beta", "gamma"]
+    # Written, as the index looks at it before it numbers it.
+    ts = settle(ts.select("o_custkey", "l_orderkey", F.col("n_peaks_total").cast("double").alias("exponent"), *[f"{b}_{m}" for b in bands for m in ("cf", "amp")]), "peaks")
+    ts = time_index(ts, ["o_custkey"], ["l_orderkey"], out="window_idx")
+    d = events.to_events(ts, ["o_custkey"], "window_idx", "exponent", bands)
     return rounded(d, "cf_median", "amp_mean", "exponent_mean")
 
 

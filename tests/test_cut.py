@@ -127,6 +127,77 @@ def drift(cfs, tol):
     return ids
 
 
+def windows_of_bands(nulls=True):
+    """A long series and short ones with up to two bands a window, and one without a key."""
+    rng = random.Random(4)
+    out = []
+    for key, n in [("hot", 60)] + [(f"s{k}", rng.randint(1, 7)) for k in range(9)] + [(None, 3)] * nulls:
+        for i in range(n):
+            cf = [rng.choice([None, 4.0, 5.5, 6.0, 7.25]), rng.choice([None, 9.0, 9.5, 12.0, 13.0])]
+            out.append((key, i, float(rng.randint(0, 9)), *[x for c in cf for x in (c, c and rng.random())]))
+    return out
+
+
+def brute_events(windows):
+    got = {}
+    for key in {w[0] for w in windows} - {None}:
+        mine = sorted(w for w in windows if w[0] == key)
+        for b, name in enumerate(("theta", "alpha")):
+            run, runs = [], []
+            for w in (w for w in mine if w[3 + 2 * b] is not None):
+                if not run or w[1] - run[-1][1] > 2:
+                    run = []
+                    runs.append(run)
+                run.append(w)
+            for run in runs:
+                ids = [e for _, e in drift([(w[1], w[3 + 2 * b]) for w in run], 2.0)]
+                for e in set(ids):
+                    ev = [w for w, i in zip(run, ids) if i == e]
+                    cf, amp = [w[3 + 2 * b] for w in ev], [w[4 + 2 * b] for w in ev]
+                    first, last = ev[0][1], ev[-1][1]
+                    got[key, name, first * 2.5 + 10] = (
+                        first * 2.5 if first == 0 else first * 2.5 + 7.5, last * 2.5 + (10 if last == mine[-1][1] else 2.5),
+                        len(ev), np.median(cf), min(cf), max(cf), max(amp), pytest.approx(np.mean(amp)), pytest.approx(np.mean([w[2] for w in ev])),
+                    )
+    return got
+
+
+def events_of(spark, windows):
+    d = spark.createDataFrame(windows, "k string, i long, e double, theta_cf double, theta_amp double, alpha_cf double, alpha_amp double").repartition(5)
+    return events.to_events(d, ["k"], "i", "e", ["theta", "alpha"])
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("piece", [7, 1000])
+def test_to_events_whole_and_in_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(scan, "SEGMENT_ROWS", piece)
+    rows = windows_of_bands()
+    got = {(r.k, r.band, r.onset_hi_sec): (r.onset_lo_sec, r.offset_hi_sec, r.n_windows, r.cf_median, r.cf_min, r.cf_max, r.amp_max, r.amp_mean, r.exponent_mean)
+           for r in events_of(spark, rows).collect()}
+    want = brute_events(rows)
+    assert got == want and max(x[2] for x in want.values()) > 3
+
+
+def test_short_series_are_dealt_once(spark, monkeypatch):
+    """Runs, drift and ends need one shuffle of the windows, the events another;
+    nothing but the windows is written."""
+    written = []
+    for module in (scan, events):
+        monkeypatch.setattr(module, "settle", lambda df, name="part", f=module.settle: written.append(name) or f(df, name))
+    monkeypatch.setattr(scan, "SEGMENT_ROWS", 1000)
+    assert exchanges(events_of(spark, windows_of_bands())) == 2 and written == ["windows"]
+
+
+def test_drift_of_missing_numbers(spark):
+    vals = [10.0, 10.5, float("nan"), 10.0, float("nan"), float("nan"), 11.0, 11.5, 10.0]
+    d = spark.createDataFrame([("a", 0, i, f) for i, f in enumerate(vals)], "k string, run_id long, i long, f double")
+    got = sorted((r.i, r.event_id) for r in events.split_on_drift(d, ["k", "run_id"], "i", "f").collect())
+    assert [e for _, e in got] == [0, 0, 2, 3, 4, 5, 6, 6, 6]
+
+
 def test_split_on_drift(spark):
     pdf = rows(150)
     d = events.runs(frame(spark, pdf[pdf.v > 3][["k", "i", "v"]]), ["k"], "i", 1)

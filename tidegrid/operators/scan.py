@@ -32,12 +32,14 @@ PER_RANGE = 1 << 20
 @dataclass(frozen=True)
 class Cut:
     """Rows tagged with the piece they belong to. `order` is a total order of
-    ascending columns within `keys`; `single` says every series is one piece."""
+    ascending columns within `keys`; `single` says every series is one piece,
+    `placed` that the rows of a series are in one partition already."""
 
     df: DataFrame
     keys: list[str]
     order: list[str]
     single: bool = False
+    placed: bool = False
 
     def window(self, descending: bool = False):
         cols = [F.col(c).desc() if descending else F.col(c).asc() for c in self.order]
@@ -70,6 +72,17 @@ def cut_dense(df: DataFrame, keys: list[str], idx: str, rows: int | None = None)
     return Cut(df.withColumn(SEG, F.floor(F.col(idx) / F.lit(rows)).cast("long")), list(keys), [idx])
 
 
+def short(df: DataFrame, idx: str, rows: int | None = None) -> bool:
+    """Whether a 0-based sample index stays within one piece in every series."""
+    top = df.agg(F.max(idx)).first()[0]
+    return top is None or top < (rows or SEGMENT_ROWS)
+
+
+def whole(df: DataFrame, keys: list[str], idx: str, placed: bool = False) -> Cut:
+    """Every series as one piece: for an index that is `short`."""
+    return Cut(df.withColumn(SEG, F.lit(0).cast("long")), list(keys), [idx], True, placed)
+
+
 def scan(
     c: Cut,
     *,
@@ -178,6 +191,8 @@ def time_index(df: DataFrame, keys: list[str], order: list[str], out: str = "sam
 
 
 Kernel = Callable[[dict[str, np.ndarray], object], tuple[np.ndarray, dict[str, np.ndarray], object]]
+#: Columns of many pieces, one after the other, and which rows open a piece.
+Fresh = Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]]
 
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
 
@@ -204,7 +219,7 @@ def pieces(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tupl
         yield tail, np.array([0])
 
 
-def fold(c: Cut, kernel: Kernel, use: list[str], extra: dict[str, str] | None = None) -> DataFrame:
+def fold(c: Cut, kernel: Kernel, use: list[str], extra: dict[str, str] | None = None, fresh: Fresh | None = None) -> DataFrame:
     """A sequential rule over each series, exact for any length.
 
     `kernel(columns `use` of one piece in order, carry)` returns the positions
@@ -215,6 +230,10 @@ def fold(c: Cut, kernel: Kernel, use: list[str], extra: dict[str, str] | None =
     forget (debounce, response queues) settle in a round or two; a rule that
     never forgets still ends, after as many rounds as it has pieces. Each round
     writes one small row per piece to the shared folder.
+
+    `fresh`, for rules that keep every row, does the same for all pieces of a
+    batch in one call where no series has a second piece, so that millions of
+    short series don't cost a call each.
     """
     keys, order, extra = c.keys, c.order, extra or {}
     names = [*keys, SEG]
@@ -233,6 +252,16 @@ def fold(c: Cut, kernel: Kernel, use: list[str], extra: dict[str, str] | None =
                 done.append((a + np.asarray(picks, dtype=np.int64), more, after))
             yield table, starts, done
 
+    def emit_fresh(batches):
+        for table, starts in pieces(batches, names):
+            opens = np.zeros(table.num_rows, dtype=bool)
+            opens[starts] = True
+            more = fresh({u: table.column(u).to_numpy() for u in use}, opens)
+            kept = table.select(out_cols)
+            for n, ty in extra.items():
+                kept = kept.append_column(n, pa.array(more[n], type=ARROW[ty]))
+            yield from kept.to_batches()
+
     def emit(batches):
         for table, _, done in run(batches):
             kept = table.take(pa.array(np.concatenate([d[0] for d in done]))).select(out_cols)
@@ -247,13 +276,13 @@ def fold(c: Cut, kernel: Kernel, use: list[str], extra: dict[str, str] | None =
             yield from heads.append_column("__carry", pa.array(after, type=pa.string())).to_batches()
 
     def in_order(df):
-        return df.repartition(*names).sortWithinPartitions(*names, *order)
+        return (df if c.placed else df.repartition(*names)).sortWithinPartitions(*names, *order)
 
     schema = ", ".join([f"`{x}` {types[x]}" for x in out_cols] + [f"`{n}` {ty}" for n, ty in extra.items()])
     # Written once: the look at the piece numbers and every round read this table.
     rows = c.df if c.single else settle(c.df, "rows")
     if c.single or rows.filter(F.col(SEG) > 0).isEmpty():
-        return in_order(rows).mapInArrow(emit, schema)
+        return in_order(rows).mapInArrow(emit_fresh if fresh else emit, schema)
 
     carry_schema = ", ".join(f"`{k}` {types[k]}" for k in names) + ", __carry string"
     order_of = Window.partitionBy(*keys).orderBy(SEG)

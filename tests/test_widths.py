@@ -68,6 +68,26 @@ def test_split_writes_few_states(wide, monkeypatch):
     assert len(written) == 1 + 19 // multivar.REPLAY
 
 
+def test_split_that_plain_rounds_do_not_reach(spark, monkeypatch):
+    """Plain rounds take 218 to this tol; combined states reach the same split in 100."""
+    rng = np.random.default_rng(10)
+    m = np.outer(rng.normal(size=60), rng.normal(size=5))
+    m[rng.integers(0, 60, 12), rng.integers(0, 5, 12)] += 6.0
+    cols = [f"c{j}" for j in range(5)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(m)], "id long, " + ", ".join(f"{c} double" for c in cols))
+    monkeypatch.setattr(multivar, "PLAIN", 40, raising=False)
+    got = multivar.robust_pca(df, "id", cols, iters=100, tol=1e-9).toPandas().sort_values("id")
+    mu, lam = m.size / (4 * np.abs(m).sum()), 1 / np.sqrt(60)
+    t = np.zeros_like(m)
+    for _ in range(300):
+        y = np.clip(t, -lam / mu, lam / mu)
+        u, w, v = np.linalg.svd(m - t + 2 * y, full_matrices=False)
+        low = u @ np.diag(np.maximum(w - 1 / mu, 0)) @ v
+        t = m - low + y
+    np.testing.assert_allclose(got[[f"{c}_low" for c in cols]].to_numpy(), low, atol=1e-5)
+    np.testing.assert_allclose(got[[f"{c}_sparse" for c in cols]].to_numpy(), m - low, atol=1e-5)
+
+
 def test_inflation_and_loadings(wide):
     df, cols, x, _ = wide
     got = dict(multivar.vif(df, cols).collect())

@@ -201,7 +201,9 @@ LAB = f"""{WIN}, wm AS (SELECT recording, window_idx, avg(value) AS m FROM win G
 
 
 def _labelled(t):
-    w = windows.window_moments(t.signal, ["recording"], "sample_idx", "value", SIZE, STEP).select("recording", "window_idx", F.col("mean").alias("m"))
+    # Plain sums in order, as SQL's avg: equal means of two recordings at a time
+    # stay equal or apart as there, on either side of a quantile of `dev`.
+    w = windows.window_means(t.signal, ["recording"], "sample_idx", "value", SIZE, STEP).withColumnRenamed("mean", "m")
     d = states.residuals(w, ["window_idx"], ["m"]).withColumnRenamed("m_res", "dev")
     d = series.zscore(d, ["recording"], ["m", "dev"], 0).withColumnsRenamed({"m_z": "pc", "dev_z": "dz"})
     return d.withColumn("label", states.label_strict(F.col("pc"), F.col("dz"), 0.6, 0.6))

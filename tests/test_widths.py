@@ -76,6 +76,7 @@ def test_split_that_plain_rounds_do_not_reach(spark, monkeypatch):
     cols = [f"c{j}" for j in range(5)]
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(m)], "id long, " + ", ".join(f"{c} double" for c in cols))
     monkeypatch.setattr(multivar, "PLAIN", 40, raising=False)
+    monkeypatch.setattr(multivar, "BLOCK", 64, raising=False)
     got = multivar.robust_pca(df, "id", cols, iters=100, tol=1e-9).toPandas().sort_values("id")
     mu, lam = m.size / (4 * np.abs(m).sum()), 1 / np.sqrt(60)
     t = np.zeros_like(m)

@@ -84,6 +84,9 @@ def loadings_table(df: DataFrame, cols: list[str], k: int) -> DataFrame:
 #: Rounds of the split between two written states.
 REPLAY = 8
 
+#: Numbers in a block of the split's rows.
+BLOCK = 1 << 16
+
 #: Rounds after which a written state may be a combination of the last ones.
 PLAIN = 500
 
@@ -107,7 +110,8 @@ def robust_pca(df: DataFrame, id_: str, cols: list[str], lam: float | None = Non
     without a shuffle: a task applies the maps since the last written state to
     its rows and hands on its Gram matrix and what the last round left. State is
     written to the shared folder every REPLAY rounds, so a lost executor costs
-    one round.
+    one round; it has a row per block of rows, whose numbers are handed on as
+    they are.
 
     Rounds alone grow with the rows (411, 775 and over 1 106 for 2 000, 10 256
     and 51 282). A state that a round leaves as it is holds the same split by
@@ -124,22 +128,35 @@ def robust_pca(df: DataFrame, id_: str, cols: list[str], lam: float | None = Non
     lam = lam or 1.0 / np.sqrt(max(n / p, p))
     reach = lam / mu
     id_type = dict(df.dtypes)[id_]
-    state = settle(base.select(id_, "m", F.array(*[F.lit(0.0)] * p).alias("t")), "split")
+    blocked = f"ids array<{id_type}>, m binary, t binary"
+
+    def block(ids, m, t):
+        return pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *[pa.array([x.tobytes()], pa.binary()) for x in (m, t)]], names=["ids", "m", "t"])
+
+    def blocks(batches):
+        size = max(BLOCK // p, 1)
+        for batch in batches:
+            m = batch.column("m").flatten().to_numpy().reshape(-1, p)
+            for i in range(0, len(m), size):
+                yield block(batch.column(id_)[i:i + size], m[i:i + size], np.zeros_like(m[i:i + size]))
+
+    # Dealt anew, as every round takes as long as its largest task.
+    state = settle(base.repartition(id_).mapInArrow(blocks, blocked), "split")
 
     def replayed(batches, maps):
-        """Per batch: ids, m, and low and t after the maps, with t before and
+        """Per block: ids, m, and low and t after the maps, with t before and
         after each of them."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            m, t = (batch.column(c).flatten().to_numpy().reshape(-1, p) for c in ("m", "t"))
-            low, states = np.zeros_like(m), [t]
-            for shrink in maps:
-                y = np.clip(t, -reach, reach)
-                low = (m - (t - y) + y) @ shrink
-                t = m - low + y
-                states.append(t)
-            yield batch.column(id_), m, low, states
+            for i in range(batch.num_rows):
+                m, t = (np.frombuffer(batch.column(c)[i].as_buffer()).reshape(-1, p) for c in ("m", "t"))
+                low, states = np.zeros_like(m), [t]
+                for shrink in maps:
+                    y = np.clip(t, -reach, reach)
+                    low = (m - (t - y) + y) @ shrink
+                    t = m - low + y
+                    states.append(t)
+                yield batch.column("ids")[i].values, m, low, states
 
     def lists(x):
         return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, p), pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
@@ -163,7 +180,7 @@ def robust_pca(df: DataFrame, id_: str, cols: list[str], lam: float | None = Non
         def run(batches):
             for ids, m, _, states in replayed(batches, maps):
                 t = sum(w * x for w, x in zip(weights, states[1:]) if w)
-                yield pa.RecordBatch.from_arrays([ids, lists(m), lists(t)], names=[id_, "m", "t"])
+                yield block(ids, m, t)
         return run
 
     def parts(maps):
@@ -175,7 +192,7 @@ def robust_pca(df: DataFrame, id_: str, cols: list[str], lam: float | None = Non
 
     def summed(maps):
         """What the last map left, the Gram matrix, and products of the maps' steps."""
-        rows = state.select(id_, "m", "t").mapInArrow(gram(maps), "g binary").collect()
+        rows = state.select("m", "t", "ids").mapInArrow(gram(maps), "g binary").collect()
         cells = sum((np.frombuffer(row["g"]) for row in rows), np.zeros(1 + p * p + REPLAY * REPLAY))
         return cells[0], cells[1:1 + p * p].reshape(p, p), cells[1 + p * p:].reshape(REPLAY, REPLAY)
 
@@ -189,7 +206,7 @@ def robust_pca(df: DataFrame, id_: str, cols: list[str], lam: float | None = Non
         if len(maps) == REPLAY:
             combine = round_ >= PLAIN and steps[-1, -1] < shortest
             weights = _cancelling(steps) if combine else np.eye(REPLAY)[-1]
-            state, maps = settle(state.mapInArrow(write(maps, weights), f"`{id_}` {id_type}, m array<double>, t array<double>"), "split"), []
+            state, maps = settle(state.mapInArrow(write(maps, weights), blocked), "split"), []
             if combine:
                 shortest = steps[-1, -1]
                 _, g, _ = summed(maps)
